@@ -50,6 +50,7 @@ class Tree:
             if not self.fenced(m.start()):
                 level = len(m["md"] or m["wiki"] or "") or (_TEX_LEVEL[m["tex"].lower()] if m["tex"] is not None else 0) or int(m["html"] or 0) or (1 if m["bar"][0] == "=" else 2)
                 self.heads[min(level, HEADS)].append(m.start())
+        self.head_set = {i for level in self.heads for i in level}
 
     def fenced(self, i: int) -> bool:
         k = bisect_right(self.fence_starts, i) - 1
@@ -100,9 +101,10 @@ def pack(tree: Tree, a: int, b: int, level: int, limit: int, out: list[tuple[int
     edges = [a, *cuts, b]
     for x, y in zip(edges, edges[1:]):
         if y - x > limit and _size(text, x, y) > limit:
-            if start < x:
+            if start < x and not (start in tree.head_set and x - start <= limit // 4):
                 out.append((start, x, level))
-            pack(tree, x, y, level + 1, limit, out)
+                start = x
+            pack(tree, start, y, level + 1, limit, out)  # a heading stays with what it heads
             start = y
         elif start < x and _size(text, start, y) > limit:
             out.append((start, x, level))
@@ -137,7 +139,7 @@ def split(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[
         if a >= b:
             continue
         s = a
-        if out and level > HEADS and overlap:
+        if out and level > HEADS and overlap and a not in tree.head_set:
             low = max(a - overlap, b - limit, before + 1)
             if low < a and text[low:a].strip():
                 s = _begin(text, low, a)

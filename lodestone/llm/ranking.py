@@ -40,19 +40,25 @@ def directions(unique: DataFrame) -> DataFrame:
 def retriever_ranks(hits: DataFrame) -> DataFrame:
     """``ask_id, retriever, id, place``: each item's rank by each retriever.
 
-    Items without a reported rank take, in the order of their scores, the ranks that are free between
-    those of the better- and the worse-scored items: the greatest reported rank among the
-    better-scored ones, plus the number of unreported ones since.
+    Items without a reported rank take, in the order of their scores, the ranks that no item reported:
+    the j-th free rank is j plus the number of reported ranks with fewer than j free ones below. Where
+    ranks are missing from the table altogether, none goes above a better-scored item's reported rank.
     """
     u = unique_hits(hits)
     u = u.join(directions(u), "retriever", "left").withColumn("better", F.col("score") * F.coalesce("sign", F.lit(1.0)))
-    order = [F.col("better").desc_nulls_last(), F.col("rank").asc_nulls_last(), F.col("id")]
-    w = Window.partitionBy("ask_id", "retriever").orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = u.withColumn("above", F.coalesce(F.max(F.when(F.col("better").isNotNull(), F.col("rank"))).over(before), F.lit(0)))
-    gap = Window.partitionBy("ask_id", "retriever", "above").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    free = F.sum(F.when(F.col("rank").isNull(), 1).otherwise(0)).over(gap)
-    return known.select("ask_id", "retriever", "id", F.coalesce(F.col("rank"), F.col("above") + free).cast("int").alias("place"))
+    group = ["ask_id", "retriever"]
+    by_score = [F.col("better").desc_nulls_last(), F.col("rank").asc_nulls_last(), F.col("id")]
+    before = Window.partitionBy(*group).orderBy(*by_score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    unranked = F.col("rank").isNull()
+    u = u.withColumn("above", F.coalesce(F.max(F.when(F.col("better").isNotNull(), F.col("rank"))).over(before), F.lit(0)))
+    u = u.withColumn("j", F.sum(F.when(unranked, 1).otherwise(0)).over(before))
+    since = Window.partitionBy(*group, "above").orderBy(*by_score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    u = u.withColumn("after", F.col("above") + F.sum(F.when(unranked, 1).otherwise(0)).over(since))
+    by_rank = Window.partitionBy(*group, unranked).orderBy("rank", "id")
+    u = u.withColumn("free_below", F.when(unranked, F.col("j")).otherwise(F.col("rank") - F.row_number().over(by_rank)))
+    w = Window.partitionBy(*group).orderBy("free_below", unranked.desc(), "j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    free = F.col("j") + F.sum(F.when(unranked, 0).otherwise(1)).over(w)
+    return u.select(*group, "id", F.coalesce(F.col("rank"), F.greatest(free, F.col("after"))).cast("int").alias("place"))
 
 
 def fuse(hits: DataFrame, k: int = K) -> DataFrame:
