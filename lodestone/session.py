@@ -31,10 +31,14 @@ def spread(df: DataFrame) -> DataFrame:
     """Give a Python stage at least one partition per core.
 
     A file with a single row group is one scan task whatever its size; only then the rows are
-    dealt out. Inputs that already have enough partitions are left alone, so no shuffle is added.
+    dealt out. Inputs that already have enough partitions, and plans that shuffle anyway (adaptive
+    ones), are left alone, so that no shuffle is added and nothing runs ahead of time.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() < want:
+    plan = df._jdf.queryExecution()
+    if plan.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
+    if plan.toRdd().getNumPartitions() < want:
         return df.repartition(want)
     return df
 
