@@ -136,7 +136,7 @@ class Engine:
         if "history" not in questions.columns:
             return questions
         if self.condenser is None:
-            return questions.withColumn("question", T.condense("question", "history"))
+            return cut_lineage(questions.withColumn("question", T.condense("question", "history")).drop("history"))
         fn = self.condenser
 
         @F.udf("string")
@@ -147,7 +147,7 @@ class Engine:
             except Exception:
                 return None
 
-        return questions.withColumn("question", F.coalesce(with_backend("question", "history"), T.condense("question", "history")))
+        return cut_lineage(questions.withColumn("question", F.coalesce(with_backend("question", "history"), T.condense("question", "history"))).drop("history"))
 
     def wordings(self, questions: DataFrame) -> DataFrame:
         """``qid, n, question``: each question and its rewrites, at most four; a failing rewriter gives none."""
@@ -164,7 +164,8 @@ class Engine:
         return lists.select("qid", F.posexplode("w").alias("n", "question")).withColumn("n", F.col("n") + 1)
 
     def answer(self, questions: DataFrame, **options) -> DataFrame:
-        return A.answer(self.condensed(questions), self.search(questions, **options), self.answers)
+        asked = self.condensed(questions)
+        return A.answer(asked, self.search(asked, **options), self.answers)
 
     def ask(self, question: str, history: Sequence[str] = (), **options) -> dict:
         """One question, answered."""
@@ -174,8 +175,9 @@ class Engine:
 
     def stream(self, question: str, history: Sequence[str] = (), backend=None, **options) -> Iterator[tuple[str, dict]]:
         q = self.spark.createDataFrame([(0, question, list(history))], "qid bigint, question string, history array<string>")
+        q = self.condensed(q)
         hits = [r.asDict(recursive=True) for r in self.search(q, **options).orderBy("rank").collect()]  # k rows
-        return A.stream(self.condensed(q).first()["question"], hits, backend)
+        return A.stream(q.first()["question"], hits, backend)
 
     def converse(self, turns: DataFrame, **options) -> DataFrame:
         """Answers of conversations (conv_id, turn, question): every turn is condensed with those before it."""
@@ -195,7 +197,8 @@ class Engine:
 
     def evaluate_answers(self, questions: DataFrame, mode: str = "hybrid", k: int = 5) -> DataFrame:
         m = Mode.parse(mode, self.rewrite is not None)
-        answers = A.answer(self.condensed(questions), self.search(questions, k, m.retriever, m.reranker, multi=m.multi))
+        asked = self.condensed(questions)
+        answers = A.answer(asked, self.search(asked, k, m.retriever, m.reranker, multi=m.multi))
         return E.answer_summary(E.answer_quality(answers, questions))
 
     def judge(self, questions: DataFrame, mode: str = "hybrid", k: int = 5, backend=None) -> DataFrame:

@@ -3,22 +3,32 @@
 Statistics (n, df, avgdl) always cover the whole collection; ``allowed`` filters candidates before the
 rank cut. Each question's terms count once. Questions without terms and terms without postings give
 nothing. Ties, after rounding scores to nine places, go to the smaller id.
+
+One pass over the texts leaves the asked terms of each record, one row a record. A second pass over
+these rows scores a batch of records against all questions at once and hands on the best k of each
+question, so that what is shuffled is k rows per question and batch, not one per question and record.
+Stored postings are joined instead.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators.index import document_frequency, idf, small, statistics, term_counts
+from lodestone.operators.index import document_frequency, idf, record_counts, small, term_counts
 from lodestone.session import cut_lineage
 
 K1, B = 1.5, 0.75
-#: Distinct question terms sent to the tasks; with more, the postings are joined to them instead.
-VOCABULARY = 1_000_000
+#: (question, term) pairs sent to the tasks at once; with more, postings are joined to the questions.
+PAIRS = 2_000_000
+#: Cells of a batch's score matrix.
+CELLS = 4_000_000
 
 
 def query_terms(questions: DataFrame, keep: tuple[str, ...] = ("qid",)) -> DataFrame:
@@ -29,43 +39,99 @@ def query_terms(questions: DataFrame, keep: tuple[str, ...] = ("qid",)) -> DataF
 class Postings:
     """Postings of asked terms, with the statistics and document frequencies of the whole collection."""
 
-    tf: DataFrame
     stats: DataFrame
     df: DataFrame
+    tf: DataFrame | None = None
+    records: DataFrame | None = None
+    weights: dict[str, float] = field(default_factory=dict)
+    avgdl: float = 1.0
 
 
 def asked_postings(docs: DataFrame, questions: DataFrame) -> Postings:
-    """One pass over the texts: only postings of asked terms leave it. They are written once and serve
-    the statistics, the frequencies and the scores."""
+    """Postings of the questions' terms from the texts, written once."""
+    spark = docs.sparkSession
     terms = query_terms(questions, ()).distinct()
-    names = [r["term"] for r in terms.limit(VOCABULARY + 1).collect()]
-    if len(names) <= VOCABULARY:
-        counts = cut_lineage(term_counts(docs, names))
-    else:
-        every = term_counts(docs)
-        counts = cut_lineage(every.join(terms.unionByName(terms.sparkSession.createDataFrame([("",)], "term string")), "term", "left_semi"))
-    tf = counts.filter(F.col("term") != "")
-    return Postings(tf, statistics(counts), document_frequency(tf))
-
-
-def score(p: Postings, questions: DataFrame, keep: tuple[str, ...] = ("qid",)) -> DataFrame:
-    """``qid, id, score`` of every document that holds a term of the question; summed map-side first."""
+    names = [r["term"] for r in terms.limit(PAIRS + 1).collect()]
+    if len(names) > PAIRS:
+        from lodestone.operators.index import corpus_stats
+
+        tf = term_counts(docs).filter(F.col("term") != "").join(terms, "term", "left_semi")
+        return Postings(corpus_stats(docs), document_frequency(tf), tf)
+    rows = cut_lineage(record_counts(docs, names))
+    total = rows.filter(F.col("id").isNull()).agg(F.sum(F.get("tfs", F.lit(0))).alias("n"), F.sum(F.get("tfs", F.lit(1))).alias("dl")).first()
+    n, avgdl = total["n"] or 0, (total["dl"] or 0) / total["n"] if total["n"] else 0.0
+    records = rows.filter(F.col("id").isNotNull())
+    counted = records.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()  # asked terms only
+    found = [(r["term"], r["df"]) for r in counted]
+    weights = {t: float(np.log(1 + (n - d + 0.5) / (d + 0.5))) for t, d in found}
+    return Postings(spark.createDataFrame([(n, avgdl)], "n bigint, avgdl double"), spark.createDataFrame(found, "term string, df bigint"), None, records, weights, avgdl or 1.0)
+
+
+def _score_records(p: Postings, questions: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
+    """The k best records of each question and batch; some more where ties reach over the cut."""
+    spark = questions.sparkSession
+    kind = {"qid": questions.schema["qid"].dataType.simpleString(), "id": p.records.schema["id"].dataType.simpleString()}
+    asked = query_terms(questions).toArrow()
+    qids = asked["qid"].combine_chunks().dictionary_encode()
+    order = sorted(p.weights)
+    at = {t: i for i, t in enumerate(order)}
+    term = np.array([at.get(t, -1) for t in asked["term"].to_pylist()], np.int64)
+    known = term >= 0
+    q, term = np.asarray(qids.indices.to_numpy(zero_copy_only=False))[known], term[known]
+    by_term = np.argsort(term, kind="stable")
+    first = np.searchsorted(term[by_term], np.arange(len(order) + 1))
+    sent = spark.sparkContext.broadcast((qids.dictionary, at, q[by_term], first, np.array([p.weights[t] for t in order])))
+    avgdl = p.avgdl
+    rows = p.records if allowed is None else p.records.join(allowed, "id", "left_semi")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        names, at, asking, first, weight = sent.value
+        many = len(names)
+        step = max(1, CELLS // max(1, many))
+        for whole in batches:
+            for x in range(0, whole.num_rows, step):
+                b = whole.slice(x, step)
+                lists, tfs = b[2], b[3]
+                sizes = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False))
+                t = np.fromiter((at[w] for w in lists.flatten().to_pylist()), np.int64)
+                tf = np.asarray(tfs.flatten().to_numpy(zero_copy_only=False), np.float64)
+                doc = np.repeat(np.arange(b.num_rows), sizes)
+                dl = np.asarray(b[1].to_numpy(zero_copy_only=False), np.float64)[doc]
+                part = weight[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+                n = first[t + 1] - first[t]  # questions that ask for the term
+                ends = np.cumsum(n)
+                take = np.repeat(first[t] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+                cell = np.repeat(doc, n) * many + asking[take]
+                s = np.bincount(cell, np.repeat(part, n), b.num_rows * many).reshape(b.num_rows, many)
+                keep = min(k, len(s))
+                cut = np.partition(np.round(s, 9), len(s) - keep, axis=0)[len(s) - keep]
+                d, qi = np.nonzero((s > 0) & (np.round(s, 9) >= cut[None, :]))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(qi)), b[0].take(pa.array(d)), pa.array(s[d, qi])], ["qid", "id", "score"])
+
+    return rows.mapInArrow(run, f"qid {kind['qid']}, id {kind['id']}, score double")
+
+
+def _score_postings(p: Postings, questions: DataFrame) -> DataFrame:
+    """``qid, id, score`` by joining postings with the questions' terms; summed on the map side first."""
     weights = p.df.crossJoin(F.broadcast(p.stats))  # one row
     avgdl = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
-    terms = query_terms(questions, keep).join(weights, "term").select(*keep, "term", idf(F.col("n"), F.col("df")).alias("idf"), avgdl.alias("avgdl"))
+    terms = query_terms(questions).join(weights, "term").select("qid", "term", idf(F.col("n"), F.col("df")).alias("idf"), avgdl.alias("avgdl"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return p.tf.join(small(terms), "term").groupBy(*keep, "id").agg(F.sum(part).alias("score"))
+    return p.tf.join(small(terms), "term").groupBy("qid", "id").agg(F.sum(part).alias("score"))
 
 
-def top(scored: DataFrame, k: int, keep: tuple[str, ...] = ("qid",)) -> DataFrame:
+def top(scored: DataFrame, k: int) -> DataFrame:
     """The k best of each question, with ``rank``; WindowGroupLimit cuts below the shuffle."""
-    w = Window.partitionBy(*keep).orderBy(F.round("score", 9).desc(), F.col("id"))
+    w = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), F.col("id"))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def search(docs: DataFrame, questions: DataFrame, k: int = 10, allowed: DataFrame | None = None, keep: tuple[str, ...] = ("qid",), postings: Postings | None = None) -> DataFrame:
-    """``qid, id, score, rank``. ``allowed`` holds the ids, or (qid, id) pairs, that may be ranked."""
-    scored = score(postings or asked_postings(docs, questions), questions, keep)
+def search(docs: DataFrame, questions: DataFrame, k: int = 10, allowed: DataFrame | None = None, postings: Postings | None = None) -> DataFrame:
+    """``qid, id, score, rank``. ``allowed`` holds the ids that may be ranked."""
+    p = postings or asked_postings(docs, questions)
+    if p.records is not None:
+        return top(_score_records(p, questions, k, allowed), k)
+    scored = _score_postings(p, questions)
     if allowed is not None:
-        scored = scored.join(allowed, [c for c in (*keep, "id") if c in allowed.columns], "left_semi")
-    return top(scored, k, keep)
+        scored = scored.join(allowed, "id", "left_semi")
+    return top(scored, k)

@@ -41,34 +41,42 @@ def tokenized(docs: DataFrame) -> DataFrame:
     return docs.select("id", T.tokens("text").alias("toks")).withColumn("dl", F.size("toks"))
 
 
-def term_counts(docs: DataFrame, vocabulary: AnyOf[str] | None = None) -> DataFrame:
-    """``id, dl, term, tf`` for the terms of ``vocabulary`` (None: all). Rows with the empty term carry,
-    per batch, the number of records (``tf``) and of their tokens (``dl``), for the statistics."""
+def _count(memo: dict[str, tuple[bool, str | None]], wanted: frozenset[str] | None, stop: frozenset[str], text: str | None) -> tuple[int, dict[str, int]]:
+    """Length of a record and the counts of its (wanted) terms; the memo holds what becomes of a word."""
+    from lodestone.operators.dense import stem
+
+    counts: dict[str, int] = {}
+    dl = 0
+    for w, n in Counter(_find((text or "").lower())).items():
+        known = memo.get(w)
+        if known is None:
+            s = None if w in stop else stem(w)
+            known = memo[w] = (s is not None, s if wanted is None or s in wanted else None)
+        if known[0]:
+            dl += n
+            if (s := known[1]) is not None:
+                counts[s] = counts.get(s, 0) + n
+    return dl, counts
+
+
+#: Words a worker remembers.
+MEMO = 2_000_000
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """``id, dl, term, tf`` of all terms. Rows with the empty term carry, per batch, the number of records
+    (``tf``) and of their tokens (``dl``), for the statistics."""
     stop = frozenset(T.STOPWORDS)
-    sent = docs.sparkSession.sparkContext.broadcast(None if vocabulary is None else frozenset(vocabulary))
     memo: dict[str, tuple[bool, str | None]] = {}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        from lodestone.operators.dense import stem
-
-        wanted = sent.value
         for b in batches:
-            if len(memo) > 2_000_000:
+            if len(memo) > MEMO:
                 memo.clear()
             row, dls, terms, tfs = [], [], [], []
             total = 0
             for k, text in enumerate(b[1].to_pylist()):
-                counts: dict[str, int] = {}
-                dl = 0
-                for w, n in Counter(_find((text or "").lower())).items():
-                    known = memo.get(w)
-                    if known is None:
-                        s = None if w in stop else stem(w)
-                        known = memo[w] = (s is not None, s if wanted is None or s in wanted else None)
-                    if known[0]:
-                        dl += n
-                        if (s := known[1]) is not None:
-                            counts[s] = counts.get(s, 0) + n
+                dl, counts = _count(memo, None, stop, text)
                 total += dl
                 row += [k] * len(counts)
                 dls += [dl] * len(counts)
@@ -80,20 +88,44 @@ def term_counts(docs: DataFrame, vocabulary: AnyOf[str] | None = None) -> DataFr
     return spread(docs.select("id", "text")).mapInArrow(run, COUNTS.format(docs.schema["id"].dataType.simpleString()))
 
 
+def record_counts(docs: DataFrame, vocabulary: AnyOf[str]) -> DataFrame:
+    """``id, dl, terms, tfs``: the terms of ``vocabulary`` in each record that has any, one row a record.
+    Rows with a null id carry, per batch, the number of records (``tfs[0]``) and of their tokens (``tfs[1]``)."""
+    stop = frozenset(T.STOPWORDS)
+    sent = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+    memo: dict[str, tuple[bool, str | None]] = {}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            if len(memo) > MEMO:
+                memo.clear()
+            row, dls, terms, tfs = [], [], [], []
+            total = 0
+            for k, text in enumerate(b[1].to_pylist()):
+                dl, counts = _count(memo, sent.value, stop, text)
+                total += dl
+                if counts:
+                    row.append(k)
+                    dls.append(dl)
+                    terms.append(list(counts.keys()))
+                    tfs.append(list(counts.values()))
+            ids = pa.concat_arrays([b[0].take(pa.array(row, pa.int64())), pa.nulls(1, b[0].type)])
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array([*dls, 0], pa.int32()), pa.array([*terms, []], pa.list_(pa.string())), pa.array([*tfs, [b.num_rows, total]], pa.list_(pa.int64()))], ["id", "dl", "terms", "tfs"]
+            )
+
+    return spread(docs.select("id", "text")).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, dl int, terms array<string>, tfs array<bigint>")
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """``id, dl, term, tf``."""
     return term_counts(docs).filter(F.col("term") != "")
 
 
-def statistics(counts: DataFrame) -> DataFrame:
-    """One row, ``n, avgdl``, from ``term_counts``."""
-    n = F.coalesce(F.sum("tf"), F.lit(0))
-    return counts.filter(F.col("term") == "").agg(n.alias("n"), F.when(n > 0, F.sum(F.col("dl").cast("bigint")) / n).otherwise(0.0).alias("avgdl"))
-
-
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """One row: ``n, avgdl``."""
-    return statistics(term_counts(docs, ()))
+    totals = record_counts(docs, ()).filter(F.col("id").isNull()).agg(F.coalesce(F.sum(F.get("tfs", F.lit(0))), F.lit(0)).alias("n"), F.sum(F.get("tfs", F.lit(1))).alias("dl"))
+    return totals.select("n", F.when(F.col("n") > 0, F.col("dl") / F.col("n")).otherwise(0.0).alias("avgdl"))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ class Collection:
         if self._tf is None or self._stats is None:
             return bm25.asked_postings(self.docs, questions)
         tf = self._tf.join(small(bm25.query_terms(questions, ()).distinct()), "term", "left_semi")
-        return bm25.Postings(tf, self._stats, document_frequency(tf))
+        return bm25.Postings(self._stats, document_frequency(tf), tf)
 
     # rankings: qid, id, score, rank ----------------------------------------------------------
     def lexical(self, questions: DataFrame, n: int, allowed: DataFrame | None = None, postings: bm25.Postings | None = None) -> DataFrame:

@@ -60,6 +60,16 @@ def test_filters_leave_statistics_alone(spark, chunks):
     assert bm25.search(as_documents(chunks), q, 10, allowed_chunks(chunks, sources=["none/*"])).count() == 0
 
 
+def test_more_terms_than_are_sent(spark, chunks, monkeypatch):
+    q = ask(spark, "dogs near cat", "garden")
+    key = lambda: sorted((r["qid"], r["id"], round(r["score"], 9), r["rank"]) for r in bm25.search(as_documents(chunks), q, 3).collect())
+    sent = key()
+    monkeypatch.setattr(bm25, "CELLS", 2)
+    assert key() == sent
+    monkeypatch.setattr(bm25, "PAIRS", 1)
+    assert key() == sent
+
+
 def test_empty_collection(spark, chunks):
     empty = chunks.limit(0)
     assert bm25.search(as_documents(empty), ask(spark, "cat"), 5).count() == 0
