@@ -116,8 +116,26 @@ c AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tf GROUP BY term),
 total AS (SELECT sum(cf)::DOUBLE AS nn FROM c)"""
 
 
+_UNIT = """v AS (SELECT DISTINCT id, doc_id, vector FROM chunks
+        WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+    u AS (SELECT id, doc_id, vector::DOUBLE[] AS w, sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[])) AS l FROM v)"""
+_RANKED = """
+    d AS (SELECT ask_id, lower(trim(retriever)) AS r, id, max(score) FILTER (NOT isnan(score)) AS s, min(ranks[lower(trim(retriever))]) AS rk
+          FROM hits WHERE ask_id IS NOT NULL AND retriever IS NOT NULL AND id IS NOT NULL GROUP BY ALL),
+    way AS (SELECT r, CASE WHEN sum(sign(c)) > 0 THEN -1 ELSE 1 END AS sg FROM (SELECT r, ask_id, corr(s, rk) AS c FROM d WHERE s IS NOT NULL AND rk IS NOT NULL GROUP BY r, ask_id) WHERE NOT isnan(c) GROUP BY r),
+    g AS (SELECT ask_id, r, unnest(range(1, count(*) + 1)) AS place FROM d GROUP BY ask_id, r),
+    free AS (SELECT ask_id, r, place, row_number() OVER (PARTITION BY ask_id, r ORDER BY place) AS j FROM g ANTI JOIN (SELECT ask_id, r, rk AS place FROM d WHERE rk IS NOT NULL) USING (ask_id, r, place)),
+    lost AS (SELECT ask_id, r, id, row_number() OVER (PARTITION BY ask_id, r ORDER BY s * coalesce(sg, 1) DESC NULLS LAST, id) AS j FROM d LEFT JOIN way USING (r) WHERE rk IS NULL),
+    places AS (SELECT ask_id, id, rk AS place FROM d WHERE rk IS NOT NULL UNION ALL SELECT lost.ask_id, id, place FROM lost JOIN free USING (ask_id, r, j)),
+    f AS (SELECT ask_id, id, round(sum(1.0::DOUBLE / (60 + place)), 12) AS score FROM places GROUP BY ask_id, id),
+    o AS (SELECT *, row_number() OVER (PARTITION BY ask_id ORDER BY score DESC, id) AS place FROM f)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": f"WITH {_UNIT} SELECT a.id AS id_a, b.id AS id_b FROM u a JOIN u b ON a.id < b.id WHERE list_dot_product(a.w, b.w) / (a.l * b.l) >= 0.9",
+        "p6_found": f"WITH {_RANKED} SELECT ask_id, id FROM o WHERE place = 1",
+        "p6_ranking": f"WITH {_RANKED} SELECT ask_id, id, round(score, 6) AS score, place::INT AS place FROM o",
         "p2_found": f"WITH {_TERMS} SELECT DISTINCT id, term FROM tf JOIN c USING (term) WHERE tf >= 3 AND df <= 5",
         "p2_scores": f"""
             WITH {_TERMS},
@@ -133,10 +151,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT id FROM r WHERE length(text) > 800
             UNION SELECT id FROM s WHERE left(t, k) = right(p, k)""",
         "p4_nearest": """
-            WITH v AS (SELECT DISTINCT id, doc_id, vector FROM chunks
-                       WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-                       AND len(list_filter(vector, lambda x: x <> 0)) > 0),
-            u AS (SELECT id, doc_id, vector::DOUBLE[] AS w, sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[])) AS l FROM v),
+            WITH """ + _UNIT + """,
             s AS (SELECT q.id, r.id AS neighbour, list_dot_product(q.w, r.w) / (q.l * r.l) AS c FROM u q JOIN u r ON q.id <> r.id WHERE q.doc_id % 50 = 0),
             p AS (SELECT id, neighbour, c, row_number() OVER (PARTITION BY id ORDER BY round(c, 9) DESC, neighbour) AS place FROM s)
             SELECT id, neighbour, round(c, 4) AS cosine, place::INT AS place FROM p WHERE place <= 10""",

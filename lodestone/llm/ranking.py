@@ -47,7 +47,8 @@ def retriever_ranks(hits: DataFrame) -> DataFrame:
     u = unique_hits(hits)
     u = u.join(directions(u), "retriever", "left").withColumn("better", F.col("score") * F.coalesce("sign", F.lit(1.0)))
     group = ["ask_id", "retriever"]
-    by_score = [F.col("better").desc_nulls_last(), F.col("rank").asc_nulls_last(), F.col("id")]
+    # of equal scores the unranked come first, so that only strictly better ranked items are above them
+    by_score = [F.col("better").desc_nulls_last(), F.col("rank").asc_nulls_first(), F.col("id")]
     before = Window.partitionBy(*group).orderBy(*by_score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     unranked = F.col("rank").isNull()
     u = u.withColumn("above", F.coalesce(F.max(F.when(F.col("better").isNotNull(), F.col("rank"))).over(before), F.lit(0)))

@@ -8,9 +8,8 @@ within a quotation counts only if the sentence does not go on after it.
 Rules that hold everywhere: a blank line always ends a sentence, a single line break never does;
 offsets count code points, ends are exclusive, outer white space is left out and closing quotes and
 brackets are kept. Null, empty and blank texts have no sentences; a text without any mark is one
-sentence; long texts are handled whole (only the DP's look-back is limited: spans over ``LOOK_BACK``
-candidates are considered only where nothing shorter is allowed). Repeated rows of an id give their
-spans once; columns other than those named are ignored.
+sentence; long texts are handled whole. Repeated rows of an id give their spans once; columns other
+than those named are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +24,6 @@ from pyspark.sql import functions as F
 
 from lodestone.session import spread
 
-LOOK_BACK = 40
-
 # Abbreviations by what may follow them.
 # A title or a word that always goes on.
 TITLES = frozenset(
@@ -310,14 +307,16 @@ def _paragraph(text: str, a: int, b: int, out: list[tuple[int, int]]) -> None:
     # best[j]: best score of a division that ends at candidate j
     best = [0.0] * k
     back = [0] * k
+    peak = [0.0] * (k + 1)  # the best score of any division that ends before
     for j in range(k):
         ej, sj, oj = ends[j], scores[j], opened[j]
         base = sj - 6.0 * cross[j]
         top, arg = -1e9, 0
-        lo = 0 if j < LOOK_BACK else j - LOOK_BACK
-        for i in range(j, lo - 1, -1):
+        for i in range(j, -1, -1):
             st = starts[i]
             length = ej - st
+            if base + peak[i] + 2.0 - (0.002 * (length - 500) if length > 500 else 0.0) < top:
+                break  # no longer span can be better: peak falls and length grows
             s = base + (best[i - 1] if i else 0.0)
             if length < 12:
                 s -= 1.2 if not _wide(text[st]) or length < 3 else 0.0
@@ -334,6 +333,7 @@ def _paragraph(text: str, a: int, b: int, out: list[tuple[int, int]]) -> None:
             if s > top:
                 top, arg = s, i
         best[j], back[j] = top, arg
+        peak[j + 1] = top if j == 0 or top > peak[j] else peak[j]
     spans, j = [], k - 1
     while j >= 0:
         i = back[j]
