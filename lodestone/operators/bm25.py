@@ -27,7 +27,7 @@ from lodestone.session import cut_lineage
 K1, B = 1.5, 0.75
 #: (question, term) pairs sent to the tasks at once; with more, postings are joined to the questions.
 PAIRS = 2_000_000
-#: Cells of a batch's score matrix.
+#: Cells of a score matrix, and sums that go into it, handled at once.
 CELLS = 4_000_000
 
 
@@ -87,26 +87,31 @@ def _score_records(p: Postings, questions: DataFrame, k: int, allowed: DataFrame
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         names, at, asking, first, weight = sent.value
         many = len(names)
-        step = max(1, CELLS // max(1, many))
         for whole in batches:
-            for x in range(0, whole.num_rows, step):
-                b = whole.slice(x, step)
-                lists, tfs = b[2], b[3]
-                sizes = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False))
-                t = np.fromiter((at[w] for w in lists.flatten().to_pylist()), np.int64)
-                tf = np.asarray(tfs.flatten().to_numpy(zero_copy_only=False), np.float64)
-                doc = np.repeat(np.arange(b.num_rows), sizes)
-                dl = np.asarray(b[1].to_numpy(zero_copy_only=False), np.float64)[doc]
-                part = weight[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
-                n = first[t + 1] - first[t]  # questions that ask for the term
+            ids, lens = whole[0], np.asarray(whole[1].to_numpy(zero_copy_only=False), np.float64)
+            sizes = np.asarray(whole[2].value_lengths().to_numpy(zero_copy_only=False))
+            terms = np.fromiter((at[w] for w in whole[2].flatten().to_pylist()), np.int64)
+            tfs = np.asarray(whole[3].flatten().to_numpy(zero_copy_only=False), np.float64)
+            docs = np.repeat(np.arange(whole.num_rows), sizes)
+            asked = first[terms + 1] - first[terms]  # questions that ask for the term
+            # records are taken in runs of about CELLS cells and sums
+            cost = np.cumsum(np.bincount(docs, asked, whole.num_rows) + many)
+            x = 0
+            while x < whole.num_rows:
+                y = max(x + 1, int(np.searchsorted(cost, (cost[x - 1] if x else 0) + CELLS, "right")))
+                lo, hi = np.searchsorted(docs, [x, y])
+                t, tf, doc, n = terms[lo:hi], tfs[lo:hi], docs[lo:hi], asked[lo:hi]
+                part = weight[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[doc] / avgdl))
                 ends = np.cumsum(n)
                 take = np.repeat(first[t] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-                cell = np.repeat(doc, n) * many + asking[take]
-                s = np.bincount(cell, np.repeat(part, n), b.num_rows * many).reshape(b.num_rows, many)
-                keep = min(k, len(s))
-                cut = np.partition(np.round(s, 9), len(s) - keep, axis=0)[len(s) - keep]
-                d, qi = np.nonzero((s > 0) & (np.round(s, 9) >= cut[None, :]))
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(qi)), b[0].take(pa.array(d)), pa.array(s[d, qi])], ["qid", "id", "score"])
+                cell = np.repeat((doc - x) * many, n) + asking[take]
+                s = np.bincount(cell, np.repeat(part, n), (y - x) * many).reshape(y - x, many)
+                r = np.round(s, 9)
+                keep = min(k, y - x)
+                cut = np.partition(r, y - x - keep, axis=0)[y - x - keep]
+                d, qi = np.nonzero((s > 0) & (r >= cut[None, :]))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(qi)), ids.take(pa.array(d + x)), pa.array(s[d, qi])], ["qid", "id", "score"])
+                x = y
 
     return rows.mapInArrow(run, f"qid {kind['qid']}, id {kind['id']}, score double")
 
