@@ -7,9 +7,7 @@ go to the smaller id.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -49,43 +47,61 @@ class HashingEmbedder:
     """Words, padded character trigrams and word pairs, hashed with signs into ``dim`` buckets.
 
     Weights 1, 0.3 and 0.7 are summed per feature, dampened by log1p and scaled to unit length.
-    Bucket and sign come from an 8-byte blake2b; a worker remembers them.
+    Bucket and sign come from an 8-byte blake2b. Features are numbered as they are met; a worker
+    remembers numbers, buckets and the features of each word, and sums a batch in numpy.
     """
 
+    WEIGHTS = {"w": 1.0, "c": 0.3, "b": 0.7}
+    MEMORY = 2_000_000
+
     def __init__(self, dim: int = 1024):
         if dim < 1:
             raise ValueError("dim must be positive")
         self.dim, self.name = dim, f"hash:{dim}"
-        self.memo: dict[str, tuple[int, float]] = {}
-
-    def bucket(self, feature: str) -> tuple[int, float]:
-        b = self.memo.get(feature)
-        if b is None:
-            h = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little")
-            b = self.memo[feature] = (h % self.dim, 1.0 if h >> 63 else -1.0)
-            if len(self.memo) > 1_000_000:
-                self.memo = {feature: b}
-        return b
-
-    def features(self, text: str) -> dict[str, float]:
-        words = tokens(text)
-        out: dict[str, float] = {}
-        for w, n in Counter(words).items():
-            out["w:" + w] = float(n)
+        self.reset()
+
+    def reset(self) -> None:
+        self.number: dict[str, int] = {}
+        self.of_word: dict[str, list[int]] = {}
+        self.bucket: list[int] = []
+        self.sign: list[float] = []
+        self.unit: list[float] = []
+
+    def feature(self, name: str) -> int:
+        k = self.number.get(name)
+        if k is None:
+            h = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
+            k = self.number[name] = len(self.bucket)
+            self.bucket.append(h % self.dim)
+            self.sign.append(1.0 if h >> 63 else -1.0)
+            self.unit.append(self.WEIGHTS[name[0]])
+        return k
+
+    def word_features(self, w: str) -> list[int]:
+        got = self.of_word.get(w)
+        if got is None:
             p = f"<{w}>"
-            for i in range(len(p) - 2):
-                g = "c:" + p[i : i + 3]
-                out[g] = out.get(g, 0.0) + 0.3 * n
-        for pair, n in Counter(zip(words, words[1:])).items():
-            out["b:" + " ".join(pair)] = 0.7 * n
-        return out
+            got = self.of_word[w] = [self.feature("w:" + w), *(self.feature("c:" + p[i : i + 3]) for i in range(len(p) - 2))]
+        return got
 
     def embed(self, texts: list[str | None]) -> np.ndarray:
-        v = np.zeros((len(texts), self.dim))
-        for row, text in zip(v, texts):
-            for f, weight in self.features(text or "").items():
-                k, sign = self.bucket(f)
-                row[k] += sign * math.log1p(weight)
+        if len(self.number) > self.MEMORY:
+            self.reset()
+        n = len(texts)
+        found: list[int] = []
+        sizes = np.zeros(n, np.int64)
+        for k, text in enumerate(texts):
+            before = len(found)
+            words = tokens(text) if text else []
+            for w in words:
+                found += self.word_features(w)
+            found += [self.feature(f"b:{x} {y}") for x, y in zip(words, words[1:])]
+            sizes[k] = len(found) - before
+        key, count = np.unique(np.repeat(np.arange(n), sizes) << 32 | np.array(found, np.int64), return_counts=True)
+        row, f = key >> 32, key & 0xFFFFFFFF
+        value = np.array(self.sign)[f] * np.log1p(count * np.array(self.unit)[f]) if len(f) else np.zeros(0)
+        cell = row * self.dim + np.array(self.bucket, np.int64)[f] if len(f) else np.zeros(0, np.int64)
+        v = np.bincount(cell, value, n * self.dim).reshape(n, self.dim)
         norm = np.sqrt((v * v).sum(1))
         norm[norm == 0] = 1.0
         return (v / norm[:, None]).astype(np.float32)

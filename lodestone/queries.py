@@ -249,8 +249,10 @@ def ingest_classify(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prune_removed(spark: SparkSession, sf: str) -> DataFrame:
-    incoming, known = _files(spark, sf)
-    return ingest.pruned(known, incoming, incoming)
+    """Files whose newest delivery is blank are missing from the batch, and so are pruned."""
+    files, _ = _files(spark, sf)
+    batch = files.filter(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", "") != "")
+    return ingest.pruned(files.select("source", "origin"), batch, batch)
 
 
 def doc_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -445,7 +447,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'bm25' AS mode, round(avg(CASE WHEN rank <= 1 THEN 1 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1 ELSE 0 END), 6) AS recall_3,
                    round(avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END), 6) AS recall_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, round(avg(docs), 6) AS docs FROM every""",
         "ingest_classify": f"WITH {_file_ctes()} SELECT d.src AS source, CASE WHEN l.src IS NULL THEN 'added' WHEN l.h = d.h THEN 'unchanged' ELSE 'updated' END AS action FROM d LEFT JOIN (FROM l WHERE k = 1) l ON l.src = d.src WHERE d.k = 1",
-        "prune_removed": f"WITH {_file_ctes()} SELECT src AS source FROM l WHERE k = 1 AND o IN (SELECT o FROM d) AND src NOT IN (SELECT src FROM d)",
+        "prune_removed": f"""WITH d AS (SELECT {_ORIGIN} AS o, {_ORIGIN} || '/' || coalesce(source, '') AS src, regexp_replace(coalesce(text, ''), '[ \\t\\n\\x{{0b}}\\f\\r]', '', 'g') <> '' AS full,
+              row_number() OVER (PARTITION BY {_ORIGIN}, source ORDER BY ingested_at DESC NULLS LAST, doc_id DESC) AS k FROM documents)
+            SELECT src AS source FROM d WHERE k = 1 AND NOT d.full AND o IN (SELECT o FROM d WHERE k = 1 AND d.full)""",
         "doc_stats": """SELECT c.doc_id::VARCHAR AS source, count(*) AS chunks, sum(length(text))::BIGINT AS chars, any_value(d.origin) AS origin,
               any_value(coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(coalesce(d.tags, []), lambda t: trim(t) <> ''), lambda t: lower(trim(t))))), ','), '')) AS tags
             FROM (SELECT DISTINCT id, doc_id, text FROM chunks) c LEFT JOIN (SELECT doc_id, origin, tags FROM documents) d ON d.doc_id = c.doc_id GROUP BY c.doc_id""",

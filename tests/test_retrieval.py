@@ -94,6 +94,28 @@ def test_hashing_embedder():
         dense.embedder("word2vec")
 
 
+def test_embedding_by_hand():
+    import hashlib
+
+    text, dim = "limits queries limit", 16
+    weights = {}
+    words = ["limit", "query", "limit"]
+    for w in words:
+        weights["w:" + w] = weights.get("w:" + w, 0) + 1.0
+        p = f"<{w}>"
+        for i in range(len(p) - 2):
+            weights["c:" + p[i : i + 3]] = weights.get("c:" + p[i : i + 3], 0) + 0.3
+    for a, b in zip(words, words[1:]):
+        weights[f"b:{a} {b}"] = weights.get(f"b:{a} {b}", 0) + 0.7
+    v = np.zeros(dim)
+    for f, x in weights.items():
+        h = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "little")
+        v[h % dim] += (1 if h >> 63 else -1) * math.log1p(x)
+    got = dense.HashingEmbedder(dim).embed(["", text, None, "the of"])
+    assert np.allclose(got[1], v / np.linalg.norm(v), atol=1e-6) and not got[[0, 2, 3]].any()
+    assert dense.HashingEmbedder(dim).embed([]).shape == (0, dim)
+
+
 def test_dense_against_brute_force(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 16)).astype(np.float32)
