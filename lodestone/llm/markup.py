@@ -581,8 +581,8 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         )
 
 
-def clean_documents(docs: DataFrame, broadcast_hosts: int = 20_000) -> DataFrame:
-    """``doc_id, seq, element, content`` for every block of every document.
+def _with_templates(docs: DataFrame, broadcast_hosts: int) -> DataFrame:
+    """``doc_id, text`` of every document, with the template hashes of its host as ``drop`` if any host has some.
 
     Template hashes are broadcast only if their host count was checked to be at most
     ``broadcast_hosts``; beyond it they are joined by host.
@@ -590,21 +590,28 @@ def clean_documents(docs: DataFrame, broadcast_hosts: int = 20_000) -> DataFrame
     templates = cut_lineage(site_templates(docs))
     hosts = templates.count()
     rows = docs.select("doc_id", "text", host_of().alias("host"))
-    if hosts:
-        side = F.broadcast(templates) if hosts <= broadcast_hosts else templates
-        rows = rows.join(side, "host", "left").select("doc_id", "text", "drop")
-    else:
-        rows = rows.select("doc_id", "text")
-    return spread(rows).mapInArrow(_blocks, "doc_id bigint, seq int, element string, content string")
+    if not hosts:
+        return spread(rows.select("doc_id", "text"))
+    side = F.broadcast(templates) if hosts <= broadcast_hosts else templates
+    return spread(rows.join(side, "host", "left").select("doc_id", "text", "drop"))
+
+
+def clean_documents(docs: DataFrame, broadcast_hosts: int = 20_000) -> DataFrame:
+    """``doc_id, seq, element, content`` for every block of every document, without its site's templates."""
+    return _with_templates(docs, broadcast_hosts).mapInArrow(_blocks, "doc_id bigint, seq int, element string, content string")
+
 
+def clean_text(docs: DataFrame, broadcast_hosts: int = 20_000) -> DataFrame:
+    """``doc_id, clean``: one text per document, structure kept as Markdown, without its site's templates.
 
-def clean_text(docs: DataFrame) -> DataFrame:
-    """``doc_id, clean``: one text per document, structure kept as Markdown."""
+    The text is made of the blocks of ``clean_documents``; a document without blocks has an empty one.
+    """
 
     def render(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         form = {"heading": "# {}", "item": "- {}", "code": "```\n{}\n```", "formula": "$$\n{}\n$$"}
         for b in batches:
-            texts = ["\n\n".join(form.get(k, "{}").replace("{}", c) for k, c in parse_blocks(t)) for t in b[1].to_pylist()]
+            drops = b[2].to_pylist() if b.num_columns > 2 else [None] * b.num_rows
+            texts = ["\n\n".join(form.get(k, "{}").replace("{}", c) for k, c in parse_blocks(t, frozenset(d or ()))) for t, d in zip(b[1].to_pylist(), drops)]
             yield pa.RecordBatch.from_arrays([b[0], pa.array(texts, pa.string())], ["doc_id", "clean"])
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(render, "doc_id bigint, clean string")
+    return _with_templates(docs, broadcast_hosts).mapInArrow(render, "doc_id bigint, clean string")

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestone.llm.markup import clean_documents, parse_blocks, site_templates
+from lodestone.llm.markup import clean_documents, clean_text, parse_blocks, site_templates
 
 MARKED = ("heading", "item", "code", "formula")
 
@@ -94,3 +94,15 @@ def test_site_templates(spark):
     by_join = {(r["doc_id"], r["element"], r["content"]) for r in clean_documents(df, broadcast_hosts=0).collect()}
     assert by_join == {(d, *b) for d, s in found.items() for b in s}
     assert clean_documents(df.limit(0)).count() == 0
+
+
+def test_clean_text_has_no_templates(spark):
+    rows = [(n, f"p{n}.html", "https://a.example/x", page(n, "<p>Own words.</p>")) for n in range(8)]
+    rows += [(100, "p.html", "https://c.example/x", page(1)), (101, "n", "https://a.example/x", None), (102, "e", None, " ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, origin string, text string")
+    for got in (clean_text(df), clean_text(df, broadcast_hosts=0)):
+        texts = {r["doc_id"]: r["clean"] for r in got.collect()}
+        assert len(texts) == got.count() == 11 and texts[101] == texts[102] == ""
+        assert texts[3] == "# Page 3\n\n- own 3\n\nOwn words."
+        assert texts[100] == "Site notice\n\n- menu entry\n\n# Page 1\n\n- own 1"
+    assert clean_text(df.limit(0)).count() == 0
