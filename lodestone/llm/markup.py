@@ -50,6 +50,7 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b([^>]*)>")
 _ANY_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _MARK = re.compile(r"\x00(\d+)\x00")
 _INLINE_MARK = re.compile(r"\x01(\d+)\x01")
+_ANY_MARK = re.compile(r"([\x00\x01])(\d+)\1")
 _IS_HTML = re.compile(r"(?i)<(?:!doctype|html|body)\b")
 _WIKI_HEAD = re.compile(r"(?m)^(={1,6})[ \t]*([^=\n](?:[^\n]*?[^=\n])?)[ \t]*\1[ \t]*$")
 _MD_HEAD = re.compile(r"^ {0,3}#{1,6}(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
@@ -215,6 +216,10 @@ class _Parser:
             return f"\x01{k}\x01"
         return f"\n\x00{k}\x00\n"
 
+    def lift(self, text: str) -> str:
+        """The text with marks for code and formulas, which go to ``kept``, and without comments and scripts."""
+        return _LIFT.sub(self._lift, text) if _LIFT_HINT.search(text) else text
+
     def emit(self, kind: str, raw: str) -> None:
         if "\x01" in raw:
             for m in _INLINE_MARK.finditer(raw):
@@ -232,7 +237,7 @@ class _Parser:
 
     # HTML -------------------------------------------------------------------------------------
     def html(self, text: str, page: bool) -> None:
-        ends = template_spans(text, self.drop) if self.drop and page else {}
+        ends = template_spans(text, self.drop, self.kept) if self.drop and page else {}
         pos, buf, kind, skip, skip_depth, bare = 0, [], "para", "", 0, page
         table = 0
 
@@ -479,18 +484,24 @@ class _Parser:
         return j
 
 
-def parse_blocks(text: str | None, drop: frozenset[int] = frozenset()) -> list[Block]:
-    if not text or text.isspace():
-        return []
-    p = _Parser(drop)
+def _plain(text: str) -> str:
+    """The text with one kind of line end, no byte order mark, and none of the characters that marks are made of."""
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-    if text[0] == "\ufeff":
+    if text.startswith("\ufeff"):
         text = text.lstrip("\ufeff")
     if "\x00" in text or "\x01" in text or "\x02" in text:
         text = re.sub("[\x00-\x02]", " ", text)
+    return text
+
+
+def parse_blocks(text: str | None, drop: frozenset[int] = frozenset()) -> list[Block]:
+    if not text or text.isspace():
+        return []
+    p = _Parser(drop)
+    text = _plain(text)
     page = "<" in text[:400] and _IS_HTML.search(text[:400]) is not None
-    body = _LIFT.sub(p._lift, text) if _LIFT_HINT.search(text) else text
+    body = p.lift(text)
     if page:
         p.html(body, True)
         return p.out
@@ -503,8 +514,11 @@ def parse_blocks(text: str | None, drop: frozenset[int] = frozenset()) -> list[B
     return p.out
 
 
-def container_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, hash) of each container element of an HTML page, for template counting."""
+def container_spans(text: str, kept: list[Block]) -> list[tuple[int, int, int]]:
+    """(start, end, hash) of each container element of a lifted HTML page, for template counting.
+
+    What was lifted out counts with its kind and content, not with its running number in the page.
+    """
     open_at: dict[str, list[int]] = {}
     found = []
     for m in _TAG.finditer(text):
@@ -516,12 +530,21 @@ def container_spans(text: str) -> list[tuple[int, int, int]]:
                 open_at.setdefault(name, []).append(m.start())
         elif open_at.get(name):
             a = open_at[name].pop()
-            found.append((a, m.end(), xxhash.xxh64_intdigest(squeeze(text[a : m.end()])) - 2**63))
+            s = squeeze(text[a : m.end()])
+            if kept:
+                s = _ANY_MARK.sub(lambda k: "\x00{} {}\x00".format(*kept[int(k[2])]), s)
+            found.append((a, m.end(), xxhash.xxh64_intdigest(s) - 2**63))
     return found
 
 
-def template_spans(text: str, drop: frozenset[int]) -> dict[int, int]:
-    return {a: e for a, e, h in container_spans(text) if h in drop}
+def subtree_hashes(text: str) -> set[int]:
+    """Hashes of the containers of a page, of the same form as those that are removed."""
+    p = _Parser(frozenset())
+    return {h for _, _, h in container_spans(p.lift(_plain(text)), p.kept)}
+
+
+def template_spans(text: str, drop: frozenset[int], kept: list[Block]) -> dict[int, int]:
+    return {a: e for a, e, h in container_spans(text, kept) if h in drop}
 
 
 # Spark ------------------------------------------------------------------------------------------
@@ -536,7 +559,7 @@ def _subtrees(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     for b in batches:
         hosts, pages, hashes = [], [], []
         for host, page, text in zip(b[0].to_pylist(), b[1].to_pylist(), b[2].to_pylist()):
-            for h in {h for _, _, h in container_spans(_LIFT.sub(" ", text))}:
+            for h in subtree_hashes(text):
                 hosts.append(host)
                 pages.append(page)
                 hashes.append(h)

@@ -106,3 +106,15 @@ def test_clean_text_has_no_templates(spark):
         assert texts[3] == "# Page 3\n\n- own 3\n\nOwn words."
         assert texts[100] == "Site notice\n\n- menu entry\n\n# Page 1\n\n- own 1"
     assert clean_text(df.limit(0)).count() == 0
+
+
+def test_templates_with_code_and_formulas(spark):
+    box = "<div><p>Install</p>{}<pre>pip install x\n</pre><ul><li>cost \\(n\\)</li></ul></div>\r\n<section><pre>y {}</pre></section>"
+    rows = [(n, f"p{n}.html", "https://a.example/x", page(n, f"<pre>own {n}</pre>" * (n % 3) + box.format("<!-- built -->", n))) for n in range(8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, origin string, text string")
+    assert [len(r["drop"]) for r in site_templates(df).collect()] == [4]  # both divs, and the lists in them; no section: their code differs
+    found = {}
+    for r in clean_documents(df).collect():
+        found.setdefault(r["doc_id"], []).append((r["element"], r["content"]))
+    for n in range(8):
+        assert sorted(found[n]) == sorted([("heading", f"Page {n}"), ("item", f"own {n}"), ("code", f"y {n}")] + [("code", f"own {n}")] * (n % 3))
