@@ -226,8 +226,8 @@ def _closing(text: str, a: int, i: int, e: int, end: int, mark: str, quoted: boo
     return 2.5
 
 
-def segment(text: str | None) -> list[tuple[int, int]]:
-    """Spans of the sentences of a text."""
+def segment(text: str | None, prune: bool = True) -> list[tuple[int, int]]:
+    """Spans of the sentences of a text. ``prune`` leaves out spans that cannot be best; the result is the same."""
     if not text:
         return []
     out: list[tuple[int, int]] = []
@@ -235,12 +235,12 @@ def segment(text: str | None) -> list[tuple[int, int]]:
     while a < n:
         m = _PARA.search(text, a) if "\n" in text else None
         b, nxt = (m.start(), m.end()) if m else (n, n)
-        _paragraph(text, a, b, out)
+        _paragraph(text, a, b, out, prune)
         a = nxt
     return out
 
 
-def _paragraph(text: str, a: int, b: int, out: list[tuple[int, int]]) -> None:
+def _paragraph(text: str, a: int, b: int, out: list[tuple[int, int]], prune: bool = True) -> None:
     while a < b and text[a].isspace():
         a += 1
     while b > a and text[b - 1].isspace():
@@ -307,7 +307,7 @@ def _paragraph(text: str, a: int, b: int, out: list[tuple[int, int]]) -> None:
     # best[j]: best score of a division that ends at candidate j
     best = [0.0] * k
     back = [0] * k
-    peak = [0.0] * (k + 1)  # the best score of any division that ends before
+    peak = [0.0] * (k + 1)  # the best score of any division that ends before, the empty one (0) included
     for j in range(k):
         ej, sj, oj = ends[j], scores[j], opened[j]
         base = sj - 6.0 * cross[j]
@@ -315,8 +315,8 @@ def _paragraph(text: str, a: int, b: int, out: list[tuple[int, int]]) -> None:
         for i in range(j, -1, -1):
             st = starts[i]
             length = ej - st
-            if base + peak[i] + 2.0 - (0.002 * (length - 500) if length > 500 else 0.0) < top:
-                break  # no longer span can be better: peak falls and length grows
+            if prune and base + peak[i] + 2.0 - (0.002 * (length - 500) if length > 500 else 0.0) < top - 1e-9:
+                break  # no longer span can be better: peak falls with i, and length grows
             s = base + (best[i - 1] if i else 0.0)
             if length < 12:
                 s -= 1.2 if not _wide(text[st]) or length < 3 else 0.0
@@ -333,7 +333,7 @@ def _paragraph(text: str, a: int, b: int, out: list[tuple[int, int]]) -> None:
             if s > top:
                 top, arg = s, i
         best[j], back[j] = top, arg
-        peak[j + 1] = top if j == 0 or top > peak[j] else peak[j]
+        peak[j + 1] = top if top > peak[j] else peak[j]
     spans, j = [], k - 1
     while j >= 0:
         i = back[j]

@@ -1,7 +1,7 @@
 import itertools
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from lodestone.llm.sentences import segment, sentences
@@ -81,3 +81,17 @@ def test_table(spark):
     assert got == [("a", 0, 9), ("a", 10, 19), ("g", 0, 10), ("g", 11, 19)]
     assert sentences(df.limit(0)).count() == 0
     assert {r["id"] for r in sentences(df, prose_only=False).select("id").collect()} == {"a", "b", "c", "f", "g"}
+
+
+PARTS = ["Use it ", "(it works. Always so)", "(no! yes it is)", " on Linux vs. Windows", '"Go now! then stop."', " A. ", "B. Smith", "The end is near now.", ". ", "! ", " see it", "e.g. this", "x" * 300]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), min_size=2, max_size=10).map("".join))
+@example("Use it (it works. Always so) on Linux vs. Windows as you like. The end is near now.")
+def test_pruning_is_exact(text):
+    assert segment(text) == segment(text, prune=False)
+
+
+def test_paragraph_that_opens_with_a_weak_end():
+    assert cut("Use it (it works. Always so) on Linux vs. Windows as you like. The end is near now.") == ["Use it (it works. Always so) on Linux vs. Windows as you like.", "The end is near now."]
