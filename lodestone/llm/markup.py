@@ -52,6 +52,16 @@ _MARK = re.compile(r"\x00(\d+)\x00")
 _INLINE_MARK = re.compile(r"\x01(\d+)\x01")
 _ANY_MARK = re.compile(r"([\x00\x01])(\d+)\1")
 _IS_HTML = re.compile(r"(?i)<(?:!doctype|html|body)\b")
+# code that is not lifted out: spans within a paragraph, code elements, \\verb, and indented lines after prose
+_INLINE_CODE = re.compile(
+    r"""(?isx)
+      (?<!`)(?P<tick>`+)(?!`)(?:(?!\n[ \t]*\n).)+?(?<!`)(?P=tick)(?!`)
+    | <(?P<el>code|tt|kbd|samp|nowiki|textarea)\b[^>]*>(?:(?!<(?P=el)\b).)*?</(?P=el)\s*>
+    | \\(?:verb|lstinline)\*?(?P<bar>[^\w\s*{])[^\n]*?(?P=bar)
+    | \\(?:texttt|lstinline)\{[^{}]*\}
+    | (?<=\S)[ \t]*\n(?:[ \t]*\n)+(?:(?:[ ]{4}|[ ]{0,3}\t)[^\n]*(?:\n(?:[ \t]*\n)*|\Z))+
+    """
+)
 _WIKI_HEAD = re.compile(r"(?m)^(={1,6})[ \t]*([^=\n](?:[^\n]*?[^=\n])?)[ \t]*\1[ \t]*$")
 _MD_HEAD = re.compile(r"^ {0,3}#{1,6}(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 # a line of # is a heading of Markdown where it stands alone, else an item of a numbered wiki list
@@ -495,14 +505,18 @@ def _plain(text: str) -> str:
     return text
 
 
+def is_page(body: str) -> bool:
+    """Whether a lifted text is an HTML page: a doctype, html or body tag stands anywhere in it outside code."""
+    return "<" in body and _IS_HTML.search(body) is not None and _IS_HTML.search(_INLINE_CODE.sub(" ", body)) is not None
+
+
 def parse_blocks(text: str | None, drop: frozenset[int] = frozenset()) -> list[Block]:
     if not text or text.isspace():
         return []
     p = _Parser(drop)
     text = _plain(text)
-    page = "<" in text[:400] and _IS_HTML.search(text[:400]) is not None
     body = p.lift(text)
-    if page:
+    if is_page(body):
         p.html(body, True)
         return p.out
     tex = len(_TEX_HEADS.findall(body)) if "\\" in body else 0
@@ -537,10 +551,11 @@ def container_spans(text: str, kept: list[Block]) -> list[tuple[int, int, int]]:
     return found
 
 
-def subtree_hashes(text: str) -> set[int]:
-    """Hashes of the containers of a page, of the same form as those that are removed."""
+def subtree_hashes(text: str) -> set[int] | None:
+    """Hashes of the containers of a page, of the same form as those that are removed; None: not a page."""
     p = _Parser(frozenset())
-    return {h for _, _, h in container_spans(p.lift(_plain(text)), p.kept)}
+    body = p.lift(_plain(text))
+    return {h for _, _, h in container_spans(body, p.kept)} if is_page(body) else None
 
 
 def template_spans(text: str, drop: frozenset[int], kept: list[Block]) -> dict[int, int]:
@@ -559,7 +574,8 @@ def _subtrees(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     for b in batches:
         hosts, pages, hashes = [], [], []
         for host, page, text in zip(b[0].to_pylist(), b[1].to_pylist(), b[2].to_pylist()):
-            for h in subtree_hashes(text):
+            found = subtree_hashes(text)
+            for h in () if found is None else (None, *found):  # None stands for the page itself
                 hosts.append(host)
                 pages.append(page)
                 hashes.append(h)
@@ -570,18 +586,20 @@ def site_templates(docs: DataFrame, min_pages: int = 5, min_share: float = 0.05)
     """``host, drop ARRAY<BIGINT>``: hashes of subtrees that recur on many pages of their host.
 
     A page is an origin with a source, however often it was delivered. A subtree is template if it
-    stands on at least ``min_pages`` pages and ``min_share`` of its host's pages. Counting is two
-    grouped aggregates over distinct (host, page, hash); a host has at most pages-of-host *
+    stands on at least ``min_pages`` pages and ``min_share`` of its host's pages. What is a page is
+    decided where texts are parsed, by ``is_page``; the filter here only passes over texts that cannot be
+    one. Counting is one grouped aggregate over distinct (host, page, hash); a host has at most pages-of-host *
     containers-per-page / (min_share * pages-of-host) templates, i.e. containers per page / min_share.
     """
-    html = docs.filter(F.lower(F.substring("text", 1, 400)).rlike("<(!doctype|html|body)")).select(
+    maybe = docs.filter(F.col("text").rlike("(?i)<(!doctype|html|body)")).select(
         host_of().alias("host"), F.xxhash64(F.lower(F.trim(F.coalesce("origin", F.lit("")))), F.coalesce("source", F.lit(""))).alias("page"), "text"
     )
-    per_host = html.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    subtrees = html.mapInArrow(_subtrees, "host string, page bigint, h bigint").distinct()
-    counts = subtrees.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    subtrees = maybe.mapInArrow(_subtrees, "host string, page bigint, h bigint").distinct()
+    counts = cut_lineage(subtrees.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("h").isNull() | (F.col("n") >= min_pages)))
+    per_host = counts.filter(F.col("h").isNull()).select("host", F.col("n").alias("pages"))
     return (
-        counts.join(per_host, "host")
+        counts.filter(F.col("h").isNotNull())
+        .join(per_host, "host")
         .filter(F.col("n") >= F.col("pages") * min_share)
         .groupBy("host")
         .agg(F.collect_set("h").alias("drop"))

@@ -118,3 +118,33 @@ def test_templates_with_code_and_formulas(spark):
         found.setdefault(r["doc_id"], []).append((r["element"], r["content"]))
     for n in range(8):
         assert sorted(found[n]) == sorted([("heading", f"Page {n}"), ("item", f"own {n}"), ("code", f"y {n}")] + [("code", f"own {n}")] * (n % 3))
+
+
+LICENCE = "<!-- " + "Licensed to nobody in particular. " * 40 + "-->"
+PREFACE = "Words of a preface, without any tag. " * 20 + "\n"
+
+
+@pytest.mark.parametrize("before", [LICENCE, PREFACE, LICENCE + "\n" + PREFACE, "<script>" + "x = 1; " * 200 + "</script>"])
+@pytest.mark.parametrize("start", ["<!DOCTYPE html><html><head>", "<html lang='en'><head>", "<body>"])
+def test_page_after_a_long_preface(before, start):
+    text = before + start + "<title>T</title><h1>A</h1><ul><li>one</li><li>two</li></ul><p>Words.</p></body></html>"
+    assert marked(text) == [("heading", "T"), ("heading", "A"), ("item", "one"), ("item", "two")]
+    assert ("para", "Words.") in parse_blocks(text)
+
+
+@pytest.mark.parametrize("code", ["```html\n<!doctype html><body>\n```", "A span `<body>` here.", "``a ` <html> b``", "Sample:\n\n    <html>\n      <body>\n\n    </html>", "<pre><body></pre>", "Use <code><html></code>."])
+def test_tags_in_code_make_no_page(code):
+    text = f"= Top =\n\n{code}\n\n* one\n*# two\n"
+    found = marked(text)
+    assert found[0] == ("heading", "Top") and ("item", "one") in found
+
+
+def test_templates_of_pages_after_a_preface(spark):
+    rows = [(n, f"p{n}.html", "https://a.example/x", LICENCE + page(n)) for n in range(8)]
+    rows += [(100 + n, f"m{n}.md", "https://a.example/x", f"# Of {n}\n\n`<body>`\n\n<ul><li>kept</li></ul>\n") for n in range(200)]  # no pages
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, origin string, text string")
+    assert [len(r["drop"]) for r in site_templates(df).collect()] == [2]
+    found = {}
+    for r in clean_documents(df).collect():
+        found.setdefault(r["doc_id"], []).append((r["element"], r["content"]))
+    assert found[3] == [("heading", "Page 3"), ("item", "own 3")] and ("item", "kept") in found[100]
