@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import spread
+from lodestone.session import cut_lineage, spread
 
 MAX_TEST_WORDS = 2_000_000
 #: Words of a shard, about.
@@ -168,3 +168,14 @@ def find_leaks(docs: DataFrame, questions: DataFrame, min_words: int = 12, field
 def leaked_items(found: DataFrame) -> DataFrame:
     """``qid, documents, longest``: which test items leaked, into how many documents."""
     return found.groupBy("qid").agg(F.countDistinct("doc_id").alias("documents"), F.max("words").alias("longest"))
+
+
+def without_leaks(docs: DataFrame, found: DataFrame, broadcast_ids: int = 200_000) -> DataFrame:
+    """The documents of which no row of ``found`` names the doc_id, with all their columns and copies.
+
+    Ids are broadcast, so that texts don't cross the network, if their number was checked to be at most
+    ``broadcast_ids``; beyond it they are joined. If a document without doc_id leaks, all without one go.
+    """
+    ids = cut_lineage(found.select(F.col("doc_id").alias("_leaked")).distinct())
+    side = F.broadcast(ids) if ids.count() <= broadcast_ids else ids.hint("shuffle_merge")
+    return docs.join(side, docs["doc_id"].eqNullSafe(F.col("_leaked")), "left_anti")

@@ -83,6 +83,12 @@ def p9_items(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaked_items(leaks.find_leaks(table(spark, sf, "documents"), table(spark, sf, "questions")))
 
 
+def p9_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents without those that leak a test item."""
+    docs = table(spark, sf, "documents")
+    return leaks.without_leaks(docs, leaks.find_leaks(docs, table(spark, sf, "questions")))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return language.wrong_labels(language.language_segments(table(spark, sf, "documents")))
 
@@ -102,7 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_sentences, p2_found, p2_scores, p3_found, p3_pieces, p3_chunk_pieces, p4_found, p4_nearest, p5_found, p5_clean,
-            p6_found, p6_ranking, p8_ids, p9_found, p9_items, p10_found, p10_segments, p10_languages,
+            p6_found, p6_ranking, p8_ids, p9_found, p9_items, p9_kept, p10_found, p10_segments, p10_languages,
         )
     }
 

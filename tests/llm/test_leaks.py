@@ -74,3 +74,17 @@ def test_table(spark, monkeypatch):
     monkeypatch.setattr(L, "MAX_TEST_WORDS", 60)  # searched in parts
     assert {(r["doc_id"], r["qid"], r["field"]) for r in L.find_leaks(df, qs, 6).collect()} == want
     assert L.find_leaks(df.limit(0), qs, 6).count() == 0 and L.find_leaks(df, qs.limit(0), 6).count() == 0
+
+
+def test_corpus_without_leaks(spark):
+    docs, passages = case(3)
+    df = spark.createDataFrame([(*d, "x") for d in docs + docs[:3]] + [(None, "no leak", "x"), (10**6, None, "x")], "doc_id bigint, text string, qid string")
+    qs = spark.createDataFrame([(q, p, None) for q, f, p in passages], "qid bigint, question string, contains string")
+    found = L.find_leaks(df, qs, 6)
+    gone = {r["doc_id"] for r in found.collect()}
+    want = sorted((r for r in map(tuple, df.collect()) if r[0] not in gone), key=repr)
+    assert gone and want
+    for bound in (200_000, 0):
+        kept = L.without_leaks(df, found, bound)
+        assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=repr) == want
+    assert L.without_leaks(df, found.limit(0)).count() == df.count()
