@@ -64,6 +64,7 @@ _PARA = re.compile(r"\n[^\S\n]*(?:\n\s*)+")
 _CAND = re.compile(r"[.!?…。！？．｡।॥؟۔]+")
 _CLOSE = "\"'”’»«“›‹」』)）]】》〉}"
 _OPEN_TO = {"„": "“”\"", "“": "”", "«": "»", "»": "«", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "‹": "›", "《": "》"}
+_CLOSED_BY = {c: "".join(o for o in _OPEN_TO if c in _OPEN_TO[o]) for c in "".join(_OPEN_TO.values())}
 _MARKS = re.compile("[\"„“”«»「」『』()（）\\[\\]【】‹›《》]")
 _WORD_BEFORE = re.compile(r"[^\W_][\w.\-’']*$")
 _WIDE_END = frozenset("。！？．｡")
@@ -80,6 +81,7 @@ def _quotes(text: str, a: int, b: int) -> tuple[list[int], list[tuple[int, int,
     stack: list[tuple[str, int]] = []
     pairs: list[tuple[int, int, int]] = []
     loose: list[int] = []
+    waiting = dict.fromkeys(_OPEN_TO, 0)  # how many marks of each kind are open
     for m in _MARKS.finditer(text, a, b):
         c, i = m[0], m.start()
         if c == '"':
@@ -87,22 +89,27 @@ def _quotes(text: str, a: int, b: int) -> tuple[list[int], list[tuple[int, int,
             if at >= 0:
                 pairs.append((stack[at][1], i, at))
                 loose += [x[1] for x in stack[at + 1 :]]
+                for o, _ in stack[at:]:
+                    if o in waiting:
+                        waiting[o] -= 1
                 del stack[at:]
             else:
                 stack.append((c, i))
             continue
-        closed = False
-        for k in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
-            o = stack[k][0]
-            if o in _OPEN_TO and c in _OPEN_TO[o]:
-                pairs.append((stack[k][1], i, k))
-                loose += [x[1] for x in stack[k + 1 :]]
-                del stack[k:]
-                closed = True
-                break
-        if not closed:
+        if any(waiting[o] for o in _CLOSED_BY.get(c, "")):
+            k = len(stack) - 1
+            while c not in _OPEN_TO.get(stack[k][0], ""):
+                k -= 1
+            pairs.append((stack[k][1], i, k))
+            loose += [x[1] for x in stack[k + 1 :]]
+            for o, _ in stack[k:]:
+                if o in waiting:
+                    waiting[o] -= 1
+            del stack[k:]
+        else:
             if c in _OPEN_TO:
                 stack.append((c, i))
+                waiting[c] += 1
             else:
                 loose.append(i)
     loose += [x[1] for x in stack]

@@ -95,3 +95,10 @@ def test_pruning_is_exact(text):
 
 def test_paragraph_that_opens_with_a_weak_end():
     assert cut("Use it (it works. Always so) on Linux vs. Windows as you like. The end is near now.") == ["Use it (it works. Always so) on Linux vs. Windows as you like.", "The end is near now."]
+
+
+@pytest.mark.parametrize("stray", ["[ « „ ", "[ « [ « „ ", "« [ " * 30])
+def test_bracket_opened_below_stray_marks(stray):
+    text = f"The list (it {stray} stops. Then it waits) is read again. The end is near now."
+    assert cut(text) == [text[:-21], "The end is near now."]
+    assert len(cut("([" * 50_000 + "»" * 50_000 + " a. B c.")) <= 2
