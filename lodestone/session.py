@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, name: str = "lodestone", memory: str = "12g") -> SparkSession:
@@ -43,6 +44,28 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Buckets of keys that ``distinct_rows`` tells apart; a set of them (8 bytes each) is the most it broadcasts.
+BUCKETS = 1 << 20
+
+
+def distinct_rows(rows: DataFrame, key: str = "id", flag: str | None = None) -> DataFrame:
+    """The distinct rows, of which only those whose key may occur more than once cross the network.
+
+    A narrow aggregate over the keys alone finds those that occur again; the buckets of their hashes are
+    broadcast, at most ``BUCKETS`` numbers whatever the table's size. Rows in other buckets are passed on
+    where they are, those in the marked ones go through a hash aggregate that combines on the map side.
+    A bucket that is marked for another key only costs its rows the shuffle. ``flag`` names a column that
+    is false for rows whose key occurs once for certain.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+    again = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select(bucket.alias("_b")).distinct())
+    rows = rows.withColumn("_b", bucket)
+    once, more = rows.join(again, "_b", "left_anti").drop("_b"), rows.join(again, "_b", "left_semi").drop("_b").distinct()
+    if flag is not None:
+        once, more = once.withColumn(flag, F.lit(False)), more.withColumn(flag, F.lit(True))
+    return once.unionByName(more)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """checkpoint() into the folder all executors share; a local folder only where none is named."""
     sc = df.sparkSession.sparkContext
