@@ -22,7 +22,7 @@ def p1_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return distinctive.term_scores(table(spark, sf, "chunks"), min_count=3, max_df=5).select("id", "term")
+    return distinctive.term_scores(table(spark, sf, "chunks"), min_count=3, max_df=5).select("id", "term").distinct()
 
 
 def p2_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,7 +118,7 @@ rec AS (SELECT DISTINCT id, coalesce(heading, '') AS heading, coalesce(text, '')
 tok AS (SELECT id, heading, text, unnest(regexp_extract_all(lower(heading || chr(10) || text), '[a-z0-9]+(?:[._-][a-z0-9]+)*')) AS term FROM rec),
 tf AS (SELECT id, heading, text, term, count(*) AS tf FROM tok GROUP BY ALL),
 n AS (SELECT id, heading, text, sum(tf) AS n FROM tf GROUP BY ALL),
-c AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tf GROUP BY term),
+c AS (SELECT term, sum(tf) AS cf, count(DISTINCT id) AS df FROM tf GROUP BY term),
 total AS (SELECT sum(cf)::DOUBLE AS nn FROM c)"""
 
 
