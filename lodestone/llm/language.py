@@ -4,7 +4,8 @@ The posterior of a sentence's language is the product of
 
 * a text likelihood: scripts (fixed), words and, for words not met in training, their trigrams; the
   rarer a word was in training, the less it may say, and names, versions and paths say nothing;
-* the language that the markup declares, if it does (``lang`` of HTML, babel of LaTeX);
+* the language that the markup declares where the sentence stands, if it does (``lang`` of HTML, babel
+  and ``\\selectlanguage`` of LaTeX);
 * a host prior, from the labels of the host's documents, smoothed by those of its address suffix, and
   these by those of the whole table. Grouped aggregates over all rows compute it.
 
@@ -31,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.markup import host_of, parse_blocks
+from lodestone.llm.markup import host_of, outside_code, parse_blocks
 from lodestone.llm.sentences import segment
-from lodestone.session import spread
+from lodestone.session import cut_lineage, spread
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "nl", "ru", "zh", "ja", "ar", "hi")
 PER_LABEL = 200
-BROADCAST_HOSTS = 20_000
+#: Hosts whose priors (some 150 bytes each) are broadcast; with more, texts are joined by host, and AQE splits hot ones.
+BROADCAST_HOSTS = 100_000
 _N = len(LANGUAGES)
 _AT = {x: k for k, x in enumerate(LANGUAGES)}
 
@@ -46,15 +48,15 @@ CODES = {
     "en": "eng english", "de": "deu ger german", "fr": "fra fre french", "es": "spa spanish", "pt": "por portuguese", "nl": "nld dut dutch",
     "ru": "rus russian", "zh": "zho chi chinese cmn", "ja": "jpn japanese", "ar": "ara arabic", "hi": "hin hindi",
 }
-# Frequent function words, a weak start for languages without labelled rows.
+# Frequent function words and the words questions open with, a weak start for languages without labelled rows.
 FUNCTION_WORDS = {
-    "en": "the of and to in is that it for was on are with as be at by this have from or had not but what all were when we there can an your which their if will each about how then them these so some would other into has more why where same",
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man warum wo jede gleichen",
-    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec son aux d'un cette d'une ont ses mais comme on tout nous sa fait été aussi leur bien peut ces y deux si puis chaque pendant pourquoi où même elle fois",
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque qué sólo cada dónde misma veces",
-    "pt": "de a o que e do da em um para é com não uma os no se na por mais as dos como mas foi ao ele das tem à seu sua ou ser quando muito há nos já está eu também só pelo pela até isso ela entre era depois sem mesmo aos ter seus cada onde mesma vezes",
-    "nl": "de en van ik te dat die in een hij het niet zijn is was op aan met als voor had er maar om hem dan zou of wat mijn men dit zo door over ze zich bij ook tot je mij uit der daar haar naar heb hoe heeft hebben deze u want nog elke waarom waar dezelfde keer",
-    "ru": "и в не на я быть он с что а по это она этот к но они мы весь который из у то за свой ты год для от же так вы все или если при после каждая",
+    "en": "the of and to in is that it for was on are with as be at by this have from or had not but what all were when we there can an your which their if will each about how then them these so some would other into has who which where why",
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man wer was welche wann wo warum",
+    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec son aux d'un cette d'une ont ses mais comme on tout nous sa fait été aussi leur bien peut ces y deux si puis quel quelle quand où pourquoi comment",
+    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque qué sólo quién cuál cuándo dónde cómo",
+    "pt": "de a o que e do da em um para é com não uma os no se na por mais as dos como mas foi ao ele das tem à seu sua ou ser quando muito há nos já está eu também só pelo pela até isso ela entre era depois sem mesmo aos ter seus quem qual quando onde porquê",
+    "nl": "de en van ik te dat die in een hij het niet zijn is was op aan met als voor had er maar om hem dan zou of wat mijn men dit zo door over ze zich bij ook tot je mij uit der daar haar naar heb hoe heeft hebben deze u want nog wie welke wanneer waar waarom",
+    "ru": "и в не на я быть он с что а по это она этот к но они мы весь который из у то за свой ты год для от же так вы все или если при",
     "ar": "في من على إلى أن هذا التي هذه عن لا ما كان مع أو قد بعد كل ذلك بين منذ إذا لم",
     "hi": "के में है की से को का और पर यह नहीं एक हैं ने भी कि तो हर यदि तक लिए",
     "zh": "的 是 不 了 在 有 和 这 为 把 会 个",
@@ -66,7 +68,16 @@ _MARKED_TOKENS = re.compile("\\0|" + _TOKENS.pattern)
 # names, versions and paths say nothing about the language they stand in
 _NAMES = re.compile(r"(?<![A-Za-z0-9])(?:[A-Za-z0-9]++(?:[._/:@\\]++[A-Za-z0-9]++)+|[A-Za-z]*+[0-9][A-Za-z0-9]*+)")
 _HTML_LANG = re.compile(r"<(?:html|body)\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", re.I)
-_BABEL = re.compile(r"\\usepackage\[([a-z]+)\]\{babel\}|\\selectlanguage\{([a-z]+)\}")
+_BABEL = re.compile(r"\\usepackage\s*\[([^\]]*)\]\s*\{babel\}")
+_SELECT = re.compile(r"\\selectlanguage\s*\{([a-zA-Z]+)\}")
+_DECLARES = re.compile(r"\blang\s*=|\{babel\}|\\selectlanguage")
+#: Characters that stand for a declaration in the text while it is parsed, one per language.
+_SWITCH = 0xF8C0
+# Names of languages that babel knows beside the English ones.
+BABEL = {
+    "ngerman": "de", "germanb": "de", "austrian": "de", "naustrian": "de", "nswissgerman": "de", "francais": "fr", "frenchb": "fr", "acadian": "fr", "canadien": "fr",
+    "portuges": "pt", "brazil": "pt", "brazilian": "pt", "british": "en", "american": "en", "usenglish": "en", "ukenglish": "en", "canadian": "en", "australian": "en",
+}
 
 
 def label_language(col: str = "lang") -> Column:
@@ -81,20 +92,55 @@ _NAME_TO_CODE = {name: code for code, names in CODES.items() for name in (code,
 
 def running_sentences(text: str | None) -> list[str]:
     """The sentences of the running text, in order."""
-    out: list[str] = []
+    return [s for s, _ in declared_sentences(text)]
+
+
+def declared_sentences(text: str | None) -> list[tuple[str, int]]:
+    """The sentences of the running text, and the language declared where each stands (-1: none)."""
+    text, now = declarations(text) if text and _DECLARES.search(text) else (text, -1)
+    out: list[tuple[str, int]] = []
     blocks = parse_blocks(text)
     marked = any(k == "heading" for k, _ in blocks)
-    last = max((k for k, b in enumerate(blocks) if b[0] == "para"), default=-1)
+    last = max((k for k, b in enumerate(blocks) if b[0] == "para" and not _is_switch(b[1])), default=-1)
     for k, (kind, content) in enumerate(blocks):
         if kind != "para":
             continue
+        if _is_switch(content):
+            now = ord(content) - _SWITCH
+            continue
         spans = segment(content)
         if not marked and k != last and len(spans) == 1 and len(content) <= 60 and content[-1] not in ".!?。！？।؟…:;»”\")）":
             continue  # a heading of a text without markup: what follows is its text
-        out += [content[s:e] for s, e in spans]
+        out += [(content[s:e], now) for s, e in spans]
     return out
 
 
+def _is_switch(content: str) -> bool:
+    return len(content) == 1 and _SWITCH <= ord(content) < _SWITCH + _N
+
+
+def _code_of(name: str) -> int:
+    name = name.strip().lower()
+    return _AT.get(BABEL.get(name) or _NAME_TO_CODE.get(name, ""), -1)
+
+
+def declarations(text: str) -> tuple[str, int]:
+    """The text with marks where a LaTeX command switches the language, and the language that the whole
+    declares at first: ``lang`` of a page's html or body tag, or the last option of babel. Comments,
+    scripts and code declare nothing; the whole text is looked at."""
+    bare = outside_code(text)
+    first = -1
+    if m := _HTML_LANG.search(bare):
+        first = _code_of(m[1])
+    elif m := _BABEL.search(bare):
+        known = [k for k in map(_code_of, m[1].split(",")) if k >= 0]
+        first = known[-1] if known else -1
+    if _SELECT.search(bare):
+        text = re.sub(f"[{chr(_SWITCH)}-{chr(_SWITCH + _N - 1)}]", " ", text)
+        text = _SELECT.sub(lambda m: f"\n\n{chr(_SWITCH + k)}\n\n" if (k := _code_of(m[1])) >= 0 else "\n\n", text)
+    return text, first
+
+
 def _script_scores(w: str) -> np.ndarray | None:
     """Log-likelihood of a word's script, for scripts that tell."""
     c = w[0]
@@ -265,9 +311,11 @@ def sample_rows(docs: DataFrame, per_label: int = PER_LABEL) -> list[tuple[str,
 
 
 def host_priors(docs: DataFrame, strength: float = 20.0) -> DataFrame:
-    """``host, prior ARRAY<DOUBLE>``: log prior of each language by host, smoothed by suffix and table."""
-    rows = docs.select(host_of().alias("host"), label_language().alias("label")).filter(F.col("label").isNotNull())
-    per = rows.groupBy("host", "label").agg(F.count("*").alias("n"))
+    """``host, prior ARRAY<DOUBLE>``: log prior of each language for every host, smoothed by suffix and table.
+
+    A host none of whose rows has a label takes the prior of its suffix, and a suffix without labels that
+    of the table."""
+    per = docs.select(host_of().alias("host"), label_language().alias("label")).groupBy("host", "label").agg(F.count("*").alias("n"))
     per = per.withColumn("suffix", F.regexp_extract("host", r"([^./]+)$", 1))
     counts = per.groupBy("suffix", "host").agg(*[F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0)).cast("double").alias(x) for x in LANGUAGES])
     total = lambda prefix="": sum((F.col(prefix + x) for x in LANGUAGES), F.lit(0.0))
@@ -285,34 +333,28 @@ def host_priors(docs: DataFrame, strength: float = 20.0) -> DataFrame:
 SEGMENTS = "doc_id bigint, label string, seg int, lang string, confidence double, first int, n int, total int"
 
 
-def declared(text: str) -> int:
-    m = _HTML_LANG.search(text, 0, 2000) or _BABEL.search(text, 0, 2000)
-    if not m:
-        return -1
-    return _AT.get(_NAME_TO_CODE.get((m[1] or (m[2] if m.lastindex and m.lastindex > 1 else "") or "").lower(), ""), -1)
-
-
 def judge(model: Model, texts: list[str], priors: list[list[float] | None], prior_weight: float = 0.5) -> list[list[tuple[int, float, int, int, int]]]:
     """For each text its segments: (language, confidence, first sentence, sentences, all sentences)."""
     sentences: list[str] = []
+    declared: list[int] = []
     sizes: list[int] = []
     for t in texts:
-        s = running_sentences(t)
-        sentences += s
-        sizes.append(len(s))
+        found = declared_sentences(t)
+        sentences += [s for s, _ in found]
+        declared += [d for _, d in found]
+        sizes.append(len(found))
     score = model.scores(sentences)
+    named = np.array(declared, np.int64)
+    at = np.flatnonzero(named >= 0)
+    score[at, named[at]] += 2.0
     at, out = 0, []
-    for t, n, prior in zip(texts, sizes, priors):
+    for n, prior in zip(sizes, priors):
         segs: list[tuple[int, float, int, int, int]] = []
         if n:
             s = score[at : at + n]
             at += n
             if prior is not None:
                 s = s + prior_weight * np.maximum(np.asarray(prior) - max(prior), -6.0)
-            d = declared(t) if "lang" in t[:2000] or "babel" in t[:2000] else -1
-            if d >= 0:
-                s = s.copy()
-                s[:, d] += 2.0
             s = s - s.max(1, keepdims=True)
             p = np.exp(s)
             p /= p.sum(1, keepdims=True)
@@ -340,9 +382,8 @@ def language_segments(docs: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
     spark = docs.sparkSession
     model = fit(sample_rows(docs, per_label))
     sent = spark.sparkContext.broadcast((model.words, model.counts, model.trigrams, model.tri))
-    priors = host_priors(docs)
-    hosts = docs.select(host_of().alias("host")).distinct().count()
-    side = F.broadcast(priors) if hosts <= BROADCAST_HOSTS else priors
+    priors = cut_lineage(host_priors(docs))
+    side = F.broadcast(priors) if priors.count() <= BROADCAST_HOSTS else priors
     rows = spread(docs.select("doc_id", label_language().alias("label"), "text", host_of().alias("host")).filter(F.col("text").isNotNull()))
     rows = rows.join(side, "host", "left").select("doc_id", "label", "text", "prior")
     models: dict[int, Model] = {}

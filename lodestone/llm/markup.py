@@ -510,6 +510,11 @@ def is_page(body: str) -> bool:
     return "<" in body and _IS_HTML.search(body) is not None and _IS_HTML.search(_INLINE_CODE.sub(" ", body)) is not None
 
 
+def outside_code(text: str) -> str:
+    """The text without comments, scripts, code and formulas, inline code included."""
+    return _INLINE_CODE.sub(" ", _LIFT.sub(" ", text) if _LIFT_HINT.search(text) else text)
+
+
 def parse_blocks(text: str | None, drop: frozenset[int] = frozenset()) -> list[Block]:
     if not text or text.isspace():
         return []

@@ -62,7 +62,25 @@ def test_evidence_decides_doubt(model):
     lean = {x: list(np.log([0.9 if y == x else 0.01 for y in G.LANGUAGES])) for x in ("nl", "pt")}
     p = {x: G.judge(model, [doubtful], [v])[0][0] for x, v in lean.items()}
     assert p["nl"] != p["pt"]
-    assert G.declared("<html lang='pt-BR'><body>") == G.LANGUAGES.index("pt") and G.declared("\\usepackage[german]{babel}") == 1 and G.declared("none") == -1
+
+
+def test_declarations_anywhere():
+    named = lambda t: [G.LANGUAGES[d] if d >= 0 else None for _, d in G.declared_sentences(t)]
+    assert named("<html lang='pt-BR'><body><p>One two.</p>") == ["pt"] and named("One two.") == [None]
+    assert named("<!-- " + "licence text " * 900 + "--><html lang=de><body><p>One two.</p>") == ["de"]
+    assert named("<!-- <html lang=de> --><html><body><p>One two.</p>") == [None]
+    assert named("```\n<html lang='de'>\n```\n\nOne two.") == [None]
+    tex = "\\documentclass{article}\n% " + "x" * 9000 + "\n\\usepackage[english,ngerman]{babel}\n\\begin{document}\nEins zwei.\n\\selectlanguage{french}\nUn deux.\nTrois.\n\n\\selectlanguage{klingon}Four."
+    assert named(tex)[-4:] == ["de", "fr", "fr", "fr"]
+
+
+def test_hosts_without_labels_take_the_prior_of_their_suffix(spark):
+    rows = [("https://a.de/x", "de")] * 30 + [("https://b.de/x", None)] + [("https://c.com/x", "en")] * 30 + [("https://d.org/x", "?")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id bigint, origin string, lang string")
+    prior = {r["host"]: dict(zip(G.LANGUAGES, r["prior"])) for r in G.host_priors(df).collect()}
+    assert set(prior) == {"a.de", "b.de", "c.com", "d.org"}
+    assert prior["b.de"]["de"] > prior["d.org"]["de"] > prior["c.com"]["de"] and prior["b.de"]["de"] > prior["b.de"]["en"]
+    assert abs(prior["d.org"]["de"] - prior["d.org"]["en"]) < 1e-9
 
 
 def test_nothing(model):
