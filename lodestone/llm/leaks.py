@@ -1,11 +1,16 @@
 """Evaluation texts leaking into training text, found with suffix arrays of the training words.
 
-Each task makes shards of its documents: their words, as numbers of the test set's vocabulary, lie in
-one array, a suffix array is sorted over it, and every suffix of every test passage is searched in it
-by bisection. What meets at least ``min_words`` is extended to its longest verbatim match. A suffix is
-entered only if its first ``min_words`` words all occur in some test passage, as no other can match;
-this drops nothing and keeps the arrays small. The test set is broadcast; its size is checked against
-``MAX_TEST_WORDS``, and a larger one is searched in parts of that size.
+Each task makes shards of its documents. Their words, as numbers of the test set's vocabulary, lie in one
+array, and the order of its suffixes comes from prefix doubling: round k ranks every place by its first
+2^k words, from the ranks of the round before, so that a shard of n words takes n log^2 n steps however
+repetitive it is. Every suffix of every test passage is placed in the suffix array by bisection. In the
+stretch of suffixes that share its first ``min_words`` words, the neighbours of that place give the
+longest verbatim match with each document; how long it is tell the ranks of all rounds, by halving, so
+that nothing is extended word by word and no occurrence is paired with every other.
+
+Words outside the test vocabulary end a stretch; only stretches of ``min_words`` words or more enter the
+array, as no other can match; this drops nothing and keeps the arrays small. The test set is broadcast;
+its size is checked against ``MAX_TEST_WORDS``, and a larger one is searched in parts of that size.
 
 Words are runs of letters and digits, regardless of case; HTML tags, punctuation, white space and
 entities don't count. Matches don't run over the end of a document or of a passage. Null and empty
@@ -69,9 +74,7 @@ class TestSet:
             ids += [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws] + [0]
             owner += [len(self.names) - 1] * (len(ws) + 1)
         self.ids, self.owner = np.array(ids or [0], np.int32), np.array(owner or [0], np.int32)
-        ok = _runs(self.ids) >= min_words
-        self.starts = np.flatnonzero(ok)
-        self.keys = _keys(self.ids, self.starts, min_words)
+        self.starts = np.flatnonzero(_runs(self.ids) >= min_words)
 
 
 def _runs(ids: np.ndarray) -> np.ndarray:
@@ -82,46 +85,117 @@ def _runs(ids: np.ndarray) -> np.ndarray:
     return ends[nxt] - np.arange(len(ids))
 
 
-def _keys(ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """The first n words at each start as byte strings that sort as the words do."""
-    if not len(starts):
-        return np.empty(0, f"S{4 * n}")
-    window = ids[starts[:, None] + np.arange(n)].astype(">u4") + np.uint32(1)
-    return np.ascontiguousarray(window.astype(">u4")).view(f"S{4 * n}").ravel()
+def _dense(keys: np.ndarray) -> np.ndarray:
+    return np.unique(keys, return_inverse=True)[1].astype(np.int64)
+
+
+class Suffixes:
+    """Ranks of all suffixes of an array by their first 1, 2, 4 ... words, up to ``longest`` words."""
+
+    def __init__(self, ids: np.ndarray, longest: int):
+        self.n = len(ids)
+        self.levels = [_dense(ids)]
+        while 1 << (len(self.levels) - 1) < longest:
+            h, r = 1 << (len(self.levels) - 1), self.levels[-1]
+            after = np.zeros(self.n, np.int64)
+            after[: self.n - h] = r[h:] + 1
+            self.levels.append(_dense(r * (self.n + 1) + after))
+
+    @property
+    def rank(self) -> np.ndarray:
+        return self.levels[-1]
+
+    def heads(self, at: np.ndarray, words: int) -> np.ndarray:
+        """A number for the first ``words`` words at each place; equal heads have equal numbers."""
+        out, done = np.zeros(len(at), np.int64), 0
+        for k in range(len(self.levels) - 1, -1, -1):
+            while words - done >= 1 << k:
+                out = _dense(out * (self.n + 1) + self.levels[k][at + done])
+                done += 1 << k
+        return out
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Words that the suffixes at a and b have in common from their first."""
+        length = np.zeros(len(a), np.int64)
+        for k in range(len(self.levels) - 1, -1, -1):
+            x, y = a + length, b + length
+            ok = (x < self.n) & (y < self.n)
+            length += np.where(ok & (self.levels[k][np.where(ok, x, 0)] == self.levels[k][np.where(ok, y, 0)]), 1 << k, 0)
+        return length
+
+
+#: (test suffix, document) pairs looked at together.
+PAIRS = 1_000_000
 
 
 def search(test: TestSet, docs: list[tuple[int, str | None]]) -> list[tuple[int, int, str, int, int, int]]:
-    """Longest verbatim match of each document with each passage."""
+    """Longest verbatim match of each document with each passage; of several, the one nearest to the document's begin."""
     kept = [(d, plain(t)) for d, t in docs if t]
     if not kept or not len(test.starts):
         return []
     found = _find("\n\x00\n".join(t for _, t in kept) + "\n\x00")
     n = test.min_words
-    ids = np.fromiter(map(test.vocabulary.get, found, repeat(-1)), np.int32, len(found))
-    starts = np.flatnonzero(_runs(ids) >= n)
+    words_of = np.fromiter(map(test.vocabulary.get, found, repeat(-1)), np.int64, len(found))
+    runs = _runs(words_of)
+    starts = np.flatnonzero(runs >= n)
     if not len(starts):
         return []
-    keys = _keys(ids, starts, n)
-    order = np.argsort(keys, kind="stable")  # the suffix array
-    sa, keys = starts[order], keys[order]
-    lo, hi = np.searchsorted(keys, test.keys, "left"), np.searchsorted(keys, test.keys, "right")
-    stops = np.flatnonzero(ids == 0)
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for k in np.flatnonzero(hi > lo):
-        t = int(test.starts[k])
-        passage = int(test.owner[t])
-        for s in sa[lo[k] : hi[k]].tolist():
-            doc = int(np.searchsorted(stops, s))
-            old = best.get((doc, passage))
-            at = 0 if doc == 0 else int(stops[doc - 1]) + 1
-            if old and old[1] < s - at + n and s - at < old[1] + old[0] and s - at - old[1] == t - test.first[passage] - old[2]:
-                continue  # the same match, one word on
-            m = n
-            while s + m < len(ids) and t + m < len(test.ids) and ids[s + m] > 0 and ids[s + m] == test.ids[t + m]:
-                m += 1
-            if old is None or m > old[0]:
-                best[doc, passage] = (m, s - at, t - test.first[passage])
-    return [(kept[doc][0], *test.names[p], m, d, t) for (doc, p), (m, d, t) in best.items()]
+    # the stretches with a start in them, each with the word that ends it
+    first = starts[np.r_[True, np.diff(starts) != 1]]
+    first = first[np.r_[True, first[1:] >= (first + runs[first])[:-1]]]
+    size = runs[first] + 1
+    place = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+    m = len(test.ids)
+    joint = np.r_[test.ids.astype(np.int64), words_of[place]]
+    ends = joint <= 0
+    joint[ends] = len(test.vocabulary) + np.arange(ends.sum())  # each end is like no other
+    longest = int(min(_runs(test.ids).max(), runs[first].max()))
+    s = Suffixes(joint, max(longest, n))
+    train = np.flatnonzero(~ends[m:] & (runs[place] >= n)) + m
+    heads = s.heads(np.r_[train, test.starts], n)
+    train_head, test_head = heads[: len(train)], heads[len(train) :]
+    hit = np.isin(train_head, test_head)
+    train, train_head = train[hit], train_head[hit]
+    if not len(train):
+        return []
+    doc_ends = np.flatnonzero(words_of == 0)
+    doc = np.searchsorted(doc_ends, place[train - m])
+    # the suffix array, parted by head and document
+    order = np.lexsort((place[train - m], s.rank[train], doc, train_head))
+    train, train_head, doc = train[order], train_head[order], doc[order]
+    new = np.r_[True, (train_head[1:] != train_head[:-1]) | (doc[1:] != doc[:-1])]
+    group = np.cumsum(new) - 1
+    group_at = np.flatnonzero(new)
+    group_head, group_doc = train_head[group_at], doc[group_at]
+    key = group * (s.n + 1) + s.rank[train]
+    lo, hi = np.searchsorted(group_head, test_head, "left"), np.searchsorted(group_head, test_head, "right")
+    upto = np.cumsum(hi - lo)
+    best: list[np.ndarray] = []  # rows of (document, passage, -words, place in document, place in passage)
+    x = 0
+    while x < len(test.starts):
+        y = max(x + 1, int(np.searchsorted(upto, (upto[x - 1] if x else 0) + PAIRS, "right")))
+        many = (hi - lo)[x:y]
+        t = np.repeat(test.starts[x:y], many)
+        g = np.repeat(lo[x:y] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        at = np.searchsorted(key, g * (s.n + 1) + s.rank[t], "left")  # bisection in the suffix array
+        left, right = at - 1, at
+        has_left = (left >= 0) & (group[np.maximum(left, 0)] == g)
+        has_right = (right < len(train)) & (group[np.minimum(right, len(train) - 1)] == g)
+        rows = []
+        for near, has in ((left, has_left), (right, has_right)):
+            e, u = train[near[has]], t[has]
+            d, p = group_doc[g[has]], test.owner[u]
+            begin = np.r_[0, doc_ends + 1][d]
+            rows.append(np.stack([d, p, -s.common(e, u), place[e - m] - begin, u - np.array(test.first)[p]]))
+        best = [_first_of_each(np.concatenate(best + rows, axis=1))]
+        x = y
+    return [(kept[d][0], *test.names[p], -w, i, j) for d, p, w, i, j in best[0].T.tolist()]
+
+
+def _first_of_each(rows: np.ndarray) -> np.ndarray:
+    """The best column for each (document, passage)."""
+    rows = rows[:, np.lexsort(rows[::-1])]
+    return rows[:, np.r_[True, (np.diff(rows[:2], axis=1) != 0).any(0)]] if rows.shape[1] else rows
 
 
 def find_leaks(docs: DataFrame, questions: DataFrame, min_words: int = 12, fields: tuple[str, ...] = ("question", "contains")) -> DataFrame:

@@ -44,6 +44,23 @@ def test_against_brute_force():
             assert got == brute(docs, passages, n)
 
 
+def test_repeated_text_is_quick():
+    import time
+
+    passage = " ".join(["alpha beta gamma"] * 400)
+    docs = [(1, "x " + " ".join(["alpha beta gamma"] * 333)), (2, " ".join(["beta gamma alpha"] * 300) + " y")]
+    began = time.perf_counter()
+    got = {(d, q): m for d, q, _, m, _, _ in L.search(L.TestSet([(7, "question", passage), (8, "contains", passage + " alpha")], 12), docs)}
+    assert got == {(1, 7): 999, (1, 8): 999, (2, 7): 900, (2, 8): 900} and time.perf_counter() - began < 1.0
+
+
+def test_pairs_in_slices(monkeypatch):
+    docs, passages = case(5)
+    want = sorted(L.search(L.TestSet(passages, 4), docs))
+    monkeypatch.setattr(L, "PAIRS", 3)
+    assert want and sorted(L.search(L.TestSet(passages, 4), docs)) == want
+
+
 def test_places():
     docs = [(1, "x x alpha beta gamma delta"), (2, "alpha beta")]
     assert L.search(L.TestSet([(7, "question", "no Alpha, beta; GAMMA delta!")], 3), docs) == [(1, 7, "question", 4, 2, 1)]
