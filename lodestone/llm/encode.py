@@ -2,7 +2,10 @@
 
 A batch's texts are cut into words by the vocabulary's pattern; words not met before by the worker
 lie as byte symbols in one flat array, and each round finds the pair of lowest rank of every word by
-binary search over the sorted pair keys and merges it, for all words at once.
+binary search over the sorted pair keys and merges it, for all words at once. A round passes over the
+whole array, so words of more than ``LONG`` bytes (unbroken runs) are merged apart, with a heap of their
+pairs and links between the symbols that are left: a merge touches two neighbours, and the time is
+n log n in the length of the run.
 
 Null and empty texts give an empty list; strings of special tokens are ordinary text; other columns
 are ignored; repeated rows are encoded again, a row each.
@@ -11,11 +14,14 @@ are ignored; repeated rows are encoded again, a row each.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import sys
 import unicodedata
-from collections.abc import Iterable
-from functools import lru_cache
+from collections.abc import Callable, Iterable
+from functools import cached_property, lru_cache
+from heapq import heapify, heappop, heappush
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +30,8 @@ from pyspark.sql import DataFrame
 from lodestone.session import spread
 
 _NONE = np.int64(1) << 40
+#: Bytes of a word from which on it is merged by heap.
+LONG = 512
 #: Words a worker remembers; beyond it, it starts again.
 MEMORY = 600_000
 
@@ -63,13 +71,12 @@ def word_pattern() -> re.Pattern:
 class Vocabulary:
     """Ranks of a .tiktoken file as sorted pair keys."""
 
-    def __init__(self, path: str):
+    def __init__(self, data: bytes):
         ranks: dict[bytes, int] = {}
-        with open(path, "rb") as f:
-            for line in f:
-                a, _, b = line.partition(b" ")
-                if b:
-                    ranks[base64.b64decode(a)] = int(b)
+        for line in data.splitlines():
+            a, _, b = line.partition(b" ")
+            if b:
+                ranks[base64.b64decode(a)] = int(b)
         self.bytes_to_id = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         keys, merged = [], []
         for token, rank in ranks.items():
@@ -88,8 +95,48 @@ class Vocabulary:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, self.merged[at], _NONE)
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.merged.tolist()))
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one long word. The heap holds (rank, place) in one number; an entry counts only if the pair
+        that stands there now has this rank, so outdated ones need not be taken out."""
+        start = self.bytes_to_id[np.frombuffer(word, np.uint8)]
+        rank = self.ranks_of(start[:-1], start[1:])
+        at = np.flatnonzero(rank < _NONE)
+        heap = ((rank[at] << 32) | at).tolist()
+        heapify(heap)
+        sym, n, known = start.tolist(), len(start), self.pairs.get
+        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            entry = heappop(heap)
+            new, i = entry >> 32, entry & 0xFFFFFFFF
+            j = following[i]
+            if sym[i] < 0 or j >= n or known(sym[i] << 20 | sym[j]) != new:
+                continue
+            k = following[j]
+            sym[i], sym[j], following[i] = new, -1, k
+            if k < n:
+                before[k] = i
+                if (r := known(new << 20 | sym[k])) is not None:
+                    heappush(heap, r << 32 | i)
+            if (h := before[i]) >= 0 and (r := known(sym[h] << 20 | new)) is not None:
+                heappush(heap, r << 32 | h)
+        out = np.array(sym, np.int64)
+        return out[out >= 0].astype(np.int32)
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and the length of each word's part."""
+        long = [k for k, w in enumerate(words) if len(w) > LONG]
+        if long:
+            sym, size = self.merge([b"" if len(w) > LONG else w for w in words])
+            parts, at = [], 0
+            ends = np.cumsum(size)
+            for k in long:
+                parts += [sym[at : ends[k]], self.merge_long(words[k])]
+                at, size[k] = int(ends[k]), len(parts[-1])
+            return np.concatenate([*parts, sym[at:]]), size
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.bytes_to_id[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), lengths)
@@ -132,8 +179,8 @@ class Vocabulary:
 
 
 class Encoder:
-    def __init__(self, path: str):
-        self.vocab = Vocabulary(path)
+    def __init__(self, data: bytes):
+        self.vocab = Vocabulary(data)
         self.split = word_pattern().findall
         self.reset()
 
@@ -179,9 +226,13 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return _encoder(path, Path(path).read_bytes)
+
+
+def _encoder(name: str, read: Callable[[], bytes]) -> Encoder:
+    if name not in _encoders:
+        _encoders[name] = Encoder(read())
+    return _encoders[name]
 
 
 def _slices(texts: list[str | None], most: int = 2_000_000) -> Iterable[tuple[int, int]]:
@@ -196,11 +247,14 @@ def _slices(texts: list[str | None], most: int = 2_000_000) -> Iterable[tuple[in
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``doc_id, ids``: the token ids of each document. No shuffle; memory is bounded by a slice of texts."""
-    path = vocabulary or default_vocabulary()
+    """``doc_id, ids``: the token ids of each document. No shuffle; memory is bounded by a slice of texts.
+
+    The driver reads the vocabulary's file, of a megabyte or so, and broadcasts what is in it."""
+    data = Path(vocabulary or default_vocabulary()).read_bytes()
+    name, sent = hashlib.sha256(data).hexdigest(), docs.sparkSession.sparkContext.broadcast(data)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = _encoder(name, lambda: sent.value)
         for b in batches:
             texts = b[1].to_pylist()
             for a, e in _slices(texts):

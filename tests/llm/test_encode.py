@@ -33,6 +33,27 @@ def test_random_texts(library):
     assert encode(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_long_runs(library, monkeypatch):
+    rng = random.Random(2)
+    runs = ["".join(rng.choice(bits) for _ in range(700)) for bits in ("ab", "aaaab", "thereandin", "абв", "中文字", "etaoinshrdlu")] + ["a" * 5000, "ab" * 3000, "=" * 4097]
+    texts = [f"x {r} y" for r in runs] + [" ".join(runs), "é" * 513]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert encode(texts) == want
+    monkeypatch.setattr(E, "LONG", 1)  # every word by heap
+    monkeypatch.setattr(E, "_encoders", {})
+    assert encode(texts) == want and encode(TEXTS) == [e.ids for e in library.encode_batch([t or "" for t in TEXTS], add_special_tokens=False)]
+
+
+def test_long_runs_are_quick(library):
+    import time
+
+    text = "".join(random.Random(3).choice("abcdefghij") for _ in range(400_000))
+    began = time.perf_counter()
+    got = encode([text])
+    assert time.perf_counter() - began < 5
+    assert got == [library.encode(text, add_special_tokens=False).ids]
+
+
 def test_round_trip(library):
     for text, ids in zip(TEXTS, encode(TEXTS)):
         assert library.decode(ids, skip_special_tokens=False) == (text or "")
