@@ -8,8 +8,10 @@ are recomputed.
 ``similar_pairs``: all pairs above a threshold. Blocks are Voronoi cells of pivots drawn from the
 data; a vector lies in the cells of its ``PROBES`` nearest pivots, and two similar vectors almost
 always share one (recall against brute force is measured in the tests and stated in the README). The
-number of pivots grows with the square root of the rows, so that the work grows as rows^1.5. A cell
-that a third of all rows may share is cut into tiles, and tile pairs are spread over tasks.
+number of pivots grows with the square root of the rows without a limit, and so does the sample they
+are drawn from, so that the work grows as rows^1.5. A cell that a third of all rows may share is cut
+into tiles, and tile pairs are spread over tasks. With ``exact`` there is one cell of all rows: every
+tile meets every other, no pair is lost, and the work grows as rows^2.
 
 ``nearest``: the k most similar vectors of every query against every row, exact, in tiles of bounded
 size; each tile keeps k candidates a query by heap, which are merged by a grouped top-k.
@@ -35,7 +37,8 @@ from lodestone.session import cut_lineage, spread
 DIM = 64
 #: Cells a vector lies in.
 PROBES = 4
-#: Vectors from which pivots are drawn and cell sizes estimated, at most (ids in hash order).
+#: Vectors from which pivots are drawn and cell sizes estimated, at least; four to a pivot where that is more
+#: (by a hash of the id). The driver holds them: 4 * 2 * sqrt(rows) vectors, 64 MB for a thousand million rows.
 SAMPLE = 8192
 #: Rows of a tile, about.
 TILE = 4000
@@ -106,8 +109,15 @@ def tile_pairs(a: tuple, b: tuple | None, least: float) -> tuple[np.ndarray, np.
 EDGE = 1.5e-4
 
 
-def pivots_of(rows: DataFrame, n: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Pivots, and the estimated share of rows in each cell, from a bounded sample."""
+def pivot_count(n: int) -> int:
+    """About twice the square root of the rows, a power of two."""
+    return 1 << max(3, round(math.log2(2.0 * math.sqrt(max(n, 1)))))
+
+
+def pivots_of(rows: DataFrame, n: int, least: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Pivots, and the estimated share of rows in each cell, from a sample."""
+    want = pivot_count(n)
+    sample = max(least, 4 * want)
     share = min(1.0, 2.0 * sample / max(n, 1))
     some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))).select("id", "vector").limit(sample)
     table = some.toArrow().sort_by("id")
@@ -115,7 +125,6 @@ def pivots_of(rows: DataFrame, n: int, sample: int = SAMPLE) -> tuple[np.ndarray
     if not len(u):
         return np.zeros((0, DIM), np.float32), np.zeros(0)
     distinct = np.unique(np.round(u, 6), axis=0)
-    want = 1 << max(3, round(math.log2(2.0 * math.sqrt(max(n, 1)))))
     order = np.random.default_rng(7).permutation(len(distinct))[: min(want, len(distinct))]
     pivots = distinct[np.sort(order)].astype(np.float32)
     cells = cells_of(u, pivots)
@@ -139,12 +148,14 @@ def cells_of(u: np.ndarray, pivots: np.ndarray, probes: int = PROBES) -> np.ndar
 _BLOCKS = "key bigint, side int, id string, codes binary, step double, cells binary"
 
 
-def similar_pairs(rows: DataFrame, least: float = 0.9, probes: int = PROBES) -> DataFrame:
-    """``id_a, id_b, cosine``: pairs of different ids, the smaller first, of at least ``least``."""
+def similar_pairs(rows: DataFrame, least: float = 0.9, probes: int = PROBES, exact: bool = False) -> DataFrame:
+    """``id_a, id_b, cosine``: pairs of different ids, the smaller first, of at least ``least``.
+
+    ``exact`` compares all rows, tile by tile, instead of the cells of ``probes`` pivots."""
     spark = rows.sparkSession
     rows = rows.select("id", "vector").filter(F.col("id").isNotNull() & (F.size("vector") == DIM))
     n = rows.count()
-    pivots, shares = pivots_of(rows, n)
+    pivots, shares = (np.eye(1, DIM, dtype=np.float32), np.ones(1)) if exact else pivots_of(rows, n)
     if not len(pivots):
         return spark.createDataFrame([], "id_a string, id_b string, cosine double")
     tiles = np.maximum(1, np.ceil(shares * n / TILE)).astype(np.int64)
@@ -163,25 +174,19 @@ def similar_pairs(rows: DataFrame, least: float = 0.9, probes: int = PROBES) ->
             width = packed.shape[1] * 4
             row = np.repeat(np.arange(len(u)), cells.shape[1])
             cell = cells.ravel().astype(np.int64)
-            key, side = cell << 32, np.zeros(len(cell), np.int32)
+            key, side = cell << 40, np.zeros(len(cell), np.int32)
             split = tiles[cell] > 1
             if split.any():
                 # a cell cut into T tiles: a row of tile t goes to the tile pairs (t, x) and (x, t)
                 hashes = np.fromiter((hash_id(x) for x in ids.to_pylist()), np.int64, len(ids))
-                more_row, more_key, more_side = [], [], []
-                for p in np.flatnonzero(split):
-                    c, r = int(cell[p]), int(row[p])
-                    count = int(tiles[c])
-                    t = int(hashes[r] % count)
-                    for x in range(count):
-                        lo, hi = min(t, x), max(t, x)
-                        more_row.append(r)
-                        more_key.append(c << 32 | lo << 16 | hi)
-                        more_side.append(0 if t == lo else 1)
+                c, r, count = cell[split], row[split], tiles[cell[split]]
+                t = np.repeat(hashes[r] % count, count)
+                x = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                low, high = np.minimum(t, x), np.maximum(t, x)
                 keep = ~split
-                row = np.r_[row[keep], np.array(more_row, np.int64)]
-                key = np.r_[key[keep], np.array(more_key, np.int64)]
-                side = np.r_[side[keep], np.array(more_side, np.int32)]
+                row = np.r_[row[keep], np.repeat(r, count)]
+                key = np.r_[key[keep], np.repeat(c, count) << 40 | low << 20 | high]
+                side = np.r_[side[keep], (t != low).astype(np.int32)]
             take = pa.array(row)
             fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(DIM * 2), len(u), [None, pa.py_buffer(codes.astype("<i2").tobytes())])
             lists = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(u), [None, pa.py_buffer(packed.tobytes())])
@@ -195,7 +200,7 @@ def similar_pairs(rows: DataFrame, least: float = 0.9, probes: int = PROBES) ->
     def join(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         key = group["key"][0].as_py()
-        cell, lo, hi = key >> 32, key >> 16 & 0xFFFF, key & 0xFFFF
+        cell, lo, hi = key >> 40, key >> 20 & 0xFFFFF, key & 0xFFFFF
         ids = np.array(group["id"].to_pylist(), object)
         _, first = np.unique(ids.astype(str), return_index=True)  # repeated rows
         ids = ids[first]

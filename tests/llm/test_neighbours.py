@@ -45,6 +45,18 @@ def test_pairs_against_brute_force(spark, rows):
     assert all(a.encode() < b.encode() for a, b in got)
 
 
+def test_exact_pairs(spark, rows, monkeypatch):
+    want, _ = brute([(i, np.float32(v).tolist() if v else v) for i, v in rows], 0.9)
+    for tile in (N.TILE, 150):
+        monkeypatch.setattr(N, "TILE", tile)
+        got = [tuple(r) for r in N.similar_pairs(frame(spark, rows), 0.9, exact=True).select("id_a", "id_b").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pivots_go_on_growing():
+    assert [N.pivot_count(n) for n in (0, 100, 10**6, 10**8, 10**10)] == [8, 16, 2048, 16384, 262144]
+
+
 def test_cells_cut_into_tiles(spark, rows, monkeypatch):
     whole = {tuple(r) for r in N.similar_pairs(frame(spark, rows), 0.9).select("id_a", "id_b").collect()}
     monkeypatch.setattr(N, "TILE", 40)
