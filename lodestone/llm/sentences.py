@@ -1,6 +1,7 @@
 """Sentence boundaries across languages and scripts, by semi-Markov dynamic programming.
 
-Every mark that could end a sentence is a candidate. The best division of a paragraph is the one
+Every mark that could end a sentence is a candidate, with a score that says how likely it does; a score
+far below zero makes an end dear, but only the division as a whole decides. The best division of a paragraph is the one
 whose *spans* score highest in sum; a span is scored as a whole by its length, its opening word, its
 closing mark and word, and by whether quotations and brackets are balanced inside it, so that a mark
 within a quotation counts only if the sentence does not go on after it.
@@ -46,12 +47,12 @@ EITHER = frozenset("a.m p.m etc usw usf enz u.s e.u u.k u.n uu.s ee.uu a.c d.c 
 MONTHS = frozenset(
     "januar februar märz april mai juni juli august september oktober november dezember jänner jan feb mär apr jun jul aug sep okt nov dez jahrhundert jh quartal".split()
 )
-# Words a sentence may open with although they are not capitalised.
+# Names a sentence may open with although they are not capitalised.
 LOWER_OPENERS = frozenset("npm pip git curl iphone ipad ios macos ebay iptables systemd kubectl postgres".split())
 # Words a sentence often opens with; they tell a lost blank from a dotted name.
 OPENERS = frozenset(
     """a an the this that these those it its he she they we you i if when while since after before because although most many some each every all use open call set ask keep see
-    what why how where who which there here then never always only look without with within roughly plans rule versions backups window dr in on at for from by to no yes as so but and or
+    what why how where who which there here then never always only look without with within in on at for from by to no yes as so but and or
     der die das den dem ein eine einen man ab am im in wenn sobald bis nach vor während niemals nie warum wie was wer außerdem jede jeder jedes alle viele siehe das manche
     le la les un une des ce cette ces il elle on nous vous si quand pourquoi comment depuis voir ne jamais chaque après avant pendant ensuite en dans pour avec sans m
     el los las una unos unas este esta estos muchos nunca desde cada véase si cuando para con sin después antes
@@ -116,8 +117,12 @@ def _quotes(text: str, a: int, b: int) -> tuple[list[int], list[tuple[int, int,
     return loose, pairs
 
 
-def _closing(text: str, a: int, i: int, e: int, end: int, mark: str, quoted: bool) -> float | None:
-    """Score of a sentence end at ``e``, the end of mark and closers; None: not a candidate."""
+#: Score of a mark that stands inside a name or a number.
+INSIDE = -9.0
+
+
+def _closing(text: str, a: int, i: int, e: int, end: int, mark: str, quoted: bool) -> float:
+    """Score of a sentence end at ``e``, the end of mark and closers."""
     n = len(text) if end > len(text) else end
     nxt = text[e] if e < n else ""
     strong = mark[-1] in _STRONG
@@ -171,34 +176,34 @@ def _closing(text: str, a: int, i: int, e: int, end: int, mark: str, quoted: boo
     if not space and not quoted:
         # a lost blank, or a dot inside a name
         if head.isdigit() or head == "_" or not (head.isalpha() or opens):
-            return None
+            return INSIDE
         if _caseless(head):
-            return 2.0 if low else None
+            return 2.0 if low else INSIDE
         if opens and not head.isupper():
-            return None if first in "([" else 0.5
+            return INSIDE if first in "([" else 0.5
         if lower:
-            return None
+            return INSIDE
         if head.islower():  # a lower-case name that opens sentences
             after = text[k + len(word)] if k + len(word) < n else ""
-            return 1.5 if after == " " else None
+            return 1.5 if after == " " else INSIDE
         after = text[k + len(word)] if k + len(word) < n else ""
         if after and not (after.isspace() or after in ",'’.-"):
-            return None
+            return INSIDE
         if len(word) > 1 and not word[1:].islower() and word.isupper():
-            return None
+            return INSIDE
         if "." in left and low not in EITHER and not left.replace(".", "").isdigit() and left.split(".")[-1] != left.split(".")[-1].lower():
-            return None
+            return INSIDE
         if low in TITLES or low in BEFORE_NUMBER or (low in INNER and low not in EITHER):
             return -4.0
         if left[:1].isupper() and not left.isupper() and not left[-1:].isdigit():
             if word.lower() not in OPENERS:
-                return None
+                return INSIDE
             before = _WORD_BEFORE.search(text, max(a, i - len(left) - 24), max(a, i - len(left) - 1))
             if before and before[0].lower().rpartition(".")[2] in NEVER_BEFORE:
-                return None
+                return INSIDE
             return 1.2
         if len(low) == 1 and low.isalpha() and low not in EITHER:
-            return None
+            return INSIDE
         return 1.5 if word.lower() in OPENERS or len(low) > 1 else -1.0
     if not left:
         return 1.5 if not lower else -2.0
@@ -267,7 +272,7 @@ def _paragraph(text: str, a: int, b: int, out: list[tuple[int, int]], prune: boo
         c = text[i]
         if c == "." and e < b:
             d = text[e]
-            if (d.islower() and e - i == 1 and not text.startswith("npm", e)) or d.isdigit() or d == "_":
+            if (d.islower() and e - i == 1 and _NEXT_WORD.match(text, e)[0] not in LOWER_OPENERS) or d.isdigit() or d == "_":
                 continue
         mark_end, o = e, -1
         while e < b:
@@ -283,8 +288,6 @@ def _paragraph(text: str, a: int, b: int, out: list[tuple[int, int]], prune: boo
             else:
                 break
         s = _closing(text, a, i, e, b, text[i:mark_end], o >= 0)
-        if s is None or s <= -3.5:
-            continue
         if ends and ends[-1] == e:
             continue
         ends.append(e)
