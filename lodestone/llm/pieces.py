@@ -19,11 +19,12 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.sentences import segment
-from lodestone.session import spread
+from lodestone.session import cut_lineage, spread
 
 LIMIT, OVERLAP = 800, 150
 _HEADING = re.compile(
@@ -201,13 +202,55 @@ def stored_breaks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP,
     than one piece, or that begin with more than ``overlap`` characters ending the piece before.
 
     Neighbours meet in runs of ``run_length`` positions, the last piece of a run going to the next one
-    as well, so that a document of any length spreads over tasks; texts are shuffled once.
+    as well, so that a document of any length spreads over tasks; texts are shuffled once. Where different
+    texts stand at one position, each of them counts as preceding (``crowded_overlaps``).
     """
     rows = chunks.select("id", "doc_id", F.col("position").cast("int").alias("position"), "text").filter(F.col("text").isNotNull() & F.col("id").isNotNull())
     run = F.floor(F.col("position") / run_length)
     runs = F.when((F.col("position") + 1) % run_length == 0, F.array(run, run + 1)).otherwise(F.array(run))
     home = F.coalesce(F.col("doc_id"), F.xxhash64("id"))
-    rows = rows.withColumn("home", home).withColumn("own", run).withColumn("run", F.explode(runs))
+    rows = rows.withColumn("home", home)
+    placed = rows.filter(F.col("doc_id").isNotNull() & F.col("position").isNotNull())
+    h = F.xxhash64("text")
+    crowded = cut_lineage(placed.groupBy("home", "position").agg((F.min(h) != F.max(h)).alias("many")).filter("many").select("home", "position"))
+    if not crowded.isEmpty():
+        rest = stored_neighbours(rows, limit, overlap, run, runs)
+        more = crowded_overlaps(placed, crowded, overlap)
+        return rest.unionByName(more).groupBy("id").agg(F.max("pieces").alias("pieces"), F.max("overlap").alias("overlap"))
+    return stored_neighbours(rows, limit, overlap, run, runs)
+
+
+def crowded_overlaps(placed: DataFrame, crowded: DataFrame, overlap: int) -> DataFrame:
+    """``id, pieces, overlap`` of pieces that follow a position with several texts and repeat an end of one.
+
+    Beginnings and ends longer than ``overlap`` meet by length and hash, so that no two texts are paired:
+    the work is the texts' length, and a hot position spreads over as many keys as there are lengths."""
+
+    def edges(begins: bool):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            for b in batches:
+                ids, home, position, size, key = [], [], [], [], []
+                for i, h, p, t in zip(*(c.to_pylist() for c in b.columns)):
+                    for n in range(overlap + 1, len(t) + 1):
+                        ids.append(i)
+                        home.append(h)
+                        position.append(p - begins)
+                        size.append(n)
+                        key.append(xxhash.xxh64_intdigest(t[:n] if begins else t[-n:]) - 2**63)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(home, pa.int64()), *(pa.array(c, pa.int32()) for c in (position, size)), pa.array(key, pa.int64())], ["id", "home", "position", "size", "key"])
+
+        return run
+
+    cols, shape = ["id", "home", "position", "text"], "id string, home bigint, position int, size int, key bigint"
+    following = placed.join(crowded.withColumn("position", F.col("position") + 1), ["home", "position"], "left_semi").select(*cols).mapInArrow(edges(True), shape)
+    preceding = placed.join(crowded, ["home", "position"], "left_semi").select(*cols).mapInArrow(edges(False), shape)
+    on = ["home", "position", "size", "key"]
+    return following.join(preceding.select(*on).distinct(), on, "left_semi").groupBy("id").agg(F.lit(1).alias("pieces"), F.max("size").alias("overlap"))
+
+
+def stored_neighbours(rows: DataFrame, limit: int, overlap: int, run: Column, runs: Column) -> DataFrame:
+    """As ``stored_breaks``, each piece against one text of the preceding position."""
+    rows = rows.withColumn("own", run).withColumn("run", F.explode(runs))
     w = Window.partitionBy("home", "run").orderBy("position").rangeBetween(-1, -1)
     rows = rows.withColumn("before", F.when(F.col("doc_id").isNotNull() & F.col("position").isNotNull(), F.max("text").over(w)))
     rows = rows.filter(F.col("own").isNull() | (F.col("own") == F.col("run")))

@@ -79,6 +79,25 @@ def test_stored_breaks(spark):
     assert P.stored_breaks(df.limit(0)).count() == 0
 
 
+def test_several_texts_at_one_position(spark):
+    body = "".join(chr(97 + i % 26) for i in range(400)) + "END"
+    rows = [
+        ("a0", 1, 0, "start " + body), ("a0x", 1, 0, "zz other text"), ("a1", 1, 1, body[-170:] + " more"), ("a1y", 1, 1, body[-120:] + " more"), ("a1z", 1, 1, "zz other text more"), ("a2", 1, 2, "END"),
+        ("b0", 2, 255, "aa " + body), ("b0x", 2, 255, "zz " + body[::-1]), ("b1", 2, 256, body[-200:] + "q"), ("b1x", 2, 256, body[::-1][-300:]), ("c0", None, 0, "c"), ("c1", None, 0, "d"),
+    ] + [(f"h{i}", 7, 0, f"{i} " + body[: 200 + i % 3]) for i in range(300)] + [(f"g{i}", 7, 1, body[i % 2 : 202] + f" {i}") for i in range(300)]
+    df = spark.createDataFrame(rows + rows[:3], "id string, doc_id bigint, position int, text string")
+    by_place = {}
+    for _, d, p, t in rows:
+        by_place.setdefault((d, p), set()).add(t)
+    want = {}
+    for i, d, p, t in rows:
+        n = max((slow_overlap(before, t) for before in by_place.get((d, p - 1), ()) if d is not None), default=0)
+        if n > 150:
+            want[i] = n
+    assert {"a1", "b1", "b1x", "g0", "g1"} <= want.keys() and "a1y" not in want
+    assert {r["id"]: r["overlap"] for r in P.stored_breaks(df).collect()} == want
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, MD), (2, None), (3, "")], "doc_id bigint, text string")
     got = P.pieces(df, limit=200, overlap=40).orderBy("position").collect()
