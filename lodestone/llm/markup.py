@@ -587,14 +587,15 @@ def _subtrees(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(hashes, pa.int64())], ["host", "page", "h"])
 
 
-def site_templates(docs: DataFrame, min_pages: int = 5, min_share: float = 0.05) -> DataFrame:
+def site_templates(docs: DataFrame, min_pages: int = 5, min_share: float = 0.05, many_pages: int = 200) -> DataFrame:
     """``host, drop ARRAY<BIGINT>``: hashes of subtrees that recur on many pages of their host.
 
     A page is an origin with a source, however often it was delivered. A subtree is template if it
-    stands on at least ``min_pages`` pages and ``min_share`` of its host's pages. What is a page is
-    decided where texts are parsed, by ``is_page``; the filter here only passes over texts that cannot be
-    one. Counting is one grouped aggregate over distinct (host, page, hash); a host has at most pages-of-host *
-    containers-per-page / (min_share * pages-of-host) templates, i.e. containers per page / min_share.
+    stands on at least ``min_pages`` pages and on ``min_share`` of its host's pages or on ``many_pages``
+    of them, however large the host is. What is a page is decided where texts are parsed, by ``is_page``;
+    the filter here only passes over texts that cannot be one. Counting is one grouped aggregate over
+    distinct (host, page, hash); a host has at most containers per page / min_share templates, or, if it is
+    large, pages * containers per page / many_pages.
     """
     maybe = docs.filter(F.col("text").rlike("(?i)<(!doctype|html|body)")).select(
         host_of().alias("host"), F.xxhash64(F.lower(F.trim(F.coalesce("origin", F.lit("")))), F.coalesce("source", F.lit(""))).alias("page"), "text"
@@ -605,7 +606,7 @@ def site_templates(docs: DataFrame, min_pages: int = 5, min_share: float = 0.05)
     return (
         counts.filter(F.col("h").isNotNull())
         .join(per_host, "host")
-        .filter(F.col("n") >= F.col("pages") * min_share)
+        .filter(F.col("n") >= F.least(F.col("pages") * min_share, F.lit(many_pages)))
         .groupBy("host")
         .agg(F.collect_set("h").alias("drop"))
     )
@@ -627,27 +628,32 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         )
 
 
-def _with_templates(docs: DataFrame, broadcast_hosts: int) -> DataFrame:
+#: Hosts with templates, and template hashes of all hosts, that are broadcast at most: 16 MB of hashes.
+BROADCAST_HOSTS, BROADCAST_HASHES = 100_000, 2_000_000
+
+
+def _with_templates(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` of every document, with the template hashes of its host as ``drop`` if any host has some.
 
-    Template hashes are broadcast only if their host count was checked to be at most
-    ``broadcast_hosts``; beyond it they are joined by host.
+    Hashes are broadcast only if the numbers of hosts and of hashes were checked; beyond the bounds
+    they are joined by host, and AQE splits the rows of a hot one.
     """
     templates = cut_lineage(site_templates(docs))
-    hosts = templates.count()
+    size = templates.agg(F.count("*").alias("hosts"), F.coalesce(F.sum(F.size("drop")), F.lit(0)).alias("hashes")).first()
+    hosts = size["hosts"]
     rows = docs.select("doc_id", "text", host_of().alias("host"))
     if not hosts:
         return spread(rows.select("doc_id", "text"))
-    side = F.broadcast(templates) if hosts <= broadcast_hosts else templates
+    side = F.broadcast(templates) if hosts <= BROADCAST_HOSTS and size["hashes"] <= BROADCAST_HASHES else templates
     return spread(rows.join(side, "host", "left").select("doc_id", "text", "drop"))
 
 
-def clean_documents(docs: DataFrame, broadcast_hosts: int = 20_000) -> DataFrame:
+def clean_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, seq, element, content`` for every block of every document, without its site's templates."""
-    return _with_templates(docs, broadcast_hosts).mapInArrow(_blocks, "doc_id bigint, seq int, element string, content string")
+    return _with_templates(docs).mapInArrow(_blocks, "doc_id bigint, seq int, element string, content string")
 
 
-def clean_text(docs: DataFrame, broadcast_hosts: int = 20_000) -> DataFrame:
+def clean_text(docs: DataFrame) -> DataFrame:
     """``doc_id, clean``: one text per document, structure kept as Markdown, without its site's templates.
 
     The text is made of the blocks of ``clean_documents``; a document without blocks has an empty one.
@@ -660,4 +666,4 @@ def clean_text(docs: DataFrame, broadcast_hosts: int = 20_000) -> DataFrame:
             texts = ["\n\n".join(form.get(k, "{}").replace("{}", c) for k, c in parse_blocks(t, frozenset(d or ()))) for t, d in zip(b[1].to_pylist(), drops)]
             yield pa.RecordBatch.from_arrays([b[0], pa.array(texts, pa.string())], ["doc_id", "clean"])
 
-    return _with_templates(docs, broadcast_hosts).mapInArrow(render, "doc_id bigint, clean string")
+    return _with_templates(docs).mapInArrow(render, "doc_id bigint, clean string")

@@ -2,6 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lodestone.llm import markup
 from lodestone.llm.markup import clean_documents, clean_text, parse_blocks, site_templates
 
 MARKED = ("heading", "item", "code", "formula")
@@ -78,7 +79,7 @@ def page(n, extra=""):
     return f"<html><body><div><p>Site notice</p><ul><li>menu entry</li></ul></div><h1>Page {n}</h1><ul><li>own {n}</li></ul>{extra}</body></html>"
 
 
-def test_site_templates(spark):
+def test_site_templates(spark, monkeypatch):
     rows = [(n, f"p{n}.html", "https://a.example/x", page(n)) for n in range(8)]
     rows += [(100 + n, "one.html", "https://b.example/x", page(1)) for n in range(9)]  # one page, delivered often
     rows += [(200, None, None, page(9)), (201, "n", "https://a.example/x", None), (202, "m.md", "https://a.example/x", "# menu entry\n\n- menu entry")]
@@ -91,16 +92,26 @@ def test_site_templates(spark):
     assert found[3] == {("heading", "Page 3"), ("item", "own 3")}
     assert ("item", "menu entry") in found[100] and ("item", "menu entry") in found[200] and ("item", "menu entry") in found[202]
     assert 201 not in found
-    by_join = {(r["doc_id"], r["element"], r["content"]) for r in clean_documents(df, broadcast_hosts=0).collect()}
+    monkeypatch.setattr(markup, "BROADCAST_HASHES", 1)
+    by_join = {(r["doc_id"], r["element"], r["content"]) for r in clean_documents(df).collect()}
     assert by_join == {(d, *b) for d, s in found.items() for b in s}
     assert clean_documents(df.limit(0)).count() == 0
 
 
-def test_clean_text_has_no_templates(spark):
+def test_templates_of_a_large_host(spark):
+    """What recurs on many pages goes, however small its share of the host."""
+    rows = [(n, f"p{n}.html", "https://a.example/x", page(n) if n < 12 else f"<html><body><div>own {n}</div></body></html>") for n in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, origin string, text string")
+    assert site_templates(df).count() == 0 and [len(r["drop"]) for r in site_templates(df, many_pages=12).collect()] == [2]
+
+
+def test_clean_text_has_no_templates(spark, monkeypatch):
     rows = [(n, f"p{n}.html", "https://a.example/x", page(n, "<p>Own words.</p>")) for n in range(8)]
     rows += [(100, "p.html", "https://c.example/x", page(1)), (101, "n", "https://a.example/x", None), (102, "e", None, " ")]
     df = spark.createDataFrame(rows, "doc_id bigint, source string, origin string, text string")
-    for got in (clean_text(df), clean_text(df, broadcast_hosts=0)):
+    for bound in (10, 0):
+        monkeypatch.setattr(markup, "BROADCAST_HOSTS", bound)
+        got = clean_text(df)
         texts = {r["doc_id"]: r["clean"] for r in got.collect()}
         assert len(texts) == got.count() == 11 and texts[101] == texts[102] == ""
         assert texts[3] == "# Page 3\n\n- own 3\n\nOwn words."
