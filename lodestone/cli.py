@@ -64,12 +64,14 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--source", action="append", default=[])
         c.add_argument("--tag", action="append", default=[])
         c.add_argument("--multi-query", action="store_true")
+        c.add_argument("--no-llm", action="store_true", help="leave the language model alone: extractive answers, words carried over")
         c.add_argument("--json", action="store_true")
     c = sub.add_parser("eval")
     c.add_argument("--questions", required=True)
     c.add_argument("--k", type=cutoffs, default=[1, 3, 5])
     c.add_argument("--modes", default=",".join(DEFAULT_MODES))
     c.add_argument("--judge", action="store_true")
+    c.add_argument("--no-llm", action="store_true", help="extractive answers and heuristic verdicts")
     c.add_argument("--json", action="store_true")
     c = sub.add_parser("serve")
     c.add_argument("--host", default="127.0.0.1")
@@ -79,18 +81,20 @@ def parser() -> argparse.ArgumentParser:
 
 
 def options(args: argparse.Namespace) -> dict:
-    return {"k": args.k, "mode": args.mode, "rerank": None if args.rerank == "none" else args.rerank, "sources": args.source, "tags": args.tag, "multi": args.multi_query}
+    return {"k": args.k, "mode": args.mode, "rerank": None if args.rerank == "none" else args.rerank, "sources": args.source, "tags": args.tag, "multi": args.multi_query, "llm": not args.no_llm}
 
 
 def run(args: argparse.Namespace, spark=None) -> int:
     from pyspark.sql import functions as F
 
+    from lodestone.backends import ChatBackend
     from lodestone.engine import Engine, to_json
     from lodestone.session import local_session
     from lodestone.sources.loaders import read_questions
 
     spark = spark or local_session("*")
-    engine = Engine(spark, args.index, getattr(args, "embedder", None) if not getattr(args, "reset", False) else None)
+    backend = None if getattr(args, "no_llm", False) else ChatBackend.from_environment()
+    engine = Engine.with_backend(spark, args.index, backend, getattr(args, "embedder", None) if not getattr(args, "reset", False) else None)
     if args.command == "ingest":
         if args.reset:
             engine.reset()
@@ -98,14 +102,21 @@ def run(args: argparse.Namespace, spark=None) -> int:
         done = 0
         for path in args.paths:
             r = engine.ingest_path(path, prefix=args.prefix, tags=args.tags, max_chars=args.chunk_size, overlap=args.overlap, prune=os.path.isdir(path))
-            done += len(r.added) + len(r.updated) + len(r.unchanged)
-            print(f"{path}: {len(r.added)} added, {len(r.updated)} updated, {len(r.unchanged)} unchanged, {len(r.removed)} removed, {r.chunks} chunks")
+            n = r.counts
+            done += n["added"] + n["updated"] + n["unchanged"]
+            print(f"{path}: {n['added']} added, {n['updated']} updated, {n['unchanged']} unchanged, {n['removed']} removed, {r.chunks} chunks")
             for source, owner in r.conflicts.items():
                 print(f"skip {source}: it belongs to {owner}", file=sys.stderr)
+            for bad in r.unreadable.toLocalIterator() if r.unreadable is not None else ():
+                print(f"warning: {bad['source']} could not be read: {bad['error']}", file=sys.stderr)
         return 0 if done else 1
     if args.command == "remove":
-        gone = engine.remove(args.paths)
-        print("\n".join(gone) if gone else "nothing matched")
+        gone = 0
+        for row in engine.remove(args.paths).orderBy("source").toLocalIterator():
+            print(row["source"])
+            gone += 1
+        if not gone:
+            print("nothing matched")
         return 0 if gone else 1
     if args.command == "vacuum":
         before, after = engine.vacuum()
@@ -118,7 +129,7 @@ def run(args: argparse.Namespace, spark=None) -> int:
         else:
             rows.show(1000, truncate=False)
         return 0 if not rows.isEmpty() else 1
-    if not engine.store.exists() or engine.store.table("chunks").isEmpty():
+    if not engine.store.manifest()["records"]:
         raise ValueError(f"the index at {args.index} is empty; ingest something first")
     if args.command == "ask":
         got = engine.ask(args.question, **options(args))
@@ -150,7 +161,7 @@ def run(args: argparse.Namespace, spark=None) -> int:
         if args.judge:
             from lodestone.operators.evaluate import judge_summary
 
-            judge_summary(engine.judge(rows, modes[0])).show(truncate=False)
+            judge_summary(engine.judge(rows, modes[0], backend=backend and backend.judge)).show(truncate=False)
         return 0
     from lodestone.server import serve
 

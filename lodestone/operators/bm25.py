@@ -4,16 +4,19 @@ Statistics (n, df, avgdl) always cover the whole collection; ``allowed`` filters
 rank cut. Each question's terms count once. Questions without terms and terms without postings give
 nothing. Ties, after rounding scores to nine places, go to the smaller id.
 
-One pass over the texts leaves the asked terms of each record, one row a record. A second pass over
-these rows scores a batch of records against all questions at once and hands on the best k of each
-question, so that what is shuffled is k rows per question and batch, not one per question and record.
-Stored postings are joined instead.
+One pass over the texts leaves the asked terms of each record, one row a record; from stored postings
+the same rows come by picking the asked terms, which the postings' order by term lets the scan skip to,
+and bringing them together by record. A second pass over these rows scores a batch of records against
+all questions at once and hands on the best k of each question, so that what is shuffled is k rows per
+question and batch, not one per question and record. Only if more different terms are asked for than
+may be sent to the tasks, postings are joined to the questions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators.index import document_frequency, idf, record_counts, small, term_counts
+from lodestone.operators.index import corpus_stats, document_frequency, idf, record_counts, small, term_counts
 from lodestone.session import cut_lineage
 
 K1, B = 1.5, 0.75
-#: (question, term) pairs sent to the tasks at once; with more, postings are joined to the questions.
+#: Terms, and (question, term) pairs, sent to the tasks at once. Of more pairs the questions are scored in
+#: parts; of more terms, postings are joined to the questions.
 PAIRS = 2_000_000
+#: Terms that are named in a filter of the postings' scan; of more they are joined.
+NAMED = 500
 #: Cells of a score matrix, and sums that go into it, handled at once.
 CELLS = 4_000_000
 
@@ -47,31 +53,62 @@ class Postings:
     avgdl: float = 1.0
 
 
-def asked_postings(docs: DataFrame, questions: DataFrame) -> Postings:
-    """Postings of the questions' terms from the texts, written once."""
-    spark = docs.sparkSession
-    terms = query_terms(questions, ()).distinct()
-    names = [r["term"] for r in terms.limit(PAIRS + 1).collect()]
-    if len(names) > PAIRS:
-        from lodestone.operators.index import corpus_stats
+def _names(questions: DataFrame) -> list[str] | None:
+    """The terms asked for, or None if there are more than ``PAIRS``."""
+    names = [r["term"] for r in query_terms(questions, ()).distinct().limit(PAIRS + 1).collect()]
+    return names if len(names) <= PAIRS else None
 
-        tf = term_counts(docs).filter(F.col("term") != "").join(terms, "term", "left_semi")
-        return Postings(corpus_stats(docs), document_frequency(tf), tf)
-    rows = cut_lineage(record_counts(docs, names))
-    total = rows.filter(F.col("id").isNull()).agg(F.sum(F.get("tfs", F.lit(0))).alias("n"), F.sum(F.get("tfs", F.lit(1))).alias("dl")).first()
-    n, avgdl = total["n"] or 0, (total["dl"] or 0) / total["n"] if total["n"] else 0.0
-    records = rows.filter(F.col("id").isNotNull())
+
+def _weighted(n: int, avgdl: float, records: DataFrame) -> Postings:
+    spark = records.sparkSession
     counted = records.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()  # asked terms only
     found = [(r["term"], r["df"]) for r in counted]
     weights = {t: float(np.log(1 + (n - d + 0.5) / (d + 0.5))) for t, d in found}
     return Postings(spark.createDataFrame([(n, avgdl)], "n bigint, avgdl double"), spark.createDataFrame(found, "term string, df bigint"), None, records, weights, avgdl or 1.0)
 
 
+def asked_postings(docs: DataFrame, questions: DataFrame) -> Postings:
+    """Postings of the questions' terms from the texts, written once."""
+    names = _names(questions)
+    if names is None:
+        tf = term_counts(docs).filter(F.col("term") != "").join(query_terms(questions, ()).distinct(), "term", "left_semi")
+        return Postings(corpus_stats(docs), document_frequency(tf), tf)
+    rows = cut_lineage(record_counts(docs, names))
+    total = rows.filter(F.col("id").isNull()).agg(F.sum(F.get("tfs", F.lit(0))).alias("n"), F.sum(F.get("tfs", F.lit(1))).alias("dl")).first()
+    n = total["n"] or 0
+    return _weighted(n, (total["dl"] or 0) / n if n else 0.0, rows.filter(F.col("id").isNotNull()))
+
+
+def stored_postings(tf: DataFrame, stats: DataFrame, questions: DataFrame) -> Postings:
+    """Postings of the questions' terms from stored ones (id, dl, term, tf), written once.
+
+    A record's list holds the asked terms it has, so it is no longer than the text."""
+    names = _names(questions)
+    terms = query_terms(questions, ()).distinct()
+    if names is None:
+        some = tf.join(terms, "term", "left_semi")
+        return Postings(stats, document_frequency(some), some)
+    some = tf.filter(F.col("term").isin(names)) if len(names) <= NAMED else tf.join(F.broadcast(terms), "term", "left_semi")
+    by_record = some.groupBy("id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("c"))
+    records = cut_lineage(by_record.select("id", "dl", F.col("c.term").alias("terms"), F.col("c.tf").alias("tfs")))
+    row = stats.first()
+    return _weighted(row["n"], row["avgdl"], records)
+
+
 def _score_records(p: Postings, questions: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
     """The k best records of each question and batch; some more where ties reach over the cut."""
+    pairs = query_terms(questions)
+    asked = pairs.limit(PAIRS + 1).toArrow()
+    if asked.num_rows <= PAIRS:
+        return _score_part(p, questions, asked, k, allowed)
+    parts = -(-2 * pairs.count() // PAIRS)
+    some = [pairs.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == x).toArrow() for x in range(parts)]
+    return reduce(DataFrame.unionByName, [_score_part(p, questions, t, k, allowed) for t in some])
+
+
+def _score_part(p: Postings, questions: DataFrame, asked: pa.Table, k: int, allowed: DataFrame | None) -> DataFrame:
     spark = questions.sparkSession
     kind = {"qid": questions.schema["qid"].dataType.simpleString(), "id": p.records.schema["id"].dataType.simpleString()}
-    asked = query_terms(questions).toArrow()
     qids = asked["qid"].combine_chunks().dictionary_encode()
     order = sorted(p.weights)
     at = {t: i for i, t in enumerate(order)}

@@ -220,6 +220,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFra
                     u, at = unit_rows(part[1])
                     if len(u) and len(q) and u.shape[1] == q.shape[1]:
                         ids = part[0].take(pa.array(at)).to_pylist()
+                        if len(set(ids)) < len(ids):  # repeated rows would take the places of others
+                            once = list({(i, v.tobytes()): x for x, (i, v) in enumerate(zip(ids, u))}.values())
+                            u, ids = u[once], [ids[x] for x in once]
                         a, i, s = best_cosines(u, ids, q, qids, k)
                         yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(i, part[0].type), pa.array(s, pa.float64())], ["qid", "id", "score"])
 

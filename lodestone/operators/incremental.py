@@ -51,12 +51,14 @@ def reread_from(runs: DataFrame) -> DataFrame:
     return r.join(last, "origin").filter(open_then).groupBy("origin").agg(F.min("started_at").alias("reread_from"))
 
 
-def newest_deliveries(docs: DataFrame) -> DataFrame:
-    """``origin, source, doc_id, version`` of the newest delivery of each file. One partial aggregate;
-    texts never leave the map side."""
+def newest_deliveries(docs: DataFrame, arrival: str | None = None) -> DataFrame:
+    """``origin, source, doc_id, version`` of the newest delivery of each file; with ``arrival`` also when the
+    last of its rows arrived, and whether that is unknown of any. One partial aggregate; texts never
+    leave the map side."""
     newest = F.struct(F.col("ingested_at").isNotNull().alias("dated"), "ingested_at", "doc_id", version().alias("version"))
-    files = docs.groupBy(origin_key(F.coalesce("origin", F.lit(""))).alias("origin"), F.col("source")).agg(F.max(newest).alias("d"))
-    return files.select("origin", "source", "d.doc_id", "d.version", F.col("d.ingested_at").alias("ingested_at"))
+    arrived = [F.max(arrival).alias("arrived"), F.max(F.col(arrival).isNull()).alias("undated")] if arrival else []
+    files = docs.groupBy(origin_key(F.coalesce("origin", F.lit(""))).alias("origin"), F.col("source")).agg(F.max(newest).alias("d"), *arrived)
+    return files.select("origin", "source", "d.doc_id", "d.version", F.col("d.ingested_at").alias("ingested_at"), *(["arrived", "undated"] if arrival else []))
 
 
 def recorded_versions(ledger: DataFrame, runs: DataFrame) -> DataFrame:
@@ -70,14 +72,15 @@ def recorded_versions(ledger: DataFrame, runs: DataFrame) -> DataFrame:
 def next_run(docs: DataFrame, runs: DataFrame, ledger: DataFrame, arrival: str | None = None) -> DataFrame:
     """``origin, source, doc_id, version``: the deliveries to take.
 
-    ``arrival`` names a column that says when a row really arrived. If it is given, rows that arrived
-    before ``reread_from`` of their origin aren't looked at: the last successful run had them.
+    ``arrival`` names a column that says when a row really arrived. If it is given, only files count of
+    which a delivery arrived at or after ``reread_from`` of their origin, or at a time unknown: of the
+    others the last successful run had everything. Which delivery of such a file is the newest is still
+    decided over all its rows, so that an older one that arrives late doesn't pass for it.
     """
+    files, done = newest_deliveries(docs, arrival), recorded_versions(ledger, runs)
     if arrival is not None:
-        marks = reread_from(runs).withColumnRenamed("origin", "_origin")
-        key = origin_key(F.coalesce("origin", F.lit("")))
-        docs = docs.join(marks, key == F.col("_origin"), "left")
-        docs = docs.filter(F.col("reread_from").isNull() | F.col(arrival).isNull() | (F.col(arrival) >= F.col("reread_from")))
-    files, done = newest_deliveries(docs), recorded_versions(ledger, runs)
+        marks = reread_from(runs).select(F.col("origin").alias("_origin"), "reread_from")
+        files = files.join(marks, F.col("origin") == F.col("_origin"), "left")
+        files = files.filter(F.col("reread_from").isNull() | F.col("undated") | (F.col("arrived") >= F.col("reread_from"))).drop("_origin")
     same = files["origin"].eqNullSafe(done["origin"]) & files["source"].eqNullSafe(done["source"]) & files["version"].eqNullSafe(done["version"])
     return files.join(done, same, "left_anti").select("origin", "source", "doc_id", "version")

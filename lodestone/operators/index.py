@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.session import spread
+from lodestone.session import distinct_rows, spread
 
 _find = re.compile(T.TOKEN).findall
 COUNTS = "id {}, dl int, term string, tf bigint"
@@ -31,14 +31,24 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
 
 
 def as_documents(rows: DataFrame, id: str = "id", text: Column | str | None = None) -> DataFrame:
-    """``id, text`` once per record; map-side hash aggregation drops repeats before the shuffle."""
+    """``id, text`` once per record; only records whose id occurs again are shuffled to drop repeats."""
     body = T.indexed_text() if text is None else F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    return rows.select(F.col(id).alias("id"), body.alias("text")).filter(F.col("id").isNotNull()).distinct()
+    return distinct_rows(spread(rows.select(F.col(id).alias("id"), body.alias("text")).filter(F.col("id").isNotNull())))
 
 
-def tokenized(docs: DataFrame) -> DataFrame:
-    """``id, toks, dl``."""
-    return docs.select("id", T.tokens("text").alias("toks")).withColumn("dl", F.size("toks"))
+def record_lengths(docs: DataFrame) -> DataFrame:
+    """``id, tokens, stems``: tokens of each record, and how many different stems there are among them."""
+    stop = frozenset(T.STOPWORDS)
+    memo: dict[str, tuple[bool, str | None]] = {}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            if len(memo) > MEMO:
+                memo.clear()
+            got = [_count(memo, None, stop, text) for text in b[1].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b[0], pa.array([dl for dl, _ in got], pa.int32()), pa.array([len(c) for _, c in got], pa.int32())], ["id", "tokens", "stems"])
+
+    return spread(docs.select("id", "text")).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, tokens int, stems int")
 
 
 def _count(memo: dict[str, tuple[bool, str | None]], wanted: frozenset[str] | None, stop: frozenset[str], text: str | None) -> tuple[int, dict[str, int]]:

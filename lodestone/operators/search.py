@@ -6,11 +6,11 @@ from collections.abc import Collection as Collection_
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import bm25, dense, fusion, rerank
-from lodestone.operators.index import as_documents, document_frequency, small
+from lodestone.operators.index import as_documents, small
 from lodestone.session import cut_lineage
 
 MODES = ("bm25", "dense", "hybrid")
@@ -73,8 +73,7 @@ class Collection:
     def postings(self, questions: DataFrame) -> bm25.Postings:
         if self._tf is None or self._stats is None:
             return bm25.asked_postings(self.docs, questions)
-        tf = self._tf.join(small(bm25.query_terms(questions, ()).distinct()), "term", "left_semi")
-        return bm25.Postings(self._stats, document_frequency(tf), tf)
+        return bm25.stored_postings(self._tf, self._stats, questions)
 
     # rankings: qid, id, score, rank ----------------------------------------------------------
     def lexical(self, questions: DataFrame, n: int, allowed: DataFrame | None = None, postings: bm25.Postings | None = None) -> DataFrame:
@@ -150,9 +149,12 @@ class Collection:
         return single.unionByName(fused)
 
     def hits(self, ranking: DataFrame) -> DataFrame:
-        """The ranking with its chunks, joined after the cut."""
-        payload = self.chunks.select("id", "source", "title", "heading", "text").filter(F.col("id").isNotNull())
-        wanted = F.broadcast(ranking) if ranking.count() <= 200_000 else ranking
-        rows = payload.join(wanted, "id")
-        w = Window.partitionBy("qid", "id").orderBy(F.lit(1))
-        return rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") == 1).drop("_k")
+        """The ranking with its chunks, joined after the cut: only texts of hits leave the scan.
+
+        Of several rows of one id the first by source, title, heading and text counts."""
+        ranking = cut_lineage(ranking)
+        fields = ("source", "title", "heading", "text")
+        wanted = small(ranking.select("id").distinct())
+        first = F.min(F.struct(*fields)).alias("c")
+        payload = self.chunks.join(wanted, "id", "left_semi").groupBy("id").agg(first)
+        return ranking.join(payload, "id").select(*ranking.columns, *[F.col(f"c.{c}").alias(c) for c in fields])

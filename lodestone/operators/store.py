@@ -1,24 +1,46 @@
-"""Versioned tables of an index: immutable Parquet versions and a pointer that is swapped atomically.
-
-Every change writes a new version folder and then replaces the file ``CURRENT``; a job that dies
-half-way leaves the pointer, and so the index, as it was. Readers resolve the pointer per request, so
-that a serving process sees what another one committed.
+"""Tables of an index as segments: a change writes the changed documents only, and a pointer makes it visible.
+
+Every commit adds one segment: Parquet folders ``<table>/seg=<number>`` with the new rows of documents,
+chunks, vectors and postings, and with tombstones (``gone``) of the sources whose earlier rows no longer
+hold. A row holds if no later segment has a tombstone for its source. Which segments there are stands in
+a small manifest; the file ``CURRENT`` names the manifest and is replaced atomically, so a job that dies
+half-way leaves the index as it was, and readers, who resolve the pointer per request, see what another
+process committed. ``compact`` rewrites what holds as one segment, ``vacuum`` does so and deletes the rest.
+
+Chunks are range-partitioned by source, so that source filters prune files; postings by term and id, so
+that the postings of a frequent term spread over partitions and those of a rare one are found by file
+statistics. Numbers of records and tokens are kept in the manifest.
 """
 
 from __future__ import annotations
 
 import json
 import posixpath
+import re
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.operators import dense
-from lodestone.operators.index import as_documents, corpus_stats, postings
+from lodestone.operators.index import postings, record_lengths
+from lodestone.functions.text import indexed_text
+
+TABLES = {
+    "documents": "source string, title string, origin string, hash string, ingested_at timestamp, tags array<string>",
+    "chunks": "id string, source string, title string, heading string, text string, position int, dl int",
+    "vectors": "id string, vector array<float>",
+    "postings": "id string, dl int, term string, tf bigint",
+    "gone": "source string, chunks boolean",
+}
+#: Tombstones that are broadcast at most; more are joined.
+BROADCAST_GONE = 500_000
+EMPTY = {"embedder": None, "segments": [], "records": 0, "tokens": 0, "gone": 0}
 
-DOCUMENTS = "source string, title string, origin string, hash string, ingested_at timestamp, tags array<string>"
-CHUNKS = "id string, source string, title string, heading string, text string, position int"
-TABLES = {"documents": DOCUMENTS, "chunks": CHUNKS, "vectors": "id string, vector array<float>", "postings": "id string, dl int, term string, tf bigint", "stats": "n bigint, avgdl double"}
+
+def columns(name: str) -> list[str]:
+    return [c.split()[0] for c in TABLES[name].split(", ")]
 
 
 class Store:
@@ -27,7 +49,7 @@ class Store:
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        stored = self.meta().get("embedder")
+        stored = self.manifest()["embedder"]
         if stored and embedder and stored != embedder:
             raise ValueError(f"the index was built with embedder {stored!r}; reset it to switch to {embedder!r}")
         self.embedder = stored or embedder or "hash:1024"
@@ -45,6 +67,7 @@ class Store:
             stream.close()
 
     def _write(self, name: str, body: str) -> None:
+        """Write a file aside and rename it over the one of that name."""
         tmp = self._path(f"{self.path}/.{name}-{uuid.uuid4().hex}")
         out = self.fs.create(tmp, True)
         out.write(bytearray(body.encode()))
@@ -62,44 +85,96 @@ class Store:
     def exists(self) -> bool:
         return self.version() is not None
 
-    def meta(self) -> dict:
+    def manifest(self) -> dict:
         v = self.version()
-        return json.loads(self._read(f"{v}/meta.json") or "{}") if v else {}
+        return EMPTY | json.loads(self._read(f"{v}.json") or "{}") if v else dict(EMPTY)
 
-    # tables ------------------------------------------------------------------------------------
+    # reading -----------------------------------------------------------------------------------
     def table(self, name: str) -> DataFrame:
-        v = self.version()
-        if v is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{v}/{name}")
-
-    def commit(self, documents: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None) -> str:
-        """Write a new version and point to it. Vectors that are given (id, vector) are kept, others made.
-
-        Chunks are range-partitioned by source, so that source filters prune files; postings by term."""
-        v = f"v-{uuid.uuid4().hex}"
-        base = f"{self.path}/{v}"
-        documents.select(*[x.split()[0] for x in DOCUMENTS.split(", ")]).write.parquet(f"{base}/documents")
-        chunks.select(*[x.split()[0] for x in CHUNKS.split(", ")]).repartitionByRange("source", "position").sortWithinPartitions("source", "position").write.parquet(f"{base}/chunks")
-        written = self.spark.read.schema(CHUNKS).parquet(f"{base}/chunks")
-        docs = as_documents(written)
-        if vectors is None:
-            made = dense.embed(docs, "text", self.embedder)
-        else:
-            kept = docs.join(vectors, "id", "left_semi").join(vectors, "id").select("id", "vector")
-            made = kept.unionByName(dense.embed(docs.join(vectors, "id", "left_anti"), "text", self.embedder))
-        made.write.parquet(f"{base}/vectors")
-        posts = postings(docs).select("id", "dl", "term", "tf")
-        posts.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{base}/postings")
-        corpus_stats(docs).write.parquet(f"{base}/stats")
-        out = self.fs.create(self._path(f"{base}/meta.json"), True)
-        out.write(bytearray(json.dumps({"embedder": self.embedder}).encode()))
-        out.close()
+        """The rows of a table that hold."""
+        return self._holding(name, self.manifest()).select(*columns(name))
+
+    def _segments(self, name: str, m: dict) -> DataFrame:
+        if not m["segments"]:
+            return self.spark.createDataFrame([], f"{TABLES[name]}, seg bigint")
+        paths = [f"{self.path}/{name}/seg={s}" for s in m["segments"]]
+        return self.spark.read.schema(f"{TABLES[name]}, seg bigint").option("basePath", f"{self.path}/{name}").parquet(*paths)
+
+    def _holding(self, name: str, m: dict) -> DataFrame:
+        rows = self._segments(name, m)
+        if not m["gone"]:
+            return rows
+        gone = self._segments("gone", m)
+        if name != "documents":
+            gone = gone.filter("chunks")
+        last = gone.groupBy(F.col("source").alias("_source")).agg(F.max("seg").alias("_upto"))
+        last = F.broadcast(last) if m["gone"] <= BROADCAST_GONE else last
+        source = F.col("source") if "source" in columns(name) else F.regexp_replace("id", "#[0-9]+$", "")
+        return rows.join(last, (source == F.col("_source")) & (F.col("seg") < F.col("_upto")), "left_anti")
+
+    def stats(self) -> DataFrame:
+        """One row: ``n, avgdl``."""
+        m = self.manifest()
+        return self.spark.createDataFrame([(m["records"], m["tokens"] / m["records"] if m["records"] else 0.0)], "n bigint, avgdl double")
+
+    # writing -----------------------------------------------------------------------------------
+    def append(self, documents: DataFrame, chunks: DataFrame, gone: DataFrame | None = None) -> int:
+        """Add a segment: rows of new and changed documents, their chunks (id, source, title, heading, text,
+        position; each id once), and tombstones (source, chunks) of what no longer holds in earlier
+        segments: the document's row, and with ``chunks`` its chunks too. Gives the number of chunks added."""
+        m = self.manifest()
+        seg = max([time.time_ns() // 1000, *(s + 1 for s in m["segments"])])
+        at = lambda name: f"{self.path}/{name}/seg={seg}"
+        documents.select(*columns("documents")).write.parquet(at("documents"))
+        if gone is not None:
+            gone.select(*columns("gone")).write.parquet(at("gone"))
+        plain = [c for c in columns("chunks") if c != "dl"]
+        bodies = chunks.select(*plain, indexed_text().alias("body"))
+        lengths = record_lengths(bodies.select(F.struct(*plain).alias("id"), F.col("body").alias("text")))
+        sized = lengths.select("id.*", F.col("tokens").alias("dl"))
+        sized.repartitionByRange("source", "position").sortWithinPartitions("source", "position").write.parquet(at("chunks"))
+        written = self.spark.read.schema(TABLES["chunks"]).parquet(at("chunks"))
+        docs = written.select("id", indexed_text().alias("text"))
+        dense.embed(docs, "text", self.embedder).write.parquet(at("vectors"))
+        posts = postings(docs).select(*columns("postings"))
+        posts.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(at("postings"))
+        if gone is None:
+            self.spark.createDataFrame([], TABLES["gone"]).write.parquet(at("gone"))
+        dead = self._sizes(self._holding("chunks", m).join(self._written_gone(at("gone")), "source", "left_semi")) if m["segments"] and gone is not None else (0, 0)
+        new = self._sizes(written)
+        more = self.spark.read.schema(TABLES["gone"]).parquet(at("gone")).count() if gone is not None else 0
+        self._point({**m, "embedder": self.embedder, "segments": [*m["segments"], seg], "records": m["records"] - dead[0] + new[0], "tokens": m["tokens"] - dead[1] + new[1], "gone": m["gone"] + more})
+        return new[0]
+
+    def _written_gone(self, path: str) -> DataFrame:
+        return self.spark.read.schema(TABLES["gone"]).parquet(path).filter("chunks").select("source").distinct()
+
+    @staticmethod
+    def _sizes(chunks: DataFrame) -> tuple[int, int]:
+        row = chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
+        return row["n"], row["dl"]
+
+    def _point(self, manifest: dict) -> None:
+        v = f"m-{uuid.uuid4().hex}"
+        self._write(f"{v}.json", json.dumps(manifest))
         self._write("CURRENT", v)
-        return v
+
+    def compact(self) -> None:
+        """Rewrite what holds as one segment; nothing is read into tokens or vectors again."""
+        m = self.manifest()
+        if len(m["segments"]) < 2 and not m["gone"]:
+            return
+        seg = max([time.time_ns() // 1000, *(s + 1 for s in m["segments"])])
+        order = {"chunks": ("source", "position"), "postings": ("term", "id")}
+        for name in TABLES:
+            rows = self.spark.createDataFrame([], TABLES[name]) if name == "gone" else self._holding(name, m).select(*columns(name))
+            if name in order:
+                rows = rows.repartitionByRange(*order[name]).sortWithinPartitions(*order[name])
+            rows.write.parquet(f"{self.path}/{name}/seg={seg}")
+        self._point({**m, "segments": [seg], "gone": 0})
 
     def reset(self) -> None:
-        """Back to no documents, chunks or embedder; earlier versions stay until ``vacuum``."""
+        """Back to no documents, chunks or embedder; earlier segments stay until ``vacuum``."""
         if self.fs.exists(self._path(f"{self.path}/CURRENT")):
             self.fs.delete(self._path(f"{self.path}/CURRENT"), False)
 
@@ -107,12 +182,17 @@ class Store:
         p = self._path(self.path)
         return self.fs.getContentSummary(p).getLength() if self.fs.exists(p) else 0
 
+    def _names(self, folder: str) -> list[str]:
+        p = self._path(folder)
+        return [posixpath.basename(s.getPath().toString()) for s in self.fs.listStatus(p)] if self.fs.exists(p) else []
+
     def vacuum(self) -> tuple[int, int]:
-        """Delete versions that nothing points to; bytes before and after."""
-        before, current = self.size(), self.version()
-        if self.fs.exists(self._path(self.path)):
-            for status in self.fs.listStatus(self._path(self.path)):
-                name = posixpath.basename(status.getPath().toString())
-                if name.startswith("v-") and name != current:
-                    self.fs.delete(status.getPath(), True)
+        """Compact, then delete segments and manifests that nothing points to; bytes before and after."""
+        before = self.size()
+        self.compact()
+        keep = {f"seg={s}" for s in self.manifest()["segments"]} | {f"{self.version()}.json"}
+        for folder, pattern in [(f"{self.path}/{name}", r"seg=\d+") for name in TABLES] + [(self.path, r"\.?m-[0-9a-f]+\.json.*")]:
+            for name in self._names(folder):
+                if re.fullmatch(pattern, name) and name not in keep:
+                    self.fs.delete(self._path(f"{folder}/{name}"), True)
         return before, self.size()

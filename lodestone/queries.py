@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,10 +12,11 @@ from lodestone.functions import text as T
 from lodestone.operators import answer as A
 from lodestone.operators import bm25, dense, evaluate, fusion, incremental, ingest, rerank
 from lodestone.operators.filters import allowed_chunks, has_tags, source_matches
-from lodestone.operators.index import as_documents, corpus_stats, document_frequency, idf, postings, tokenized
+from lodestone.operators.index import as_documents, corpus_stats, document_frequency, idf, postings, record_lengths
 from lodestone.operators.search import Collection
 from lodestone.plans import requests
-from lodestone.session import cut_lineage, spread, table
+from lodestone.operators.store import TABLES, Store
+from lodestone.session import checkpoint_folder, cut_lineage, distinct_rows, spread, table
 from lodestone.sources.chunker import chunk_documents
 from lodestone.sources.html import html_to_markdown
 
@@ -32,8 +34,7 @@ def _ranked(df: DataFrame) -> DataFrame:
 
 # text --------------------------------------------------------------------------------------------
 def tokenize_counts(spark: SparkSession, sf: str) -> DataFrame:
-    toks = tokenized(spread(_docs(spark, sf)))
-    return toks.select("id", F.col("dl").alias("tokens"), F.size(F.array_distinct("toks")).alias("stems"))
+    return record_lengths(_docs(spark, sf))
 
 
 def token_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,7 +46,7 @@ def stem_vocab(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spread(table(spark, sf, "chunks").select("id", "text").filter(F.col("text").isNotNull()).distinct())
+    rows = distinct_rows(spread(table(spark, sf, "chunks").select("id", "text").filter(F.col("text").isNotNull())))
     return rows.select("id", F.size(T.split_sentences("text")).alias("sentences"))
 
 
@@ -149,6 +150,35 @@ def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("id", F.size(F.filter("vector", lambda x: x != 0)).alias("features"), F.round(F.sqrt(dense.cosine("vector", "vector")), 4).alias("norm"))
 
 
+def _stored(spark: SparkSession, sf: str) -> Store:
+    """An index over the chunks, in a folder of its own beside the checkpoints, written in two segments: the
+    first has every row under another text, which the second takes back."""
+    store = Store(spark, f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}", "hash:64")
+    plain = [c.split()[0] for c in TABLES["chunks"].split(", ")][:-1]
+    chunks = distinct_rows(table(spark, sf, "chunks").select(*plain)).withColumn("source", F.regexp_replace("id", "#[0-9]+$", ""))
+    none = spark.createDataFrame([], TABLES["documents"])
+    store.append(none, chunks.filter(F.col("position") == 0).withColumn("text", F.lit("an earlier text")))
+    store.append(none, chunks, chunks.filter(F.col("position") == 0).select("source", F.lit(True).alias("chunks")).distinct())
+    return store
+
+
+def stored_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 over a stored index: segments, tombstones, postings picked by term."""
+    store = _stored(spark, sf)
+    c = Collection(store.table("chunks"), store.embedder, store.table("vectors"), store.table("postings"), store.stats())
+    return _ranked(c.lexical(table(spark, sf, "questions"), 10))
+
+
+def stored_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """What a stored index holds: the manifest's numbers, and those of its tables."""
+    store = _stored(spark, sf)
+    counts = [store.table(n).agg(F.count("*").alias(n)) for n in ("chunks", "vectors", "postings")]
+    out = store.stats()
+    for c in counts:  # one row each
+        out = out.crossJoin(c)
+    return out.select("n", F.round("avgdl", 6).alias("avgdl"), "chunks", "vectors", "postings")
+
+
 def rrf_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Rankings by text and by title with heading, fused."""
     chunks, questions = table(spark, sf, "chunks"), table(spark, sf, "questions")
@@ -209,9 +239,9 @@ def answer_highlights(spark: SparkSession, sf: str) -> DataFrame:
 
 def eval_bm25(spark: SparkSession, sf: str) -> DataFrame:
     questions = table(spark, sf, "questions")
-    found = _ranked(bm25.search(_docs(spark, sf), questions, 5))
-    payload = table(spark, sf, "chunks").select("id", "source", "text").distinct()
-    ranks = evaluate.rank_of_first(found.join(payload, "id").withColumn("mode", F.lit("bm25")), questions)
+    c = Collection(table(spark, sf, "chunks"))
+    found = c.hits(_ranked(bm25.search(c.docs, questions, 5)))
+    ranks = evaluate.rank_of_first(found.withColumn("mode", F.lit("bm25")), questions)
     s = evaluate.summary(ranks)
     return s.select("mode", *[F.round(c, 6).alias(c) for c in s.columns[1:]])
 
@@ -256,7 +286,7 @@ def prune_removed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_stats(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = table(spark, sf, "chunks").select("id", F.col("doc_id").cast("string").alias("source"), "text").distinct()
+    chunks = distinct_rows(table(spark, sf, "chunks").select("id", F.col("doc_id").cast("string").alias("source"), "text"))
     docs = table(spark, sf, "documents").withColumn("source", F.col("doc_id").cast("string"))
     s = ingest.document_stats(chunks, docs)
     return s.select("source", "chunks", "chars", "origin", F.array_join("tags", ",").alias("tags"))
@@ -282,6 +312,13 @@ def recorded_versions(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.recorded_versions(table(spark, sf, "ledger"), table(spark, sf, "ingest_runs"))
 
 
+def p7_arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """Of files with a delivery that arrived since the reread mark of their origin, or at a time unknown, the
+    newest delivery where it isn't the recorded one. Dates of delivery stand for arrivals."""
+    args = (table(spark, sf, n) for n in ("documents", "ingest_runs", "ledger"))
+    return incremental.next_run(*args, arrival="ingested_at").select("doc_id")
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.next_run(table(spark, sf, "documents"), table(spark, sf, "ingest_runs"), table(spark, sf, "ledger")).select("doc_id")
 
@@ -292,9 +329,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             tokenize_counts, token_stream, stem_vocab, sentence_split, content_hash, tags_normalized, heading_promotion, extract_title,
             follow_up_flags, condense_conversations, ask_requests, html_pages, chunked_documents, postings_tf, term_df_idf, corpus_statistics,
-            bm25_topk, bm25_topk_tags, bm25_topk_glob, dense_topk, dense_topk_filtered, hash_embed, rrf_fields, hybrid_topk, proximity_rerank,
+            bm25_topk, bm25_topk_tags, bm25_topk_glob, stored_topk, stored_sizes, dense_topk, dense_topk_filtered, hash_embed, rrf_fields, hybrid_topk, proximity_rerank,
             mmr_rerank, multi_query_fusion, asks_topk, extractive_answers, answer_highlights, eval_bm25, eval_modes, eval_answers, heuristic_judge,
-            ingest_classify, prune_removed, doc_stats, source_counts, find_documents, reread_marks, recorded_versions, p7_found,
+            ingest_classify, prune_removed, doc_stats, source_counts, find_documents, reread_marks, recorded_versions, p7_found, p7_arrivals,
         )
     }
 
@@ -459,6 +496,17 @@ def oracle_sql() -> dict[str, str]:
             last AS (SELECT origin, max(started_at) AS s FROM r WHERE finished_at IS NOT NULL AND status IN ('ok', 'succeeded') GROUP BY origin)
             SELECT origin, epoch_us(min(started_at)) AS reread_us FROM r JOIN last USING (origin) WHERE started_at <= s AND (finished_at IS NULL OR finished_at >= s) GROUP BY origin""",
         "recorded_versions": f"WITH {_file_ctes()} SELECT o AS origin, source, h AS version FROM l WHERE k = 1",
+        "p7_arrivals": f"""
+            WITH {_file_ctes()}, v AS (SELECT {_ORIGIN} AS o, source, doc_id, ingested_at AS at, lower(trim(coalesce(hash, sha256('800:150' || chr(10) || coalesce(title, '') || chr(10) || coalesce(text, ''))))) AS h FROM documents),
+            n AS (SELECT *, row_number() OVER (PARTITION BY o, source ORDER BY at DESC NULLS LAST, doc_id DESC) AS k FROM v),
+            r AS (SELECT {_ORIGIN} AS o, started_at, finished_at, lower(trim(status)) AS status FROM ingest_runs),
+            s AS (SELECT o, max(started_at) AS s FROM r WHERE finished_at IS NOT NULL AND status IN ('ok', 'succeeded') GROUP BY o),
+            mark AS (SELECT r.o, min(started_at) AS m FROM r JOIN s ON s.o = r.o WHERE started_at <= s AND (finished_at IS NULL OR finished_at >= s) GROUP BY r.o),
+            touched AS (SELECT DISTINCT v.o, v.source FROM v LEFT JOIN mark ON mark.o = v.o WHERE m IS NULL OR at IS NULL OR at >= m)
+            SELECT doc_id FROM n WHERE k = 1 AND EXISTS (SELECT 1 FROM touched t WHERE t.o = n.o AND t.source IS NOT DISTINCT FROM n.source) AND NOT EXISTS
+              (SELECT 1 FROM l WHERE l.k = 1 AND l.o = n.o AND l.source IS NOT DISTINCT FROM n.source AND l.h IS NOT DISTINCT FROM n.h)""",
+        "stored_topk": f"WITH {_index()}, {_QT}, {_bm25()} {_TOP.format('ranked', 10)}",
+        "stored_sizes": f"WITH {_index()} SELECT n, round(avgdl, 6) AS avgdl, n AS chunks, n AS vectors, (SELECT count(*) FROM tf) AS postings FROM stats",
         "p7_found": f"""
             WITH d AS (SELECT {_ORIGIN} AS o, source, doc_id, lower(trim(coalesce(hash, sha256('800:150' || chr(10) || coalesce(title, '') || chr(10) || coalesce(text, ''))))) AS h,
                          row_number() OVER (PARTITION BY {_ORIGIN}, source ORDER BY ingested_at DESC NULLS LAST, doc_id DESC) AS k FROM documents),

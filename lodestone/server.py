@@ -1,4 +1,4 @@
-"""HTTP service: GET /api/health, POST /api/ask, POST /api/ask/stream (server-sent events)."""
+"""HTTP service: GET / (chat page), GET /api/health, POST /api/ask, POST /api/ask/stream (server-sent events)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from lodestone import __version__
+from lodestone.chat import PAGE
 from lodestone.engine import Engine
 from lodestone.plans.requests import parse_ask
 
@@ -20,20 +21,22 @@ def handler(engine: Engine, default_k: int = 5) -> type[BaseHTTPRequestHandler]:
         def log_message(self, *_: object) -> None:
             pass
 
-        def reply(self, status: int, body: dict) -> None:
-            data = json.dumps(body, ensure_ascii=False, default=str).encode()
+        def reply(self, status: int, body: dict | str) -> None:
+            data = (body if isinstance(body, str) else json.dumps(body, ensure_ascii=False, default=str)).encode()
             self.send_response(status)
-            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Type", "text/html; charset=utf-8" if isinstance(body, str) else "application/json")
             self.send_header("Content-Length", str(len(data)))
             self.send_header("X-Content-Type-Options", "nosniff")
             self.end_headers()
             self.wfile.write(data)
 
         def do_GET(self) -> None:
-            if self.path.partition("?")[0] != "/api/health":
+            path = self.path.partition("?")[0]
+            if path == "/":
+                return self.reply(200, PAGE)
+            if path != "/api/health":
                 return self.reply(404, {"error": "not found"})
-            chunks = engine.store.table("chunks")
-            self.reply(200, {"status": "ok", "chunks": chunks.count(), "sources": engine.sources().count(), "llm": engine.answers is not None})
+            self.reply(200, {"status": "ok", "chunks": engine.store.manifest()["records"], "sources": engine.sources().count(), "llm": engine.answers is not None})
 
         def body(self) -> dict | None:
             """The checked request, or None after an error was sent."""
@@ -63,14 +66,14 @@ def handler(engine: Engine, default_k: int = 5) -> type[BaseHTTPRequestHandler]:
             p = self.body()
             if p is None:
                 return
-            options = {"k": p["k"], "mode": p["mode"], "rerank": None if p["rerank"] == "none" else p["rerank"], "sources": p["sources"], "tags": p["tags"], "multi": p["multi_query"]}
+            options = {"k": p["k"], "mode": p["mode"], "rerank": None if p["rerank"] == "none" else p["rerank"], "sources": p["sources"], "tags": p["tags"], "multi": p["multi_query"], "llm": p["llm"]}
             if path == "/api/ask":
                 return self.reply(200, engine.ask(p["question"], p["history"], **options))
             self.events(engine.stream(p["question"], p["history"], **options))
 
         def events(self, stream: Iterator[tuple[str, dict]]) -> None:
             self.send_response(200)
-            for name, value in (("Content-Type", "text/event-stream"), ("Cache-Control", "no-cache"), ("Connection", "close")):
+            for name, value in (("Content-Type", "text/event-stream; charset=utf-8"), ("Cache-Control", "no-cache"), ("X-Accel-Buffering", "no"), ("Connection", "close")):
                 self.send_header(name, value)
             self.end_headers()
             try:

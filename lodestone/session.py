@@ -17,6 +17,7 @@ def local_session(cores: int | str = 8, name: str = "lodestone", memory: str = "
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -67,8 +68,21 @@ def distinct_rows(rows: DataFrame, key: str = "id", flag: str | None = None) ->
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the folder all executors share; a local folder only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-"))
+    """checkpoint() into the folder all executors share (``checkpoint_folder``).
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints``, which ``local_session`` sets and a cluster
+    should, Spark deletes the files once nothing refers to the result any more."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Without that setting a temporary one, but only in local
+    mode, where all tasks see it; on a cluster it must be named."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-"))
+    return sc._jsc.sc().getCheckpointDir().get()

@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodestone import __version__
 from lodestone.functions import text as T
+from lodestone.session import cut_lineage
 from lodestone.sources.html import html_to_markdown
 
 SUFFIXES = (".md", ".markdown", ".txt", ".html", ".htm", ".pdf")
@@ -114,8 +115,10 @@ class UrlReader(DataSourceReader):
         return [InputPartition(u) for u in self.urls]
 
     def read(self, partition: InputPartition):
-        kind, title, text = fetch(partition.value)
-        yield partition.value, kind, title, text, None
+        try:
+            yield partition.value, *fetch(partition.value), None
+        except Exception as e:  # one address that fails must not end the job
+            yield partition.value, "text", "", "", f"{type(e).__name__}: {e}"
 
 
 class UrlSource(DataSource):
@@ -132,28 +135,37 @@ class UrlSource(DataSource):
         return UrlReader(dict(self.options))
 
 
-def read_urls(spark: SparkSession, urls: list[str]) -> DataFrame:
-    """Documents of addresses; unlike files, blank ones stay."""
+def read_urls(spark: SparkSession, urls: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(documents, errors) of addresses, each fetched once; unlike files, blank ones stay."""
     spark.dataSource.register(UrlSource)
-    rows = spark.read.format("lodestone_url").option("urls", "\n".join(urls)).load()
-    return finish(rows).select("source", "title", "text")
+    rows = cut_lineage(finish(spark.read.format("lodestone_url").option("urls", "\n".join(urls)).load()))
+    return rows.filter(F.col("error").isNull()).select("source", "title", "text"), rows.filter(F.col("error").isNotNull()).select("source", "error")
 
 
 QUESTIONS = "question string, source string, contains string, history array<string>"
+_TEXT, _LIST = r'^"', r'^\['
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled questions of a JSON file, checked: question, source and contains are needed."""
-    rows = spark.read.schema(QUESTIONS).json(path, multiLine=True)
-    bad = rows.filter(F.col("question").isNull() | F.col("source").isNull() | F.col("contains").isNull() | F.coalesce(F.exists("history", lambda h: h.isNull()), F.lit(False)))
+    """Labelled questions of a JSON file, checked: question, source and contains must be texts, and history,
+    where there is one, a list of texts. The file is read as variants, so that types are seen as written."""
+    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    is_list = F.substring(F.to_json("v"), 1, 1) == "["
+    if whole.filter(F.col("v").isNull() | ~F.coalesce(is_list, F.lit(False))).limit(1).count():
+        raise ValueError("the file is no JSON list of questions")
+    rows = cut_lineage(whole.select(F.explode(F.from_json(F.to_json("v"), "array<variant>")).alias("q")))
+    field = lambda name: F.to_json(F.try_variant_get("q", f"$.{name}", "variant"))
+    texts = [F.coalesce(field(n).rlike(_TEXT), F.lit(False)) for n in ("question", "source", "contains")]
+    history = field("history")
+    items = F.from_json(history, "array<variant>")
+    listed = history.isNull() | (history == "null") | (history.rlike(_LIST) & F.coalesce(F.forall(items, lambda h: F.to_json(h).rlike(_TEXT)), F.lit(True)))
+    good = texts[0] & texts[1] & texts[2] & F.coalesce(listed, F.lit(False))
     if rows.isEmpty():
         raise ValueError("no questions")
-    if not bad.isEmpty():
-        raise ValueError("a question lacks question, source or contains, or its history isn't a list of texts")
-    return rows
+    if not rows.filter(~good).isEmpty():
+        raise ValueError("a question lacks question, source or contains as a text, or its history isn't a list of texts")
+    return rows.select(*[F.try_variant_get("q", f"$.{n}", t).alias(n) for n, t in (c.split() for c in QUESTIONS.split(", "))])
 
 
-def documents(spark: SparkSession, target: str) -> tuple[DataFrame, DataFrame | None]:
-    if target.startswith(("http://", "https://")):
-        return read_urls(spark, [target]), None
-    return read_files(spark, target)
+def documents(spark: SparkSession, target: str) -> tuple[DataFrame, DataFrame]:
+    return read_urls(spark, [target]) if target.startswith(("http://", "https://")) else read_files(spark, target)

@@ -1,4 +1,7 @@
-"""Conversations as keyed state: every turn of a stream comes out as a standalone question."""
+"""Conversations as keyed state: every turn of a stream comes out as a standalone question.
+
+The state holds what was asked; how a question takes over words from earlier ones is the same column
+expression that tables of questions use (``functions.text.condense``), applied to what the state gives."""
 
 from __future__ import annotations
 
@@ -8,56 +11,34 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestone.functions.text import OPENING, REFERRING, STOPWORDS, TOKEN
-from lodestone.operators.dense import stem, tokens
-
-TURNS, CARRIED = 10, 8
+from lodestone.functions.text import condense
 
+TURNS = 10
 
-def carry_over(question: str, previous: str) -> str:
-    """``functions.text.carry_over`` for code that keeps state."""
-    import re
-
-    words = re.findall(TOKEN, question.lower())
-    leans = bool(words) and (bool(set(words) & set(REFERRING)) or question.strip().lower().startswith(tuple(OPENING)) or len(tokens(question)) <= 2)
-    if not leans:
-        return question
-    have, new = set(tokens(question)), []
-    for w in re.findall(TOKEN, previous, re.I):
-        s = stem(w.lower())
-        if w.lower() in STOPWORDS or w.lower() in REFERRING or s in have:
-            continue
-        have.add(s)
-        new.append(w)
-    return f"{question.strip()} ({' '.join(new[:CARRIED])})" if new else question
 
+def with_history(turns: DataFrame) -> DataFrame:
+    """``conv_id, turn, question, history`` of a stream (conv_id, turn, question): up to ten turns asked before.
+    Blank turns are skipped; ``/reset`` empties the history."""
+    kinds = dict(turns.dtypes)
 
-def fold(history: list[str]) -> str:
-    said = ""
-    for turn in history:
-        said = carry_over(turn, said) if said else turn
-    return said
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        asked: list[str] = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(frames)).sort_values("turn")
+        out = []
+        for turn, question in zip(rows["turn"], rows["question"].fillna("")):
+            if question.strip() == "/reset":
+                asked = []
+            elif question.strip():
+                out.append((key[0], turn, question, asked))
+                asked = [*asked, question][-TURNS:]
+        state.update((asked,))
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "question", "history"])
+
+    schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, question string, history array<string>"
+    return turns.groupBy("conv_id").applyInPandasWithState(step, schema, "asked array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def standalone_turns(turns: DataFrame) -> DataFrame:
-    """``conv_id, turn, question, standalone`` of a stream (conv_id, turn, question). The state of a
-    conversation is its last ten turns; ``/reset`` empties it."""
-    kinds = dict(turns.dtypes)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        for frame in frames:
-            out = []
-            for t, q in frame.sort_values("turn")[["turn", "question"]].itertuples(index=False):
-                if (q or "").strip() == "/reset":
-                    kept = []
-                    continue
-                if not (q or "").strip():
-                    continue
-                out.append((key[0], t, q, fold([*kept, q])))
-                kept = [*kept, q][-TURNS:]
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "question", "standalone"])
-        state.update((kept,))
-
-    schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, question string, standalone string"
-    return turns.groupBy("conv_id").applyInPandasWithState(step, schema, "kept array<string>", "append", GroupStateTimeout.NoTimeout)
+    """``conv_id, turn, question, standalone`` of a stream (conv_id, turn, question)."""
+    rows = with_history(turns)
+    return rows.select("conv_id", "turn", "question", condense("question", "history", TURNS).alias("standalone"))

@@ -66,3 +66,14 @@ def test_reread(spark):
     docs = [(1, "a", None, None, "o", "x", at(1)), (2, "b", None, None, "o", "y", at(4))]
     assert taken(spark, docs, RUNS, []) == [1, 2]
     assert taken(spark, docs, RUNS, [], arrival="ingested_at") == [2]
+
+
+def test_an_older_delivery_that_arrives_late_is_not_the_newest(spark):
+    docs = [(1, "a", None, None, "o", "new", at(2)), (2, "a", None, None, "o", "old", at(1)), (3, "b", None, None, "o", "x", at(1)), (4, "c", None, None, "o", "c1", at(1)), (5, "c", None, None, "o", "c2", at(2))]
+    arrived = {1: at(2), 2: at(6), 3: None, 4: at(6), 5: at(2)}
+    ledger = [(4, "o", "a", "new", at(4)), (4, "o", "c", "c1", at(4))]
+    frames = tables(spark, docs, RUNS, ledger)
+    dated = frames[0].join(spark.createDataFrame(list(arrived.items()), "doc_id bigint, seen timestamp"), "doc_id")
+    # a: the newest is recorded, though an older one came late; b: when it came isn't known; c: touched, and its newest isn't recorded
+    assert sorted(r["doc_id"] for r in N.next_run(dated, *frames[1:], arrival="seen").collect()) == [3, 5]
+    assert sorted(r["doc_id"] for r in N.next_run(dated, *frames[1:]).collect()) == [3, 5]

@@ -70,18 +70,30 @@ def test_more_terms_than_are_sent(spark, chunks, monkeypatch):
     assert key() == sent
 
 
+def test_more_pairs_than_are_sent(spark, chunks, monkeypatch):
+    q = ask(spark, "cat dog", "dog cat", "cat", "dog", "garden house", "house")
+    key = lambda: sorted((r["qid"], r["id"], round(r["score"], 9), r["rank"]) for r in bm25.search(as_documents(chunks), q, 3).collect())
+    sent = key()
+    monkeypatch.setattr(bm25, "PAIRS", 5)  # four terms, nine pairs
+    assert key() == sent
+
+
 def test_empty_collection(spark, chunks):
     empty = chunks.limit(0)
     assert bm25.search(as_documents(empty), ask(spark, "cat"), 5).count() == 0
     assert Collection(empty).search(ask(spark, "cat"), 5, "hybrid").count() == 0
 
 
-def test_stored_postings_rank_alike(spark, chunks):
+def test_stored_postings_rank_alike(spark, chunks, monkeypatch):
     docs = as_documents(chunks)
     stored = Collection(chunks, tf=postings(docs), stats=corpus_stats(docs))
     q = ask(spark, "dogs near cat")
     key = lambda d: [(r["id"], round(r["score"], 9), r["rank"]) for r in d.orderBy("rank").collect()]
-    assert key(stored.lexical(q, 5)) == key(Collection(chunks).lexical(q, 5))
+    want = key(Collection(chunks).lexical(q, 5))
+    assert want and key(stored.lexical(q, 5)) == want
+    for name in ("NAMED", "PAIRS"):
+        monkeypatch.setattr(bm25, name, 1)
+        assert key(stored.lexical(q, 5)) == want
 
 
 def test_hashing_embedder():
@@ -141,6 +153,28 @@ def test_dense_queries_in_parts(spark, monkeypatch):
     assert sorted(map(tuple, dense.search(df, q, 2).select("qid", "id", "rank").collect())) == whole
 
 
+def test_repeated_vectors_leave_room_for_others(spark):
+    df = spark.createDataFrame([("a", [1.0, 0.0])] * 30 + [("b", [1.0, 0.1]), ("c", [1.0, 0.2])], "id string, vector array<float>").coalesce(1)
+    got = dense.search(df, spark.createDataFrame([(1, [1.0, 0.0])], "qid int, vector array<float>"), 3)
+    assert [r["id"] for r in got.orderBy("rank").collect()] == ["a", "b", "c"]
+
+
+def test_distinct_rows(spark, monkeypatch):
+    import random
+
+    from lodestone import session
+
+    rng = random.Random(1)
+    rows = [(rng.choice([None, *"abcdefghij"]) if rng.random() < 0.5 else f"k{n}", rng.choice([None, "x", "y"])) for n in range(300)]
+    df = spark.createDataFrame(rows, "id string, text string")
+    for buckets in (1 << 20, 3):
+        monkeypatch.setattr(session, "BUCKETS", buckets)
+        got = [tuple(r) for r in session.distinct_rows(df, flag="again").collect()]
+        assert sorted((r[:2] for r in got), key=repr) == sorted(set(rows), key=repr)
+        assert all(again for i, _, again in got if [x for x, _ in rows].count(i) > 1)
+    assert session.distinct_rows(df.limit(0)).count() == 0
+
+
 def ranking(spark, ids):
     return spark.createDataFrame([(0, i, r) for r, i in enumerate(ids, 1)], "qid bigint, id bigint, rank int")
 

@@ -15,10 +15,10 @@ def test_follow_folder(spark, tmp_path):
 
 
 def test_conversation_state(spark, tmp_path):
-    for k, rows in enumerate([[("c", 1, "How do I rotate an SDK key?"), ("d", 1, "Does it?")], [("c", 2, "Does the old one keep working?")], [("c", 3, "/reset"), ("c", 4, "Does it?")]]):
+    for k, rows in enumerate([[("c", 1, "Who cleans the main mirror?"), ("d", 1, "Is it?"), ("d", 2, None)], [("c", 2, "Can they do it in rain?")], [("c", 3, "/reset"), ("c", 4, "Is it?")]]):
         spark.createDataFrame(rows, "conv_id string, turn int, question string").coalesce(1).write.parquet(str(tmp_path / "in" / f"n={k}"))
     turns = spark.readStream.schema("conv_id string, turn int, question string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "n=*"))
     q = standalone_turns(turns).writeStream.format("memory").queryName("turns").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     got = {(r["conv_id"], r["turn"]): r["standalone"] for r in spark.table("turns").collect()}
-    assert got[("c", 2)] == "Does the old one keep working? (rotate SDK key)" and got[("c", 4)] == "Does it?" and got[("d", 1)] == "Does it?"
+    assert got == {("c", 1): "Who cleans the main mirror?", ("c", 2): "Can they do it in rain? (cleans main mirror)", ("c", 4): "Is it?", ("d", 1): "Is it?"}
