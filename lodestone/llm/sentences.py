@@ -16,6 +16,7 @@ than those named are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import numpy as np
@@ -117,8 +118,9 @@ def _quotes(text: str, a: int, b: int) -> tuple[list[int], list[tuple[int, int,
     return loose, pairs
 
 
-#: Score of a mark that stands inside a name or a number.
-INSIDE = -9.0
+#: Score of a mark that stands inside a name or a number, and of a full stop between a word and a capital.
+INSIDE, PLAIN = -9.0, 2.5
+_LISTED = TITLES | BEFORE_NUMBER | INNER | EITHER
 
 
 def _closing(text: str, a: int, i: int, e: int, end: int, mark: str, quoted: bool) -> float:
@@ -160,8 +162,10 @@ def _closing(text: str, a: int, i: int, e: int, end: int, mark: str, quoted: boo
     # full stops and ellipses
     if first in ",;:–—-/)]" and not (first == "-" and space):
         return -6.0
-    m = _WORD_BEFORE.search(text, max(a, i - 24), i)
-    left = m[0] if m else ""
+    left = text[max(a, i - 24, text.rfind(" ", a, i) + 1) : i]
+    if not left.isalnum():
+        m = _WORD_BEFORE.search(left)
+        left = m[0] if m else ""
     if len(mark) > 1 or mark == "…":
         if lower:
             return -5.0
@@ -235,7 +239,7 @@ def _closing(text: str, a: int, i: int, e: int, end: int, mark: str, quoted: boo
         return -0.7 if head.isalpha() else 0.5
     if left.isdigit() and len(left) <= 2 and word.lower() in MONTHS:
         return -6.0
-    return 2.5
+    return PLAIN
 
 
 def segment(text: str | None, prune: bool = True) -> list[tuple[int, int]]:
@@ -274,6 +278,13 @@ def _paragraph(text: str, a: int, b: int, out: list[tuple[int, int]], prune: boo
             d = text[e]
             if (d.islower() and e - i == 1 and _NEXT_WORD.match(text, e)[0] not in LOWER_OPENERS) or d.isdigit() or d == "_":
                 continue
+            if d == " " and e - i == 1 and e + 1 < b and text[e + 1].isupper():
+                left = text[max(a, text.rfind(" ", a, i) + 1) : i]
+                if len(left) > 1 and left.isalpha() and left.islower() and left not in _LISTED:
+                    ends.append(e)
+                    scores.append(PLAIN)
+                    opened.append(-1)
+                    continue
         mark_end, o = e, -1
         while e < b:
             c = text[e]
@@ -287,7 +298,7 @@ def _paragraph(text: str, a: int, b: int, out: list[tuple[int, int]], prune: boo
                 e += 1
             else:
                 break
-        s = _closing(text, a, i, e, b, text[i:mark_end], o >= 0)
+        s = 3.0 if o < 0 and text[mark_end - 1] in _WIDE_END else _closing(text, a, i, e, b, text[i:mark_end], o >= 0)
         if ends and ends[-1] == e:
             continue
         ends.append(e)
@@ -314,20 +325,23 @@ def _paragraph(text: str, a: int, b: int, out: list[tuple[int, int]], prune: boo
             for x in range(k - 1):
                 if o < ends[x] <= c:
                     cross[x] += 1
+    base = [scores[j] - 6.0 * cross[j] for j in range(k)]
+    if prune and (sure := _plain_division(text, starts, ends, base, opened)) is not None:
+        out += sure
+        return
     # best[j]: best score of a division that ends at candidate j
     best = [0.0] * k
     back = [0] * k
     peak = [0.0] * (k + 1)  # the best score of any division that ends before, the empty one (0) included
     for j in range(k):
-        ej, sj, oj = ends[j], scores[j], opened[j]
-        base = sj - 6.0 * cross[j]
+        ej, oj = ends[j], opened[j]
         top, arg = -1e9, 0
         for i in range(j, -1, -1):
             st = starts[i]
             length = ej - st
-            if prune and base + peak[i] + 2.0 - (0.002 * (length - 500) if length > 500 else 0.0) < top - 1e-9:
+            if prune and base[j] + peak[i] + 2.0 - (0.002 * (length - 500) if length > 500 else 0.0) < top - 1e-9:
                 break  # no longer span can be better: peak falls with i, and length grows
-            s = base + (best[i - 1] if i else 0.0)
+            s = base[j] + (best[i - 1] if i else 0.0)
             if length < 12:
                 s -= 1.2 if not _wide(text[st]) or length < 3 else 0.0
             elif length > 500:
@@ -354,6 +368,31 @@ def _paragraph(text: str, a: int, b: int, out: list[tuple[int, int]], prune: boo
             out.append((s, e))
 
 
+def _plain_division(text: str, starts: list[int], ends: list[int], base: list[float], opened: list[int]) -> list[tuple[int, int]] | None:
+    """The best division where it can be told at once: no span scores more than its end does, unless it is
+    wholly quoted, so the division at all ends above zero is best if each of its spans scores just that.
+    None: it may not be, and the programme has to run."""
+    out = []
+    i, last = 0, len(ends) - 1
+    for j in range(last + 1):
+        value = base[j]
+        if (o := opened[j]) >= 0:
+            at = bisect_left(starts, o)
+            if at <= j and starts[at] == o:
+                return None  # a span from there would be wholly quoted
+            if j < last:
+                value -= 1.0 if text[starts[j + 1]].isupper() else 3.0
+        if value == 0.0 and j < last:
+            return None
+        if value > 0.0 or j == last:
+            st, e = starts[i], ends[j]
+            if not 12 <= e - st <= 500 or text[st].islower():
+                return None
+            out.append((st, e))
+            i = j + 1
+    return out
+
+
 def _wide(c: str) -> bool:
     return "⺀" <= c <= "鿿" or "가" <= c <= "힯" or "＀" <= c <= "￯"
 
