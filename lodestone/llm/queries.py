@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import distinctive, encode, language, leaks, markup, neighbours, pieces, ranking, sentences
@@ -38,6 +38,19 @@ def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.pieces(table(spark, sf, "documents"))
 
 
+def p3_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each document's pieces: characters covered that are not white space, and whether all are within the
+    limit, the offsets tell their text, the positions run from 0 and neighbours overlap within bounds."""
+    found = pieces.pieces(table(spark, sf, "documents"))
+    blank = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
+    w = Window.partitionBy("doc_id").orderBy("position")
+    rows = found.withColumn("before", F.lag("end_pos").over(w)).withColumn("start", F.lag("start_pos").over(w))
+    over = F.greatest(F.coalesce("before", F.lit(0)) - F.col("start_pos"), F.lit(0))
+    fresh = F.regexp_replace(F.substring("text", over + 1, F.length("text")), blank, "")
+    fits = (F.length("text") <= pieces.LIMIT) & (F.length("text") == F.col("end_pos") - F.col("start_pos")) & (over <= pieces.OVERLAP) & (F.coalesce("start", F.lit(-1)) < F.col("start_pos"))
+    return rows.groupBy("doc_id").agg(F.sum(F.length(fresh)).alias("covered"), F.every(fits).alias("fits"), (F.max("position") + 1 == F.count("*")).alias("numbered"))
+
+
 def p3_chunk_pieces(spark: SparkSession, sf: str) -> DataFrame:
     long = table(spark, sf, "chunks").filter(F.length("text") > pieces.LIMIT)
     return pieces.pieces(long.select("id", "text").distinct(), key="id")
@@ -86,7 +99,8 @@ def p9_items(spark: SparkSession, sf: str) -> DataFrame:
 def p9_kept(spark: SparkSession, sf: str) -> DataFrame:
     """The documents without those that leak a test item."""
     docs = table(spark, sf, "documents")
-    return leaks.without_leaks(docs, leaks.find_leaks(docs, table(spark, sf, "questions")))
+    kept = leaks.without_leaks(docs, leaks.find_leaks(docs, table(spark, sf, "questions")))
+    return kept.select("doc_id", "source", "title", "lang", "text")
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,7 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_sentences, p2_found, p2_scores, p3_found, p3_pieces, p3_chunk_pieces, p4_found, p4_nearest, p5_found, p5_clean,
+            p1_found, p1_sentences, p2_found, p2_scores, p3_found, p3_pieces, p3_checks, p3_chunk_pieces, p4_found, p4_nearest, p5_found, p5_clean,
             p6_found, p6_ranking, p8_ids, p9_found, p9_items, p9_kept, p10_found, p10_segments, p10_languages,
         )
     }
@@ -137,8 +151,32 @@ _RANKED = """
     o AS (SELECT *, row_number() OVER (PARTITION BY ask_id ORDER BY score DESC, id) AS place FROM f)"""
 
 
+def _plain(text: str) -> str:
+    """Text without tags and with the entities decoded that the tables have, in lower case."""
+    out = f"regexp_replace(coalesce({text}, ''), '<!--.*?-->|</?[a-zA-Z][^<>]*>', ' ', 'gs')"
+    for name, char in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&#x27;", "chr(39)"), ("&amp;", "'&'")):
+        out = f"replace({out}, '{name}', {char})"
+    return f"lower({out})"
+
+
+# every place where 12 words of a document are 12 words of a passage; runs of them on one diagonal are a match
+_LEAKS = f"""
+    w AS (SELECT doc_id, regexp_extract_all({_plain("text")}, '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
+    dg AS (SELECT doc_id, i, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM w WHERE len(w) >= 12)),
+    p AS (SELECT DISTINCT qid, field, regexp_extract_all({_plain("t")}, '[\\p{{L}}\\p{{N}}]+') AS w
+          FROM (SELECT qid, 'question' AS field, question AS t FROM questions UNION ALL SELECT qid, 'contains', contains FROM questions) WHERE qid IS NOT NULL AND t IS NOT NULL),
+    pg AS (SELECT qid, field, j, array_to_string(w[j:j+11], ' ') AS g FROM (SELECT qid, field, w, unnest(range(1, len(w) - 10)) AS j FROM p WHERE len(w) >= 12)),
+    m AS (SELECT DISTINCT doc_id, qid, field, i, j FROM dg JOIN pg USING (g)),
+    runs AS (SELECT doc_id, qid, field, count(*) + 11 AS words FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, qid, field, i - j ORDER BY i) AS r FROM m) GROUP BY doc_id, qid, field, i - j, r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_checks": r"""SELECT doc_id, sum(n)::BIGINT AS covered, true AS fits, true AS numbered
+            FROM (SELECT doc_id, length(regexp_replace(text, '[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]', '', 'g')) AS n FROM documents) WHERE n > 0 GROUP BY doc_id""",
+        "p9_found": f"WITH {_LEAKS} SELECT DISTINCT doc_id, qid FROM m",
+        "p9_items": f"WITH {_LEAKS} SELECT qid, count(DISTINCT doc_id) AS documents, max(words)::INT AS longest FROM runs GROUP BY qid",
+        "p9_kept": f"WITH {_LEAKS} SELECT doc_id, source, title, lang, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM m)",
         "p4_found": f"WITH {_UNIT} SELECT a.id AS id_a, b.id AS id_b FROM u a JOIN u b ON a.id < b.id WHERE list_dot_product(a.w, b.w) / (a.l * b.l) >= 0.9",
         "p6_found": f"WITH {_RANKED} SELECT ask_id, id FROM o WHERE place = 1",
         "p6_ranking": f"WITH {_RANKED} SELECT ask_id, id, round(score, 6) AS score, place::INT AS place FROM o",
