@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -107,6 +108,36 @@ class HashingEmbedder:
         return (v / norm[:, None]).astype(np.float32)
 
 
+class WordEmbedder:
+    """Stemmed words alone, hashed by MD5: bucket from the first 28 bits, sign from the next four.
+
+    Coarser than ``HashingEmbedder``, but SQL can follow it to the last digit."""
+
+    def __init__(self, dim: int = 256):
+        if dim < 1:
+            raise ValueError("dim must be positive")
+        self.dim, self.name = dim, f"words:{dim}"
+        self.place: dict[str, tuple[int, float]] = {}
+
+    def of(self, word: str) -> tuple[int, float]:
+        got = self.place.get(word)
+        if got is None:
+            h = hashlib.md5(word.encode()).hexdigest()
+            if len(self.place) > HashingEmbedder.MEMORY:
+                self.place.clear()
+            got = self.place[word] = (int(h[:7], 16) % self.dim, 1.0 if int(h[7], 16) < 8 else -1.0)
+        return got
+
+    def embed(self, texts: list[str | None]) -> np.ndarray:
+        v = np.zeros((len(texts), self.dim))
+        for row, text in zip(v, texts):
+            for w, n in Counter(tokens(text or "")).items():
+                at, sign = self.of(w)
+                row[at] += sign * np.log1p(n)
+        norm = np.sqrt((v * v).sum(1))
+        return (v / np.where(norm > 1e-9, norm, 1.0)[:, None]).astype(np.float32)
+
+
 def _model_embedder(name: str):
     class ModelEmbedder:
         def __init__(self) -> None:
@@ -121,7 +152,7 @@ def _model_embedder(name: str):
 
 
 #: Embedders by the part of their name before the colon; add to it to plug in others.
-EMBEDDERS: dict[str, Callable[[str], object]] = {"hash": lambda arg: HashingEmbedder(int(arg or 1024)), "st": _model_embedder}
+EMBEDDERS: dict[str, Callable[[str], object]] = {"hash": lambda arg: HashingEmbedder(int(arg or 1024)), "words": lambda arg: WordEmbedder(int(arg or 256)), "st": _model_embedder}
 _made: dict[str, object] = {}
 
 

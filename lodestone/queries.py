@@ -191,6 +191,23 @@ def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked(Collection(table(spark, sf, "chunks")).search(table(spark, sf, "questions"), 10, "hybrid"))
 
 
+def _words(spark: SparkSession, sf: str) -> Collection:
+    return Collection(table(spark, sf, "chunks"), "words:256")
+
+
+def dense_words_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _ranked(_words(spark, sf).search(table(spark, sf, "questions"), 10, "dense"))
+
+
+def hybrid_words_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _ranked(_words(spark, sf).search(table(spark, sf, "questions"), 10, "hybrid"))
+
+
+def eval_words_modes(spark: SparkSession, sf: str) -> DataFrame:
+    s = evaluate.evaluate(_words(spark, sf), table(spark, sf, "questions").drop("history"), modes=MODES[:3])
+    return s.select("mode", *[F.round(c, 6).alias(c) for c in s.columns[1:]])
+
+
 def proximity_rerank(spark: SparkSession, sf: str) -> DataFrame:
     docs, questions = _docs(spark, sf), table(spark, sf, "questions")
     posts = bm25.asked_postings(docs, questions)
@@ -237,6 +254,24 @@ def answer_highlights(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("qid", F.col("s.n").alias("n"), F.col("s.id").alias("id"), F.size("s.highlights").alias("highlights"))
 
 
+def answer_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each answer: its sources, whether it cites only those and quotes what they say, or says that there is none."""
+    rows = _answers(spark, sf)
+    words = lambda t: F.regexp_replace(F.lower(t), "[^\\p{L}\\p{N}]+", "")
+    quotes = F.filter(F.transform(F.split("answer", r"(?<=\[\d\])\s"), lambda q: F.struct(words(F.regexp_replace(q, r" \[\d+\]$", "")).alias("q"), F.regexp_extract(q, r"\[(\d+)\]$", 1).cast("int").alias("n"))), lambda x: x["n"].isNotNull())
+    said = lambda x: F.exists("sources", lambda s: (s["n"] == x["n"]) & (F.contains(words(s["text"]), x["q"]) | F.contains(s["text"], F.lit("|"))))
+    cites = F.forall(T.cited_numbers("answer"), lambda n: (n >= 1) & (n <= F.size("sources")))
+    return rows.select("qid", F.size("sources").alias("hits"), cites.alias("cites"), F.forall(quotes, said).alias("quotes"), ((F.col("answer") == A.NO_ANSWER) == (F.size(T.cited_numbers("answer")) == 0)).alias("answered"))
+
+
+def judge_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts on each label as an answer that cites the first hit."""
+    questions, c = table(spark, sf, "questions"), Collection(table(spark, sf, "chunks"))
+    hit = c.hits(c.search(questions, 1, "bm25")).select("qid", F.array(F.struct(F.lit(1).alias("n"), "text")).alias("sources"))
+    answers = questions.select("qid", "question", F.concat("contains", F.lit(" [1]")).alias("answer"), F.lit("label").alias("mode")).join(hit, "qid")
+    return evaluate.judge(answers, questions).select("qid", "correct", "grounded")
+
+
 def eval_bm25(spark: SparkSession, sf: str) -> DataFrame:
     questions = table(spark, sf, "questions")
     c = Collection(table(spark, sf, "chunks"))
@@ -329,8 +364,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             tokenize_counts, token_stream, stem_vocab, sentence_split, content_hash, tags_normalized, heading_promotion, extract_title,
             follow_up_flags, condense_conversations, ask_requests, html_pages, chunked_documents, postings_tf, term_df_idf, corpus_statistics,
-            bm25_topk, bm25_topk_tags, bm25_topk_glob, stored_topk, stored_sizes, dense_topk, dense_topk_filtered, hash_embed, rrf_fields, hybrid_topk, proximity_rerank,
-            mmr_rerank, multi_query_fusion, asks_topk, extractive_answers, answer_highlights, eval_bm25, eval_modes, eval_answers, heuristic_judge,
+            bm25_topk, bm25_topk_tags, bm25_topk_glob, stored_topk, stored_sizes, dense_topk, dense_topk_filtered, hash_embed, rrf_fields, hybrid_topk, dense_words_topk, hybrid_words_topk, proximity_rerank,
+            mmr_rerank, multi_query_fusion, asks_topk, extractive_answers, answer_highlights, answer_checks, judge_labels, eval_bm25, eval_modes, eval_words_modes, eval_answers, heuristic_judge,
             ingest_classify, prune_removed, doc_stats, source_counts, find_documents, reread_marks, recorded_versions, p7_found, p7_arrivals,
         )
     }
@@ -421,6 +456,43 @@ _PROBLEM = """CASE WHEN question IS NULL OR trim(question) = '' OR length(questi
     WHEN len(list_filter(coalesce(history, []), lambda x: x IS NULL OR length(x) > 2000)) > 0 THEN 'history' END"""
 
 
+_SKIP = ", ".join(f"'{w}'" for w in [*T.STOPWORDS, *T.REFERRING])
+
+
+def _condensed(rows: str, key: str) -> str:
+    """CTEs: condensed (key, standalone) of rows (key, question, history), turn by turn."""
+    stems = f"list_transform(w, lambda x: {_stem('lower(x)')})"
+    follow = _FOLLOW.replace("question", "turn")
+    return f"""turns AS (SELECT {key}, t[greatest(1, len(t) - 9):] || [question] AS t FROM
+                   (SELECT {key}, question, list_filter(coalesce(history, []), lambda h: trim(h) <> '') AS t FROM {rows})),
+        said AS (SELECT {key}, 1 AS i, t[1] AS said, t FROM turns UNION ALL
+            SELECT {key}, i, CASE WHEN coalesce({follow}, false) AND len(new) > 0 THEN trim(turn) || ' (' || array_to_string(new[:8], ' ') || ')' ELSE turn END, t FROM (
+                SELECT {key}, i, turn, t, list_filter(w, lambda x, k: NOT list_contains(have, stems[k]) AND list_position(stems, stems[k]) = k) AS new FROM (
+                    SELECT *, {stems} AS stems FROM (
+                        SELECT {key}, i + 1 AS i, t[i + 1] AS turn, t, {_toks("t[i + 1]")} AS have,
+                               list_filter(regexp_extract_all(said, '(?i){T.TOKEN}'), lambda x: lower(x) NOT IN ({_SKIP})) AS w
+                        FROM said WHERE i < len(t))))),
+        condensed AS (SELECT {key}, said AS standalone FROM said WHERE i = len(t))"""
+
+
+def _word_vectors(name: str, rows: str, key: str, text: str) -> str:
+    """CTE: name (key, b, x), components of the word embedder's vectors, rounded as it stores them."""
+    return f"""{name}_c AS (SELECT {key}, ('0x' || left(md5(t), 7))::BIGINT % 256 AS b, sum(CASE WHEN substr(md5(t), 8, 1) < '8' THEN 1.0 ELSE -1.0 END * ln(1 + tf)) AS x
+            FROM (SELECT {key}, t, count(*)::DOUBLE AS tf FROM (SELECT {key}, unnest({_toks(text)}) AS t FROM {rows}) GROUP BY ALL) GROUP BY ALL),
+        {name}_f AS (SELECT {key}, b, (x / sqrt(sum(x * x) OVER (PARTITION BY {key})))::FLOAT::DOUBLE AS x FROM {name}_c WHERE abs(x) > 1e-9),
+        {name} AS (SELECT {key}, b, x / sqrt(sum(x * x) OVER (PARTITION BY {key})) AS x FROM {name}_f)"""
+
+
+def _words_ranked() -> str:
+    """CTEs: ranked (BM25), d_ranked (word vectors), both of the questions."""
+    return f"""{_index()}, {_QT}, {_bm25()}, {_word_vectors("cv", "docs", "id", "body")}, {_word_vectors("qv", "questions", "qid", "question")},
+        d_scored AS (SELECT qid, id, sum(qv.x * cv.x) AS score FROM qv JOIN cv USING (b) GROUP BY qid, id),
+        d_ranked AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM d_scored WHERE score > 0),
+        u AS (SELECT qid, id, rank FROM ranked WHERE rank <= 50 UNION ALL SELECT qid, id, rank FROM d_ranked WHERE rank <= 50),
+        f AS (SELECT qid, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM u GROUP BY qid, id),
+        h_ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM f)"""
+
+
 def oracle_sql() -> dict[str, str]:
     trim = lambda x: f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
     return {
@@ -439,6 +511,24 @@ def oracle_sql() -> dict[str, str]:
         "extract_title": """SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '(?m)^# ') THEN trim(regexp_extract(text, '(?m)^# ([^\\r\\n]*)', 1))
             ELSE regexp_extract(source, '([^/]*?)(?:\\.[^./]*)?$', 1) END AS title FROM documents""",
         "follow_up_flags": f"SELECT ask_id, coalesce({_FOLLOW}, false) AS follow_up FROM asks",
+        "condense_conversations": f"WITH RECURSIVE {_condensed('asks', 'ask_id')} SELECT ask_id, standalone FROM condensed",
+        "answer_highlights": f"""WITH RECURSIVE {_condensed("questions", "qid")}, {_index()}, qs AS (SELECT qid, {_toks("standalone")} AS q FROM condensed),
+            qt AS (SELECT qid, unnest(list_distinct(q)) AS term FROM qs), {_bm25()}, pay AS (SELECT DISTINCT id, text FROM chunks)
+            SELECT qid, rank::INT AS n, id, len(list_filter({_toks("text")}, lambda t: list_contains(q, t)))::INT AS highlights FROM ranked JOIN pay USING (id) JOIN qs USING (qid) WHERE rank <= 5""",
+        "answer_checks": f"""WITH RECURSIVE {_condensed("questions", "qid")}, {_index()}, qt AS (SELECT qid, unnest(list_distinct({_toks("standalone")})) AS term FROM condensed), {_bm25()}
+            SELECT q.qid, count(r.id)::INT AS hits, true AS cites, true AS quotes, true AS answered FROM questions q LEFT JOIN (FROM ranked WHERE rank <= 5) r USING (qid) GROUP BY q.qid""",
+        "judge_labels": f"""WITH {_index()}, {_QT}, {_bm25()}, pay AS (SELECT DISTINCT id, text FROM chunks)
+            SELECT qid, true AS correct, 2 * len(list_intersect(list_distinct({_toks("contains")}), {_toks("text")})) >= len(list_distinct({_toks("contains")})) AS grounded
+            FROM questions JOIN (FROM ranked WHERE rank = 1) USING (qid) JOIN pay USING (id)""",
+        "dense_words_topk": f"WITH {_words_ranked()} {_TOP.format('d_ranked', 10)}",
+        "hybrid_words_topk": f"WITH {_words_ranked()} {_TOP.format('h_ranked', 10)}",
+        "eval_words_modes": f"""WITH {_words_ranked()}, pay AS (SELECT DISTINCT id, source, text FROM chunks),
+            a AS (SELECT 'bm25' AS mode, qid, id, rank FROM ranked UNION ALL SELECT 'dense', qid, id, rank FROM d_ranked UNION ALL SELECT 'hybrid', qid, id, rank FROM h_ranked),
+            h AS (SELECT mode, qid, rank, p.source, coalesce(p.source = q.source AND contains(lower(p.text), lower(q.contains)), false) AS hit FROM (FROM a WHERE rank <= 5) JOIN pay p USING (id) JOIN questions q USING (qid)),
+            per AS (SELECT mode, qid, min(rank) FILTER (hit) AS rank, count(DISTINCT source) AS docs FROM h GROUP BY ALL),
+            every AS (SELECT m.mode, rank, coalesce(docs, 0) AS docs FROM (SELECT DISTINCT mode FROM a) m CROSS JOIN questions q LEFT JOIN per ON per.mode = m.mode AND per.qid = q.qid)
+            SELECT mode, round(avg(CASE WHEN rank <= 1 THEN 1 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1 ELSE 0 END), 6) AS recall_3,
+                   round(avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END), 6) AS recall_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, round(avg(docs), 6) AS docs FROM every GROUP BY mode""",
         "ask_requests": f"SELECT ask_id, {_PROBLEM} AS problem FROM asks",
         "postings_tf": f"WITH {_index()} SELECT id, term, tf, dl::INT AS dl FROM tf",
         "term_df_idf": f"WITH {_index()} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, stats",
@@ -497,12 +587,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT origin, epoch_us(min(started_at)) AS reread_us FROM r JOIN last USING (origin) WHERE started_at <= s AND (finished_at IS NULL OR finished_at >= s) GROUP BY origin""",
         "recorded_versions": f"WITH {_file_ctes()} SELECT o AS origin, source, h AS version FROM l WHERE k = 1",
         "p7_arrivals": f"""
-            WITH {_file_ctes()}, v AS (SELECT {_ORIGIN} AS o, source, doc_id, ingested_at AS at, lower(trim(coalesce(hash, sha256('800:150' || chr(10) || coalesce(title, '') || chr(10) || coalesce(text, ''))))) AS h FROM documents),
-            n AS (SELECT *, row_number() OVER (PARTITION BY o, source ORDER BY at DESC NULLS LAST, doc_id DESC) AS k FROM v),
+            WITH {_file_ctes()}, v AS (SELECT {_ORIGIN} AS o, source, doc_id, ingested_at AS seen, lower(trim(coalesce(hash, sha256('800:150' || chr(10) || coalesce(title, '') || chr(10) || coalesce(text, ''))))) AS h FROM documents),
+            n AS (SELECT *, row_number() OVER (PARTITION BY o, source ORDER BY seen DESC NULLS LAST, doc_id DESC) AS k FROM v),
             r AS (SELECT {_ORIGIN} AS o, started_at, finished_at, lower(trim(status)) AS status FROM ingest_runs),
             s AS (SELECT o, max(started_at) AS s FROM r WHERE finished_at IS NOT NULL AND status IN ('ok', 'succeeded') GROUP BY o),
             mark AS (SELECT r.o, min(started_at) AS m FROM r JOIN s ON s.o = r.o WHERE started_at <= s AND (finished_at IS NULL OR finished_at >= s) GROUP BY r.o),
-            touched AS (SELECT DISTINCT v.o, v.source FROM v LEFT JOIN mark ON mark.o = v.o WHERE m IS NULL OR at IS NULL OR at >= m)
+            touched AS (SELECT DISTINCT v.o, v.source FROM v LEFT JOIN mark ON mark.o = v.o WHERE m IS NULL OR seen IS NULL OR seen >= m)
             SELECT doc_id FROM n WHERE k = 1 AND EXISTS (SELECT 1 FROM touched t WHERE t.o = n.o AND t.source IS NOT DISTINCT FROM n.source) AND NOT EXISTS
               (SELECT 1 FROM l WHERE l.k = 1 AND l.o = n.o AND l.source IS NOT DISTINCT FROM n.source AND l.h IS NOT DISTINCT FROM n.h)""",
         "stored_topk": f"WITH {_index()}, {_QT}, {_bm25()} {_TOP.format('ranked', 10)}",
