@@ -20,11 +20,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators.index import corpus_stats, document_frequency, idf, record_counts, small, term_counts
+from lodestone.operators.index import RECORDS, TOKENS, batch_totals, corpus_stats, document_frequency, idf, record_counts, small, term_counts
 from lodestone.session import cut_lineage
 
 K1, B = 1.5, 0.75
@@ -43,64 +44,97 @@ def query_terms(questions: DataFrame, keep: tuple[str, ...] = ("qid",)) -> DataF
 
 @dataclass
 class Postings:
-    """Postings of asked terms, with the statistics and document frequencies of the whole collection."""
-
-    stats: DataFrame
-    df: DataFrame
-    tf: DataFrame | None = None
-    records: DataFrame | None = None
-    weights: dict[str, float] = field(default_factory=dict)
-    avgdl: float = 1.0
+    """Postings of asked terms, with the statistics of the whole collection.
 
+    ``records`` (id, dl, terms, tfs) has a row per record with an asked term; ``df`` says in how many records
+    each term is, ``asked`` holds the questions' (qid, term) pairs. Of more terms than may be sent to the
+    tasks there are ``postings`` (id, dl, term, tf) and frames of statistics instead."""
 
-def _names(questions: DataFrame) -> list[str] | None:
+    n: int = 0
+    avgdl: float = 0.0
+    df: dict[str, int] = field(default_factory=dict)
+    records: DataFrame | None = None
+    questions: DataFrame | None = None
+    asked: pa.Table | None = None
+    postings: DataFrame | None = None
+    frames: tuple[DataFrame, DataFrame] | None = None  # (n, avgdl), (term, df)
+
+    def idf(self, term: str) -> float:
+        d = self.df.get(term, 0)
+        return float(np.log(1 + (self.n - d + 0.5) / (d + 0.5)))
+
+    def asked_by(self, questions: DataFrame) -> pa.Table | None:
+        """The questions' pairs, or None if there are too many."""
+        return self.asked if questions is self.questions else _pairs(questions)
+
+    def weighted_terms(self, questions: DataFrame) -> DataFrame:
+        """``qid, names, idfs``: each question's terms and their weights, those that no record has included."""
+        pairs = self.asked_by(questions) if self.frames is None else None
+        if pairs is not None:
+            terms = pairs["term"].to_pylist()
+            weight = {t: self.idf(t) for t in set(terms)}
+            table = pa.table({"qid": pairs["qid"], "names": pairs["term"], "idfs": pa.array([weight[t] for t in terms], pa.float64())})
+            return questions.sparkSession.createDataFrame(table.group_by("qid").aggregate([("names", "list"), ("idfs", "list")]).rename_columns(["qid", "names", "idfs"]))
+        stats, df = self.frames or (None, None)
+        if stats is None or df is None:
+            spark = questions.sparkSession
+            stats, df = spark.createDataFrame([(self.n,)], "n bigint"), spark.createDataFrame(list(self.df.items()), "term string, df bigint")
+        terms = query_terms(questions).join(df, "term", "left").crossJoin(F.broadcast(stats.select("n")))  # one row
+        t = F.collect_list(F.struct("term", idf(F.col("n"), F.coalesce("df", F.lit(0))).alias("idf"))).alias("t")  # a question's own terms
+        return terms.groupBy("qid").agg(t).select("qid", F.col("t.term").alias("names"), F.col("t.idf").alias("idfs"))
+
+
+def _pairs(questions: DataFrame) -> pa.Table | None:
+    """The (qid, term) pairs of the questions, or None if there are more than ``PAIRS``."""
+    table = query_terms(questions).limit(PAIRS + 1).toArrow()
+    return table if table.num_rows <= PAIRS else None
+
+
+def _names(questions: DataFrame, pairs: pa.Table | None) -> list[str] | None:
     """The terms asked for, or None if there are more than ``PAIRS``."""
+    if pairs is not None:
+        return pc.unique(pairs["term"]).to_pylist()
     names = [r["term"] for r in query_terms(questions, ()).distinct().limit(PAIRS + 1).collect()]
     return names if len(names) <= PAIRS else None
 
 
-def _weighted(n: int, avgdl: float, records: DataFrame) -> Postings:
-    spark = records.sparkSession
-    counted = records.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()  # asked terms only
-    found = [(r["term"], r["df"]) for r in counted]
-    weights = {t: float(np.log(1 + (n - d + 0.5) / (d + 0.5))) for t, d in found}
-    return Postings(spark.createDataFrame([(n, avgdl)], "n bigint, avgdl double"), spark.createDataFrame(found, "term string, df bigint"), None, records, weights, avgdl or 1.0)
-
-
 def asked_postings(docs: DataFrame, questions: DataFrame) -> Postings:
     """Postings of the questions' terms from the texts, written once."""
-    names = _names(questions)
+    pairs = _pairs(questions)
+    names = _names(questions, pairs)
     if names is None:
         tf = term_counts(docs).filter(F.col("term") != "").join(query_terms(questions, ()).distinct(), "term", "left_semi")
-        return Postings(corpus_stats(docs), document_frequency(tf), tf)
+        return Postings(postings=tf, frames=(corpus_stats(docs), document_frequency(tf)))
     rows = cut_lineage(record_counts(docs, names))
-    total = rows.filter(F.col("id").isNull()).agg(F.sum(F.get("tfs", F.lit(0))).alias("n"), F.sum(F.get("tfs", F.lit(1))).alias("dl")).first()
-    n = total["n"] or 0
-    return _weighted(n, (total["dl"] or 0) / n if n else 0.0, rows.filter(F.col("id").isNotNull()))
+    totals = {r["term"]: r["total"] for r in batch_totals(rows).collect()}  # asked terms only
+    n, tokens = totals.pop(RECORDS, 0), totals.pop(TOKENS, 0)
+    return Postings(n, tokens / n if n else 0.0, totals, rows.filter(F.col("id").isNotNull()), questions, pairs)
 
 
 def stored_postings(tf: DataFrame, stats: DataFrame, questions: DataFrame) -> Postings:
     """Postings of the questions' terms from stored ones (id, dl, term, tf), written once.
 
     A record's list holds the asked terms it has, so it is no longer than the text."""
-    names = _names(questions)
+    pairs = _pairs(questions)
+    names = _names(questions, pairs)
     terms = query_terms(questions, ()).distinct()
     if names is None:
         some = tf.join(terms, "term", "left_semi")
-        return Postings(stats, document_frequency(some), some)
+        return Postings(postings=some, frames=(stats, document_frequency(some)))
     some = tf.filter(F.col("term").isin(names)) if len(names) <= NAMED else tf.join(F.broadcast(terms), "term", "left_semi")
     by_record = some.groupBy("id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("c"))
     records = cut_lineage(by_record.select("id", "dl", F.col("c.term").alias("terms"), F.col("c.tf").alias("tfs")))
     row = stats.first()
-    return _weighted(row["n"], row["avgdl"], records)
+    counted = records.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()  # asked terms only
+    return Postings(row["n"], row["avgdl"], {r["term"]: r["df"] for r in counted}, records, questions, pairs)
 
 
 def _score_records(p: Postings, questions: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
     """The k best records of each question and batch; some more where ties reach over the cut."""
-    pairs = query_terms(questions)
-    asked = pairs.limit(PAIRS + 1).toArrow()
-    if asked.num_rows <= PAIRS:
+    asked = p.asked_by(questions)
+    if asked is not None:
         return _score_part(p, questions, asked, k, allowed)
+    pairs = query_terms(questions)
     parts = -(-2 * pairs.count() // PAIRS)
     some = [pairs.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == x).toArrow() for x in range(parts)]
     return reduce(DataFrame.unionByName, [_score_part(p, questions, t, k, allowed) for t in some])
@@ -110,15 +144,15 @@ def _score_part(p: Postings, questions: DataFrame, asked: pa.Table, k: int, allo
     spark = questions.sparkSession
     kind = {"qid": questions.schema["qid"].dataType.simpleString(), "id": p.records.schema["id"].dataType.simpleString()}
     qids = asked["qid"].combine_chunks().dictionary_encode()
-    order = sorted(p.weights)
+    order = sorted(p.df)
     at = {t: i for i, t in enumerate(order)}
     term = np.array([at.get(t, -1) for t in asked["term"].to_pylist()], np.int64)
     known = term >= 0
     q, term = np.asarray(qids.indices.to_numpy(zero_copy_only=False))[known], term[known]
     by_term = np.argsort(term, kind="stable")
     first = np.searchsorted(term[by_term], np.arange(len(order) + 1))
-    sent = spark.sparkContext.broadcast((qids.dictionary, at, q[by_term], first, np.array([p.weights[t] for t in order])))
-    avgdl = p.avgdl
+    sent = spark.sparkContext.broadcast((qids.dictionary, at, q[by_term], first, np.array([p.idf(t) for t in order])))
+    avgdl = p.avgdl or 1.0
     rows = p.records if allowed is None else p.records.join(allowed, "id", "left_semi")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -155,11 +189,12 @@ def _score_part(p: Postings, questions: DataFrame, asked: pa.Table, k: int, allo
 
 def _score_postings(p: Postings, questions: DataFrame) -> DataFrame:
     """``qid, id, score`` by joining postings with the questions' terms; summed on the map side first."""
-    weights = p.df.crossJoin(F.broadcast(p.stats))  # one row
+    stats, df = p.frames
+    weights = df.crossJoin(F.broadcast(stats))  # one row
     avgdl = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     terms = query_terms(questions).join(weights, "term").select("qid", "term", idf(F.col("n"), F.col("df")).alias("idf"), avgdl.alias("avgdl"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return p.tf.join(small(terms), "term").groupBy("qid", "id").agg(F.sum(part).alias("score"))
+    return p.postings.join(small(terms), "term").groupBy("qid", "id").agg(F.sum(part).alias("score"))
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

@@ -33,7 +33,7 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
 def as_documents(rows: DataFrame, id: str = "id", text: Column | str | None = None) -> DataFrame:
     """``id, text`` once per record; only records whose id occurs again are shuffled to drop repeats."""
     body = T.indexed_text() if text is None else F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    return distinct_rows(spread(rows.select(F.col(id).alias("id"), body.alias("text")).filter(F.col("id").isNotNull())))
+    return distinct_rows(rows.select(F.col(id).alias("id"), body.alias("text")).filter(F.col("id").isNotNull()))
 
 
 def record_lengths(docs: DataFrame) -> DataFrame:
@@ -69,6 +69,8 @@ def _count(memo: dict[str, tuple[bool, str | None]], wanted: frozenset[str] | No
     return dl, counts
 
 
+#: Names that are no terms, for the totals of a batch.
+RECORDS, TOKENS = "\0records", "\0tokens"
 #: Words a worker remembers.
 MEMO = 2_000_000
 
@@ -100,7 +102,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 def record_counts(docs: DataFrame, vocabulary: AnyOf[str]) -> DataFrame:
     """``id, dl, terms, tfs``: the terms of ``vocabulary`` in each record that has any, one row a record.
-    Rows with a null id carry, per batch, the number of records (``tfs[0]``) and of their tokens (``tfs[1]``)."""
+    Rows with a null id carry, per batch, the number of records that have each of these terms, and as terms
+    ``RECORDS`` and ``TOKENS`` the number of records and of their tokens."""
     stop = frozenset(T.STOPWORDS)
     sent = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
     memo: dict[str, tuple[bool, str | None]] = {}
@@ -110,23 +113,30 @@ def record_counts(docs: DataFrame, vocabulary: AnyOf[str]) -> DataFrame:
             if len(memo) > MEMO:
                 memo.clear()
             row, dls, terms, tfs = [], [], [], []
-            total = 0
+            total, seen = 0, Counter()
             for k, text in enumerate(b[1].to_pylist()):
                 dl, counts = _count(memo, sent.value, stop, text)
                 total += dl
                 if counts:
+                    seen.update(counts.keys())
                     row.append(k)
                     dls.append(dl)
                     terms.append(list(counts.keys()))
                     tfs.append(list(counts.values()))
             ids = pa.concat_arrays([b[0].take(pa.array(row, pa.int64())), pa.nulls(1, b[0].type)])
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([*dls, 0], pa.int32()), pa.array([*terms, []], pa.list_(pa.string())), pa.array([*tfs, [b.num_rows, total]], pa.list_(pa.int64()))], ["id", "dl", "terms", "tfs"]
-            )
+            terms.append([RECORDS, TOKENS, *seen.keys()])
+            tfs.append([b.num_rows, total, *seen.values()])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([*dls, 0], pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int64()))], ["id", "dl", "terms", "tfs"])
 
     return spread(docs.select("id", "text")).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, dl int, terms array<string>, tfs array<bigint>")
 
 
+def batch_totals(counted: DataFrame) -> DataFrame:
+    """``term, total`` of ``record_counts``: records per term, and the totals, from the rows that batches left."""
+    left = counted.filter(F.col("id").isNull()).select(F.explode(F.arrays_zip("terms", "tfs")).alias("c"))
+    return left.groupBy(F.col("c.terms").alias("term")).agg(F.sum("c.tfs").alias("total"))
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """``id, dl, term, tf``."""
     return term_counts(docs).filter(F.col("term") != "")
@@ -134,7 +144,9 @@ def postings(docs: DataFrame) -> DataFrame:
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """One row: ``n, avgdl``."""
-    totals = record_counts(docs, ()).filter(F.col("id").isNull()).agg(F.coalesce(F.sum(F.get("tfs", F.lit(0))), F.lit(0)).alias("n"), F.sum(F.get("tfs", F.lit(1))).alias("dl"))
+    sums = batch_totals(record_counts(docs, ()))
+    one = lambda name: F.coalesce(F.sum(F.when(F.col("term") == name, F.col("total"))), F.lit(0))
+    totals = sums.agg(one(RECORDS).alias("n"), one(TOKENS).alias("dl"))
     return totals.select("n", F.when(F.col("n") > 0, F.col("dl") / F.col("n")).otherwise(0.0).alias("avgdl"))
 
 

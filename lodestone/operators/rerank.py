@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import text as T
 from lodestone.operators import fusion
-from lodestone.operators.bm25 import query_terms
-from lodestone.operators.index import idf, small
+from lodestone.operators.bm25 import Postings
+from lodestone.operators.dense import tokens
+from lodestone.operators.index import small
 
 RERANKERS = ("proximity", "mmr")
 POOL = 20
@@ -46,26 +45,25 @@ def proximity_score(terms: dict[str, float], toks: Sequence[str]) -> float:
     return sum(terms[t] for t in found) / total * (0.5 + 0.5 * tight)
 
 
-def proximity_ranks(docs: DataFrame, questions: DataFrame, pool: DataFrame, stats: DataFrame, df: DataFrame) -> DataFrame:
+def proximity_ranks(docs: DataFrame, questions: DataFrame, pool: DataFrame, postings: Postings) -> DataFrame:
     """``qid, id, score, rank`` of the pool (qid, id, rank) by proximity; unseen terms count in the total."""
-    asked = query_terms(questions).join(df, "term", "left").crossJoin(F.broadcast(stats))
-    asked = asked.select("qid", F.struct("term", idf(F.col("n"), F.coalesce("df", F.lit(0))).alias("idf")).alias("t"))
-    terms = asked.groupBy("qid").agg(F.collect_list("t").alias("terms"))  # a question's own terms
     wanted = small(pool.select("qid", "id"))
-    rows = docs.join(wanted, "id").join(terms, "qid", "left").select("qid", "id", T.tokens("text").alias("toks"), F.col("terms.term").alias("names"), F.col("terms.idf").alias("idfs"))
+    rows = docs.join(wanted, "id").join(small(postings.weighted_terms(questions)), "qid", "left").select("qid", "id", "text", "names", "idfs")
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("qid", "id")}
 
-    @F.pandas_udf("double")
-    def proximity(toks: pd.Series, names: pd.Series, idfs: pd.Series) -> pd.Series:
-        return pd.Series([proximity_score(dict(zip(n, w)), t) if n is not None else 0.0 for t, n, w in zip(toks, names, idfs)])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            score = [proximity_score(dict(zip(n, w)), tokens(t)) if n else 0.0 for t, n, w in zip(*(b[c].to_pylist() for c in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([b[0], b[1], pa.array(score, pa.float64())], ["qid", "id", "score"])
 
-    scored = rows.select("qid", "id", proximity("toks", "names", "idfs").alias("score"))
+    scored = rows.mapInArrow(run, f"qid {kind['qid']}, id {kind['id']}, score double")
     w = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), F.col("id"))
     return scored.withColumn("rank", F.row_number().over(w))
 
 
-def proximity(docs: DataFrame, questions: DataFrame, pool: DataFrame, stats: DataFrame, df: DataFrame, k: int) -> DataFrame:
+def proximity(docs: DataFrame, questions: DataFrame, pool: DataFrame, postings: Postings, k: int) -> DataFrame:
     """The pool reordered by fusing its order with the order by proximity."""
-    close = proximity_ranks(docs, questions, pool, stats, df)
+    close = proximity_ranks(docs, questions, pool, postings)
     return fusion.top(fusion.rrf({"first": pool, "proximity": close}), k)
 
 

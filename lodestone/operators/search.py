@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
 from lodestone.operators import bm25, dense, fusion, rerank
 from lodestone.operators.index import as_documents, small
 from lodestone.session import cut_lineage
@@ -59,16 +60,21 @@ class Collection:
     def docs(self) -> DataFrame:
         return as_documents(self.chunks)
 
+    def docs_of(self, ids: DataFrame) -> DataFrame:
+        """``id, text`` of some chunks; the others never leave the scan."""
+        wanted = small(ids.select("id").distinct())
+        rows = self.chunks.join(wanted, "id", "left_semi")
+        return rows.select("id", T.indexed_text().alias("text")).distinct()
+
     @cached_property
     def vectors(self) -> DataFrame:
         return self._vectors if self._vectors is not None else dense.embed(self.docs, "text", self.embedder)
 
     def vectors_of(self, ids: DataFrame) -> DataFrame:
         """Vectors of some chunks; if none are stored, only these are embedded."""
-        wanted = small(ids.select("id").distinct())
         if self._vectors is not None:
-            return self._vectors.join(wanted, "id", "left_semi")
-        return dense.embed(self.docs.join(wanted, "id", "left_semi"), "text", self.embedder)
+            return self._vectors.join(small(ids.select("id").distinct()), "id", "left_semi")
+        return dense.embed(self.docs_of(ids), "text", self.embedder)
 
     def postings(self, questions: DataFrame) -> bm25.Postings:
         if self._tf is None or self._stats is None:
@@ -110,7 +116,7 @@ class Collection:
             out = rerank.mmr(pool, self.vectors_of(pool), k)
             return out.join(pool.select("qid", "id", "ranks"), ["qid", "id"], "left")
         p = postings or self.postings(questions)
-        close = rerank.proximity_ranks(self.docs, questions, pool, p.stats, p.df)
+        close = rerank.proximity_ranks(self.docs_of(pool), questions, pool, p)
         fused = fusion.top(fusion.rrf({"first": pool, "proximity": close}), k)
         first = pool.select("qid", "id", F.col("ranks").alias("before"))
         joined = fused.join(first, ["qid", "id"], "left")

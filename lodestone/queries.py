@@ -212,7 +212,7 @@ def proximity_rerank(spark: SparkSession, sf: str) -> DataFrame:
     docs, questions = _docs(spark, sf), table(spark, sf, "questions")
     posts = bm25.asked_postings(docs, questions)
     pool = cut_lineage(bm25.search(docs, questions, rerank.POOL, postings=posts))
-    return _ranked(rerank.proximity(docs, questions, pool, posts.stats, posts.df, 5))
+    return _ranked(rerank.proximity(docs, questions, pool, posts, 5))
 
 
 def mmr_rerank(spark: SparkSession, sf: str) -> DataFrame:

@@ -36,13 +36,15 @@ def spread(df: DataFrame) -> DataFrame:
     dealt out. Inputs that already have enough partitions, and plans that shuffle anyway (adaptive
     ones), are left alone, so that no shuffle is added and nothing runs ahead of time.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if too_few(df) else df
+
+
+def too_few(df: DataFrame) -> bool:
+    """Whether a plan without a shuffle has fewer partitions than there are cores."""
     plan = df._jdf.queryExecution()
     if plan.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
-        return df
-    if plan.toRdd().getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+        return False
+    return plan.toRdd().getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
 
 
 #: Buckets of keys that ``distinct_rows`` tells apart; a set of them (8 bytes each) is the most it broadcasts.
@@ -56,8 +58,13 @@ def distinct_rows(rows: DataFrame, key: str = "id", flag: str | None = None) ->
     broadcast, at most ``BUCKETS`` numbers whatever the table's size. Rows in other buckets are passed on
     where they are, those in the marked ones go through a hash aggregate that combines on the map side.
     A bucket that is marked for another key only costs its rows the shuffle. ``flag`` names a column that
-    is false for rows whose key occurs once for certain.
+    is false for rows whose key occurs once for certain. Rows that lie in too few partitions have to be dealt
+    out anyway (``spread``); then the one shuffle does both, unless the flag is wanted.
     """
+    if too_few(rows):
+        if flag is None:
+            return rows.distinct()
+        rows = spread(rows)
     bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
     again = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select(bucket.alias("_b")).distinct())
     rows = rows.withColumn("_b", bucket)
