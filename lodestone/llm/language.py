@@ -333,45 +333,55 @@ def host_priors(docs: DataFrame, strength: float = 20.0) -> DataFrame:
 SEGMENTS = "doc_id bigint, label string, seg int, lang string, confidence double, first int, n int, total int"
 
 
-def judge(model: Model, texts: list[str], priors: list[list[float] | None], prior_weight: float = 0.5) -> list[list[tuple[int, float, int, int, int]]]:
-    """For each text its segments: (language, confidence, first sentence, sentences, all sentences)."""
+def judge_batch(model: Model, texts: list[str | None], priors: np.ndarray, prior_weight: float = 0.5) -> tuple[np.ndarray, ...]:
+    """Segments of all texts as arrays: number of the text, language, confidence, first sentence, sentences, and
+    all sentences of the text. ``priors`` has a row of log priors for each text, zeros where there is none."""
     sentences: list[str] = []
     declared: list[int] = []
-    sizes: list[int] = []
-    for t in texts:
+    sizes = np.zeros(len(texts), np.int64)
+    for k, t in enumerate(texts):
         found = declared_sentences(t)
         sentences += [s for s, _ in found]
         declared += [d for _, d in found]
-        sizes.append(len(found))
+        sizes[k] = len(found)
+    if not sentences:
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     score = model.scores(sentences)
     named = np.array(declared, np.int64)
     at = np.flatnonzero(named >= 0)
     score[at, named[at]] += 2.0
-    at, out = 0, []
-    for n, prior in zip(sizes, priors):
-        segs: list[tuple[int, float, int, int, int]] = []
-        if n:
-            s = score[at : at + n]
-            at += n
-            if prior is not None:
-                s = s + prior_weight * np.maximum(np.asarray(prior) - max(prior), -6.0)
-            s = s - s.max(1, keepdims=True)
-            p = np.exp(s)
-            p /= p.sum(1, keepdims=True)
-            best = p.argmax(1)
-            sure = p[np.arange(n), best]
-            if (sure < 0.8).any():  # doubtful sentences follow their neighbours
-                for k in np.flatnonzero(sure < 0.8):
-                    near = [best[j] for j in (k - 1, k + 1) if 0 <= j < n and sure[j] >= 0.8]
-                    near = [x for x in near if p[k, x] > 0.02]
-                    if near:
-                        best[k] = max(near, key=lambda x: p[k, x])
-                        sure[k] = p[k, best[k]]
-            cut = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
-            ends = np.r_[cut[1:], n]
-            for a, e in zip(cut.tolist(), ends.tolist()):
-                segs.append((int(best[a]), float(sure[a:e].mean()), a, e - a, n))
-        out.append(segs)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    score += (prior_weight * np.maximum(priors - priors.max(1, keepdims=True), -6.0))[owner]
+    p = np.exp(score - score.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    best = p.argmax(1)
+    sure = p[np.arange(len(p)), best]
+    for k in np.flatnonzero(sure < 0.8).tolist():  # doubtful sentences follow their neighbours
+        near = [best[j] for j in (k - 1, k + 1) if 0 <= j < len(p) and owner[j] == owner[k] and sure[j] >= 0.8 and p[k, best[j]] > 0.02]
+        if near:
+            best[k] = max(near, key=lambda x: p[k, x])
+            sure[k] = p[k, best[k]]
+    cut = np.flatnonzero(np.r_[True, (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])])
+    n = np.diff(np.r_[cut, len(best)])
+    doc = owner[cut]
+    return doc, best[cut], np.add.reduceat(sure, cut) / n, cut - (np.cumsum(sizes) - sizes)[doc], n, sizes[doc]
+
+
+def judge(model: Model, texts: list[str], priors: list[list[float] | None]) -> list[list[tuple[int, float, int, int, int]]]:
+    """For each text its segments: (language, confidence, first sentence, sentences, all sentences)."""
+    out: list[list[tuple[int, float, int, int, int]]] = [[] for _ in texts]
+    rows = judge_batch(model, texts, np.array([p or [0.0] * _N for p in priors]))
+    for doc, *segment_ in zip(*(c.tolist() for c in rows)):
+        out[doc].append(tuple(segment_))
+    return out
+
+
+def prior_rows(col: pa.Array) -> np.ndarray:
+    """A list column of log priors as rows; zeros for null."""
+    out = np.zeros((len(col), _N))
+    known = np.flatnonzero(np.asarray(col.is_valid()))
+    if len(known):
+        out[known] = np.asarray(col.take(pa.array(known)).flatten()).reshape(-1, _N)
     return out
 
 
@@ -390,18 +400,15 @@ def language_segments(docs: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         m = models.get(0) or models.setdefault(0, Model(*sent.value))
+        names = pa.array(LANGUAGES)
         for b in batches:
             for a in range(0, b.num_rows, 1000):
                 part = b.slice(a, 1000)
-                ids, labels, texts, prior = (c.to_pylist() for c in part.columns)
-                cols: list[list] = [[] for _ in range(8)]
-                for i, label, segs in zip(ids, labels, judge(m, texts, prior)):
-                    for k, (lang, conf, first, n, total) in enumerate(segs):
-                        for c, v in zip(cols, (i, label, k, LANGUAGES[lang], conf, first, n, total)):
-                            c.append(v)
-                types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
-                names = ["doc_id", "label", "seg", "lang", "confidence", "first", "n", "total"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+                doc, lang, conf, first, n, total = judge_batch(m, part[2].to_pylist(), prior_rows(part[3]))
+                take = pa.array(doc)
+                seg = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                columns = [part[0].take(take), part[1].take(take), pa.array(seg, pa.int32()), names.take(pa.array(lang)), pa.array(conf, pa.float64()), *(pa.array(c, pa.int32()) for c in (first, n, total))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "seg", "lang", "confidence", "first", "n", "total"])
 
     return rows.mapInArrow(run, SEGMENTS)
 

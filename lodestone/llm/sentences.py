@@ -118,8 +118,9 @@ def _quotes(text: str, a: int, b: int) -> tuple[list[int], list[tuple[int, int,
     return loose, pairs
 
 
-#: Score of a mark that stands inside a name or a number, and of a full stop between a word and a capital.
-INSIDE, PLAIN = -9.0, 2.5
+#: Scores of a mark that stands inside a name or a number, of a full stop between a word and a capital, and of
+#: a mark that leaves no doubt.
+INSIDE, PLAIN, CLEAR = -9.0, 2.5, 3.0
 _LISTED = TITLES | BEFORE_NUMBER | INNER | EITHER
 
 
@@ -129,14 +130,14 @@ def _closing(text: str, a: int, i: int, e: int, end: int, mark: str, quoted: boo
     nxt = text[e] if e < n else ""
     strong = mark[-1] in _STRONG
     if not nxt:
-        return 3.0
+        return CLEAR
     space = nxt.isspace()
     j = e
     while j < n and text[j].isspace():
         j += 1
     first = text[j] if j < n else ""
     if not first:
-        return 3.0
+        return CLEAR
     k = j
     while k < n and text[k] in "\"'“„«»‘¿¡([「『（":  # what opens before the first word
         k += 1
@@ -149,7 +150,7 @@ def _closing(text: str, a: int, i: int, e: int, end: int, mark: str, quoted: boo
     opens = first in "¿¡“„«「『（([\"" or k > j
     if strong:
         if mark[-1] in _WIDE_END:
-            return 3.0 if not quoted else 0.5
+            return CLEAR if not quoted else 0.5
         if lower:
             if first == "(" or first == "[":
                 return -1.0
@@ -158,7 +159,7 @@ def _closing(text: str, a: int, i: int, e: int, end: int, mark: str, quoted: boo
             return -6.0
         if not head.isalpha() and not head.isdigit() and not opens and first in ",;:-–—/":
             return -5.0
-        return 3.0
+        return CLEAR
     # full stops and ellipses
     if first in ",;:–—-/)]" and not (first == "-" and space):
         return -6.0
@@ -274,17 +275,22 @@ def _paragraph(text: str, a: int, b: int, out: list[tuple[int, int]], prune: boo
     opened: list[int] = []  # where the outermost quotation or bracket that the mark closes with was opened, or -1
     for i, e in marks:
         c = text[i]
-        if c == "." and e < b:
-            d = text[e]
+        if e == b:
+            ends.append(e)
+            scores.append(CLEAR)
+            opened.append(-1)
+            break
+        d = text[e]
+        if c == ".":
             if (d.islower() and e - i == 1 and _NEXT_WORD.match(text, e)[0] not in LOWER_OPENERS) or d.isdigit() or d == "_":
                 continue
-            if d == " " and e - i == 1 and e + 1 < b and text[e + 1].isupper():
-                left = text[max(a, text.rfind(" ", a, i) + 1) : i]
-                if len(left) > 1 and left.isalpha() and left.islower() and left not in _LISTED:
-                    ends.append(e)
-                    scores.append(PLAIN)
-                    opened.append(-1)
-                    continue
+        if d.isspace() and e - i == 1 and c in ".!?" and e + 1 < b and text[e + 1].isupper():
+            left = text[max(a, text.rfind(" ", a, i) + 1) : i] if c == "." else ""
+            if c != "." or (len(left) > 1 and left.isalpha() and left.islower() and left not in _LISTED):
+                ends.append(e)
+                scores.append(PLAIN if c == "." else CLEAR)
+                opened.append(-1)
+                continue
         mark_end, o = e, -1
         while e < b:
             c = text[e]
@@ -298,7 +304,7 @@ def _paragraph(text: str, a: int, b: int, out: list[tuple[int, int]], prune: boo
                 e += 1
             else:
                 break
-        s = 3.0 if o < 0 and text[mark_end - 1] in _WIDE_END else _closing(text, a, i, e, b, text[i:mark_end], o >= 0)
+        s = CLEAR if o < 0 and text[mark_end - 1] in _WIDE_END else _closing(text, a, i, e, b, text[i:mark_end], o >= 0)
         if ends and ends[-1] == e:
             continue
         ends.append(e)
