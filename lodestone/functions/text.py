@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Tokens, sentence ends and stop words that results depend on.
+# Tokens, sentence ends, stop words, referring words and openers of follow-ups that results depend on.
 TOKEN = r"[a-z0-9]+(?:[._-][a-z0-9]+)*"
 SENTENCE_GAP = r"(?<=[.!?])\s+(?=[\"'(\[]?[A-Z0-9`])"
 STOPWORDS = """

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import STOPWORDS, TOKEN
-from lodestone.session import spread
+from lodestone.session import cut_lineage, spread
 
 _find = re.compile(TOKEN).findall
 _stop = frozenset(STOPWORDS)
@@ -235,6 +235,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFra
     schema = f"qid {kinds['qid']}, id {kinds['id']}, score double"
     n = queries.count()
     parts = max(1, -(-n // QUERIES))
+    if parts > 1:  # every part reads the vectors; they aren't made again for each
+        vectors = cut_lineage(vectors)
     found = None
     for p in range(parts):
         some = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == p)

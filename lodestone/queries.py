@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.engine import Engine, IngestResult
 from lodestone.functions import text as T
+from lodestone.functions.register import register
 from lodestone.operators import answer as A
 from lodestone.operators import bm25, dense, evaluate, fusion, incremental, ingest, rerank
 from lodestone.operators.filters import allowed_chunks, has_tags, source_matches
@@ -20,6 +22,7 @@ from lodestone.session import checkpoint_folder, cut_lineage, distinct_rows, spr
 from lodestone.sources.chunker import chunk_documents
 from lodestone.sources.html import html_to_markdown
 
+_BLANKS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
 TAGS, GLOBS = ("guide", "ops"), ("guides/*", "s?k/*.md", "[f-l]*/r*")
 MODES = ("bm25", "dense", "hybrid", "hybrid+proximity", "hybrid+mmr")
 
@@ -100,6 +103,19 @@ def chunked_documents(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.select("doc_id", "position", "heading", "text")
 
 
+def chunk_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each document's chunks: whether they are within the limit (a table or code line may be longer), are
+    numbered from 0 and repeat no more than the overlap allows, and how many different words they hold. A
+    document with an unbroken run of 700 characters, which may be cut, has -1 words."""
+    docs = table(spark, sf, "documents").filter(F.col("text").isNotNull())
+    chunks = chunk_documents(docs, keep=("doc_id",)).select("doc_id", "position", "text")
+    fits = (F.length("text") <= 800) | F.col("text").rlike(r"[|]|```|~~~")
+    per = chunks.groupBy("doc_id").agg(F.every(fits).alias("fits"), (F.max("position") + 1 == F.count("*")).alias("numbered"))
+    words = chunks.select("doc_id", F.explode(F.split("text", _BLANKS)).alias("w")).filter("w <> ''").groupBy("doc_id").agg(F.countDistinct("w").alias("words"))
+    runs = docs.select("doc_id", F.col("text").rlike(r"\S{700}").alias("run"))
+    return per.join(words, "doc_id").join(runs, "doc_id").select("doc_id", "fits", "numbered", F.when(F.col("run"), -1).otherwise(F.col("words")).cast("bigint").alias("words"))
+
+
 # index -------------------------------------------------------------------------------------------
 def postings_tf(spark: SparkSession, sf: str) -> DataFrame:
     return postings(_docs(spark, sf)).select("id", "term", "tf", "dl")
@@ -272,6 +288,33 @@ def judge_labels(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.judge(answers, questions).select("qid", "correct", "grounded")
 
 
+def judge_report(spark: SparkSession, sf: str) -> DataFrame:
+    judged = judge_labels(spark, sf).withColumn("mode", F.lit("label")).withColumn("judge", F.lit("heuristic"))
+    s = evaluate.judge_summary(judged)
+    return s.select("answered_by", F.array_join("judges", ",").alias("judges"), F.round("correct", 6).alias("correct"), F.round("grounded", 6).alias("grounded"), F.col("failures").cast("int").alias("failures"))
+
+
+def prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """The prompt of each question with its three best chunks."""
+    questions, c = table(spark, sf, "questions"), Collection(table(spark, sf, "chunks"))
+    hits = c.hits(c.search(questions, 3, "bm25"))
+    found = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("n"), "source", F.coalesce("heading", F.lit("")).alias("heading"), "text"))).alias("hits"))
+    return questions.join(found, "qid").select("qid", F.md5(A.prompt("question", "hits")).alias("prompt"))
+
+
+def rewrites(spark: SparkSession, sf: str) -> DataFrame:
+    """The history of each ask read as a backend's list of other wordings."""
+    asks = table(spark, sf, "asks").filter(F.col("question").isNotNull())
+    listed = F.transform(F.coalesce("history", F.array().cast("array<string>")), lambda h, i: F.concat(F.when(i % 2 == 0, "- ").otherwise("2. "), h))
+    return asks.select("ask_id", F.array_join(T.clean_rewrites(F.trim("question"), F.array_join(listed, "\n")), "|").alias("wordings"))
+
+
+def sql_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The engine's tokens under their SQL name."""
+    register(spark)
+    return spark.sql("SELECT qid, array_join(lodestone_tokens(question), ' ') AS tokens FROM {questions}", questions=table(spark, sf, "questions"))
+
+
 def eval_bm25(spark: SparkSession, sf: str) -> DataFrame:
     questions = table(spark, sf, "questions")
     c = Collection(table(spark, sf, "chunks"))
@@ -309,6 +352,45 @@ def _files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return newest.select("source", "origin", "d.title", "d.text"), known
 
 
+def _first_and_newest(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The first delivery of each file, without those of README.md, and the newest that isn't blank (source, title, text)."""
+    docs = table(spark, sf, "documents")
+    key = F.concat(incremental.origin_key(F.coalesce("origin", F.lit(""))), F.lit("/"), F.coalesce("source", F.lit(""))).alias("source")
+    order = F.struct(F.col("ingested_at").isNotNull().alias("dated"), "ingested_at", "doc_id", "title", "text")
+    first = docs.filter(F.col("source") != "README.md").groupBy(key).agg(F.min(order).alias("d")).select("source", "d.title", "d.text")
+    newest = docs.groupBy(key).agg(F.max(order).alias("d")).select("source", "d.title", "d.text")
+    return first, newest.filter(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", "") != "")
+
+
+def _engine(spark: SparkSession, sf: str) -> tuple[Engine, IngestResult]:
+    """An index that took the first deliveries, and then, pruning, the newest."""
+    engine = Engine(spark, f"{checkpoint_folder(spark)}/engine-{uuid.uuid4().hex}", "hash:64")
+    first, newest = _first_and_newest(spark, sf)
+    engine.ingest(first, origin="files", tags=["Ops "])
+    return engine, engine.ingest(newest, origin="files", prune=True)
+
+
+def engine_actions(spark: SparkSession, sf: str) -> DataFrame:
+    """What an ingest of the newest deliveries does to an index of the first ones."""
+    return _engine(spark, sf)[1].actions.select("source", "action")
+
+
+def engine_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that are left after that, and after guides are removed, with the tags they kept."""
+    engine, _ = _engine(spark, sf)
+    guides = engine.store.table("documents").filter(F.contains("source", F.lit("/guides/"))).select(F.regexp_extract("source", "^(.*/guides)/", 1).alias("g")).distinct()
+    engine.remove([r["g"] for r in guides.orderBy("g").limit(3).collect()])  # three targets, as one call has
+    return engine.store.table("documents").select("source", "hash", "origin", F.array_join("tags", ",").alias("tags"))
+
+
+def ingest_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Newest deliveries of which some come from an origin that doesn't own the file, from its folder, or from nowhere."""
+    files, known = _files(spark, sf)
+    n = F.length("source") % 4
+    other = F.when(n == 0, F.lit("elsewhere")).when(n == 1, F.concat("origin", F.lit("/"), "source")).when(n == 2, F.lit("")).otherwise(F.col("origin"))
+    return ingest.classify(files.withColumn("origin", other), known).select("source", "action", "owner")
+
+
 def ingest_classify(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.classify(*_files(spark, sf)).select("source", "action")
 
@@ -363,10 +445,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             tokenize_counts, token_stream, stem_vocab, sentence_split, content_hash, tags_normalized, heading_promotion, extract_title,
-            follow_up_flags, condense_conversations, ask_requests, html_pages, chunked_documents, postings_tf, term_df_idf, corpus_statistics,
+            follow_up_flags, condense_conversations, ask_requests, html_pages, chunked_documents, chunk_checks, postings_tf, term_df_idf, corpus_statistics,
             bm25_topk, bm25_topk_tags, bm25_topk_glob, stored_topk, stored_sizes, dense_topk, dense_topk_filtered, hash_embed, rrf_fields, hybrid_topk, dense_words_topk, hybrid_words_topk, proximity_rerank,
-            mmr_rerank, multi_query_fusion, asks_topk, extractive_answers, answer_highlights, answer_checks, judge_labels, eval_bm25, eval_modes, eval_words_modes, eval_answers, heuristic_judge,
-            ingest_classify, prune_removed, doc_stats, source_counts, find_documents, reread_marks, recorded_versions, p7_found, p7_arrivals,
+            mmr_rerank, multi_query_fusion, asks_topk, extractive_answers, answer_highlights, answer_checks, judge_labels, judge_report, prompts, rewrites, sql_tokens, eval_bm25, eval_modes, eval_words_modes, eval_answers, heuristic_judge,
+            ingest_classify, ingest_conflicts, engine_actions, engine_documents, prune_removed, doc_stats, source_counts, find_documents, reread_marks, recorded_versions, p7_found, p7_arrivals,
         )
     }
 
@@ -442,6 +524,14 @@ def _file_ctes() -> str:
                    row_number() OVER (PARTITION BY {_ORIGIN}, source ORDER BY processed_at DESC NULLS LAST, run_id DESC, lower(trim(hash)) DESC) AS k FROM ledger JOIN ok USING (run_id))"""
 
 
+def _two_batches() -> str:
+    """CTEs: a, b (src, h), first deliveries without README.md and newest ones that aren't blank."""
+    return f"""v AS (SELECT {_ORIGIN} || '/' || coalesce(source, '') AS src, source, sha256('800:150' || chr(10) || coalesce(title, '') || chr(10) || coalesce(text, '')) AS h,
+              regexp_replace(coalesce(text, ''), '[ \\t\\n\\x{{0b}}\\f\\r]', '', 'g') <> '' AS filled, ingested_at, doc_id FROM documents),
+        a AS (SELECT src, h FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ingested_at NULLS FIRST, doc_id) AS k FROM v WHERE source <> 'README.md') WHERE k = 1),
+        b AS (SELECT src, h FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ingested_at DESC NULLS LAST, doc_id DESC) AS k FROM v) WHERE k = 1 AND filled)"""
+
+
 _GLOB_SQL = " OR ".join(f"regexp_matches(source, '{r}')" for r in (r"^guides/", r"^s.k/.*\.md$", r"^[f-l].*/r"))
 _TAG_SQL = "len(list_filter(coalesce(tags, []), lambda t: lower(trim(t)) IN ('guide', 'ops'))) > 0"
 _FOLLOW = f"""length(trim(question)) > 0 AND len(regexp_extract_all(lower(question), '{T.TOKEN}')) > 0 AND (
@@ -520,6 +610,17 @@ def oracle_sql() -> dict[str, str]:
         "judge_labels": f"""WITH {_index()}, {_QT}, {_bm25()}, pay AS (SELECT DISTINCT id, text FROM chunks)
             SELECT qid, true AS correct, 2 * len(list_intersect(list_distinct({_toks("contains")}), {_toks("text")})) >= len(list_distinct({_toks("contains")})) AS grounded
             FROM questions JOIN (FROM ranked WHERE rank = 1) USING (qid) JOIN pay USING (id)""",
+        "judge_report": f"""WITH {_index()}, {_QT}, {_bm25()}, pay AS (SELECT DISTINCT id, text FROM chunks),
+            v AS (SELECT 2 * len(list_intersect(list_distinct({_toks("contains")}), {_toks("text")})) >= len(list_distinct({_toks("contains")})) AS grounded
+                  FROM questions JOIN (FROM ranked WHERE rank = 1) USING (qid) JOIN pay USING (id))
+            SELECT 'label' AS answered_by, 'heuristic' AS judges, 1.0::DOUBLE AS correct, round(avg(grounded::INT), 6) AS grounded, (count(*) FILTER (NOT grounded))::INT AS failures FROM v""",
+        "prompts": f"""WITH {_index()}, {_QT}, {_bm25()}, pay AS (SELECT DISTINCT id, source, coalesce(heading, '') AS heading, text FROM chunks)
+            SELECT qid, md5('<sources>' || chr(10) || string_agg('<source id="' || rank || '" document="' || p.source || '" section="' || p.heading || '">' || chr(10) || p.text || chr(10) || '</source>', chr(10) ORDER BY rank)
+                || chr(10) || '</sources>' || chr(10) || chr(10) || 'Question: ' || any_value(question)) AS prompt
+            FROM ranked JOIN pay p USING (id) JOIN questions USING (qid) WHERE rank <= 3 GROUP BY qid""",
+        "rewrites": """SELECT ask_id, array_to_string(([trim(question)] || list_filter(list_transform(coalesce(history, []), lambda h: trim(h)), lambda h: h <> '' AND lower(h) <> lower(trim(question))))[:4], '|') AS wordings
+            FROM asks WHERE question IS NOT NULL""",
+        "sql_tokens": f"SELECT qid, array_to_string({_toks('question')}, ' ') AS tokens FROM questions",
         "dense_words_topk": f"WITH {_words_ranked()} {_TOP.format('d_ranked', 10)}",
         "hybrid_words_topk": f"WITH {_words_ranked()} {_TOP.format('h_ranked', 10)}",
         "eval_words_modes": f"""WITH {_words_ranked()}, pay AS (SELECT DISTINCT id, source, text FROM chunks),
@@ -530,6 +631,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT mode, round(avg(CASE WHEN rank <= 1 THEN 1 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1 ELSE 0 END), 6) AS recall_3,
                    round(avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END), 6) AS recall_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, round(avg(docs), 6) AS docs FROM every GROUP BY mode""",
         "ask_requests": f"SELECT ask_id, {_PROBLEM} AS problem FROM asks",
+        "chunk_checks": rf"""WITH l AS (SELECT doc_id, regexp_matches(text, '\S{{700}}') AS run, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+            f AS (SELECT *, regexp_matches(line, '^\s*(```|~~~)') AS fence, sum(regexp_matches(line, '^\s*(```|~~~)')::INT) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS inside FROM l),
+            w AS (SELECT doc_id, run, unnest(string_split_regex(line, '{_BLANKS}')) AS w FROM f WHERE fence OR inside OR NOT regexp_matches(line, '^#{{1,6}}\s+.'))
+            SELECT doc_id, true AS fits, true AS numbered, CASE WHEN any_value(run) THEN -1 ELSE count(DISTINCT w) END::BIGINT AS words FROM w WHERE w <> '' GROUP BY doc_id""",
         "postings_tf": f"WITH {_index()} SELECT id, term, tf, dl::INT AS dl FROM tf",
         "term_df_idf": f"WITH {_index()} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, stats",
         "corpus_statistics": f"WITH {_index()} SELECT n, round(avgdl, 6) AS avgdl FROM stats",
@@ -574,6 +679,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'bm25' AS mode, round(avg(CASE WHEN rank <= 1 THEN 1 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1 ELSE 0 END), 6) AS recall_3,
                    round(avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END), 6) AS recall_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, round(avg(docs), 6) AS docs FROM every""",
         "ingest_classify": f"WITH {_file_ctes()} SELECT d.src AS source, CASE WHEN l.src IS NULL THEN 'added' WHEN l.h = d.h THEN 'unchanged' ELSE 'updated' END AS action FROM d LEFT JOIN (FROM l WHERE k = 1) l ON l.src = d.src WHERE d.k = 1",
+        "ingest_conflicts": f"""WITH {_file_ctes()}, j AS (SELECT d.src, d.o, l.src AS known, l.h = d.h AS same, length(d.src) % 4 AS n FROM d LEFT JOIN (FROM l WHERE k = 1) l ON l.src = d.src WHERE d.k = 1)
+            SELECT src AS source, CASE WHEN known IS NULL THEN 'added' WHEN n = 0 AND o <> '' THEN 'conflict' WHEN same THEN 'unchanged' ELSE 'updated' END AS action,
+                   CASE WHEN known IS NOT NULL AND n = 0 AND o <> '' THEN o END AS owner FROM j""",
+        "engine_actions": f"WITH {_two_batches()} SELECT coalesce(a.src, b.src) AS source, CASE WHEN a.src IS NULL THEN 'added' WHEN b.src IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'updated' END AS action FROM a FULL JOIN b ON a.src = b.src",
+        "engine_documents": f"""WITH {_two_batches()}, g AS (SELECT DISTINCT regexp_extract(src, '^(.*/guides)/', 1) AS g FROM b WHERE contains(src, '/guides/') ORDER BY g LIMIT 3)
+            SELECT b.src AS source, b.h AS hash, 'files' AS origin, CASE WHEN a.src IS NULL THEN '' ELSE 'ops' END AS tags FROM b LEFT JOIN a ON a.src = b.src WHERE NOT EXISTS (SELECT 1 FROM g WHERE starts_with(b.src, g || '/'))""",
         "prune_removed": f"""WITH d AS (SELECT {_ORIGIN} AS o, {_ORIGIN} || '/' || coalesce(source, '') AS src, regexp_replace(coalesce(text, ''), '[ \\t\\n\\x{{0b}}\\f\\r]', '', 'g') <> '' AS full,
               row_number() OVER (PARTITION BY {_ORIGIN}, source ORDER BY ingested_at DESC NULLS LAST, doc_id DESC) AS k FROM documents)
             SELECT src AS source FROM d WHERE k = 1 AND NOT d.full AND o IN (SELECT o FROM d WHERE k = 1 AND d.full)""",
