@@ -19,7 +19,7 @@ from lodestone.operators import evaluate as E
 from lodestone.operators import ingest as I
 from lodestone.operators.filters import allowed_chunks
 from lodestone.operators.search import DEFAULT_MODES, Collection, Mode
-from lodestone.operators.store import TABLES, Store
+from lodestone.operators.store import Store
 from lodestone.session import cut_lineage
 from lodestone.sources import loaders
 from lodestone.sources.chunker import chunk_documents
@@ -99,7 +99,8 @@ class Engine:
         chunks = 0
         if not (fresh.isEmpty() and gone.isEmpty()):
             void = fresh.filter("action <> 'added'").select("source", (F.col("action") == "updated").alias("chunks")).unionByName(gone.withColumn("chunks", F.lit(True)))
-            chunks = self.store.append(fresh, chunk_documents(changed, max_chars, overlap), None if void.isEmpty() else void)
+            pieces = None if changed.isEmpty() else chunk_documents(changed, max_chars, overlap)
+            chunks = self.store.append(None if fresh.isEmpty() else fresh, pieces, None if void.isEmpty() else void)
         actions = plan.select("action", "source", "owner").unionByName(gone.select(F.lit("removed").alias("action"), "source", F.lit(None).cast("string").alias("owner")))
         counts = dict.fromkeys(("added", "updated", "unchanged", "removed", "conflict"), 0) | {r["action"]: r["n"] for r in actions.groupBy("action").agg(F.count("*").alias("n")).collect()}
         return IngestResult(counts, chunks, actions)
@@ -123,8 +124,7 @@ class Engine:
             hit = hit.unionByName(I.find_sources(documents, t))
         hit = cut_lineage(hit.distinct())
         if not hit.isEmpty():
-            none = self.spark.createDataFrame([], TABLES["documents"])
-            self.store.append(none, self.spark.createDataFrame([], TABLES["chunks"]), hit.withColumn("chunks", F.lit(True)))
+            self.store.append(gone=hit.withColumn("chunks", F.lit(True)))
         return hit
 
     def reset(self) -> None:

@@ -19,13 +19,14 @@ import posixpath
 import re
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import indexed_text
 from lodestone.operators import dense
 from lodestone.operators.index import postings, record_lengths
-from lodestone.functions.text import indexed_text
 
 TABLES = {
     "documents": "source string, title string, origin string, hash string, ingested_at timestamp, tags array<string>",
@@ -36,7 +37,10 @@ TABLES = {
 }
 #: Tombstones that are broadcast at most; more are joined.
 BROADCAST_GONE = 500_000
-EMPTY = {"embedder": None, "segments": [], "records": 0, "tokens": 0, "gone": 0}
+
+
+def _empty() -> dict:
+    return {"embedder": None, "segments": {name: [] for name in TABLES}, "records": 0, "tokens": 0, "gone": 0}
 
 
 def columns(name: str) -> list[str]:
@@ -87,7 +91,7 @@ class Store:
 
     def manifest(self) -> dict:
         v = self.version()
-        return EMPTY | json.loads(self._read(f"{v}.json") or "{}") if v else dict(EMPTY)
+        return _empty() | json.loads(self._read(f"{v}.json") or "{}") if v else _empty()
 
     # reading -----------------------------------------------------------------------------------
     def table(self, name: str) -> DataFrame:
@@ -95,9 +99,9 @@ class Store:
         return self._holding(name, self.manifest()).select(*columns(name))
 
     def _segments(self, name: str, m: dict) -> DataFrame:
-        if not m["segments"]:
+        if not m["segments"][name]:
             return self.spark.createDataFrame([], f"{TABLES[name]}, seg bigint")
-        paths = [f"{self.path}/{name}/seg={s}" for s in m["segments"]]
+        paths = [f"{self.path}/{name}/seg={s}" for s in m["segments"][name]]
         return self.spark.read.schema(f"{TABLES[name]}, seg bigint").option("basePath", f"{self.path}/{name}").parquet(*paths)
 
     def _holding(self, name: str, m: dict) -> DataFrame:
@@ -118,36 +122,49 @@ class Store:
         return self.spark.createDataFrame([(m["records"], m["tokens"] / m["records"] if m["records"] else 0.0)], "n bigint, avgdl double")
 
     # writing -----------------------------------------------------------------------------------
-    def append(self, documents: DataFrame, chunks: DataFrame, gone: DataFrame | None = None) -> int:
+    def append(self, documents: DataFrame | None = None, chunks: DataFrame | None = None, gone: DataFrame | None = None) -> int:
         """Add a segment: rows of new and changed documents, their chunks (id, source, title, heading, text,
         position; each id once), and tombstones (source, chunks) of what no longer holds in earlier
         segments: the document's row, and with ``chunks`` its chunks too. Gives the number of chunks added."""
         m = self.manifest()
-        seg = max([time.time_ns() // 1000, *(s + 1 for s in m["segments"])])
+        seg = self._next(m)
         at = lambda name: f"{self.path}/{name}/seg={seg}"
-        documents.select(*columns("documents")).write.parquet(at("documents"))
+        added: dict[str, list[int]] = {}
+        new, dead, marks = (0, 0), (0, 0), 0
+        if documents is not None:
+            documents.select(*columns("documents")).write.parquet(at("documents"))
+            added["documents"] = [seg]
         if gone is not None:
             gone.select(*columns("gone")).write.parquet(at("gone"))
+            added["gone"] = [seg]
+            void = self.spark.read.schema(TABLES["gone"]).parquet(at("gone"))
+            marks = void.count()
+            if m["records"]:
+                dead = self._sizes(self._holding("chunks", m).join(void.filter("chunks").select("source").distinct(), "source", "left_semi"))
+        if chunks is not None:
+            new = self._write_chunks(chunks, at)
+            added |= {name: [seg] for name in ("chunks", "vectors", "postings")}
+        segments = {name: m["segments"][name] + added.get(name, []) for name in TABLES}
+        self._point({**m, "embedder": self.embedder, "segments": segments, "records": m["records"] - dead[0] + new[0], "tokens": m["tokens"] - dead[1] + new[1], "gone": m["gone"] + marks})
+        return new[0]
+
+    @staticmethod
+    def _next(m: dict) -> int:
+        """A number above those of all segments, that no attempt before has used."""
+        return max([time.time_ns() // 1000, *(s + 1 for some in m["segments"].values() for s in some)])
+
+    def _write_chunks(self, chunks: DataFrame, at: Callable[[str], str]) -> tuple[int, int]:
+        """Write chunks with their lengths, vectors and postings; numbers of chunks and of tokens."""
         plain = [c for c in columns("chunks") if c != "dl"]
-        bodies = chunks.select(*plain, indexed_text().alias("body"))
-        lengths = record_lengths(bodies.select(F.struct(*plain).alias("id"), F.col("body").alias("text")))
-        sized = lengths.select("id.*", F.col("tokens").alias("dl"))
+        bodies = chunks.select(F.struct(*plain).alias("id"), indexed_text().alias("text"))
+        sized = record_lengths(bodies).select("id.*", F.col("tokens").alias("dl"))
         sized.repartitionByRange("source", "position").sortWithinPartitions("source", "position").write.parquet(at("chunks"))
         written = self.spark.read.schema(TABLES["chunks"]).parquet(at("chunks"))
         docs = written.select("id", indexed_text().alias("text"))
         dense.embed(docs, "text", self.embedder).write.parquet(at("vectors"))
         posts = postings(docs).select(*columns("postings"))
         posts.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(at("postings"))
-        if gone is None:
-            self.spark.createDataFrame([], TABLES["gone"]).write.parquet(at("gone"))
-        dead = self._sizes(self._holding("chunks", m).join(self._written_gone(at("gone")), "source", "left_semi")) if m["segments"] and gone is not None else (0, 0)
-        new = self._sizes(written)
-        more = self.spark.read.schema(TABLES["gone"]).parquet(at("gone")).count() if gone is not None else 0
-        self._point({**m, "embedder": self.embedder, "segments": [*m["segments"], seg], "records": m["records"] - dead[0] + new[0], "tokens": m["tokens"] - dead[1] + new[1], "gone": m["gone"] + more})
-        return new[0]
-
-    def _written_gone(self, path: str) -> DataFrame:
-        return self.spark.read.schema(TABLES["gone"]).parquet(path).filter("chunks").select("source").distinct()
+        return self._sizes(written)
 
     @staticmethod
     def _sizes(chunks: DataFrame) -> tuple[int, int]:
@@ -162,16 +179,17 @@ class Store:
     def compact(self) -> None:
         """Rewrite what holds as one segment; nothing is read into tokens or vectors again."""
         m = self.manifest()
-        if len(m["segments"]) < 2 and not m["gone"]:
+        if all(len(some) < 2 for some in m["segments"].values()) and not m["gone"]:
             return
-        seg = max([time.time_ns() // 1000, *(s + 1 for s in m["segments"])])
+        seg = self._next(m)
         order = {"chunks": ("source", "position"), "postings": ("term", "id")}
-        for name in TABLES:
-            rows = self.spark.createDataFrame([], TABLES[name]) if name == "gone" else self._holding(name, m).select(*columns(name))
+        held = [name for name in TABLES if name != "gone" and m["segments"][name]]
+        for name in held:
+            rows = self._holding(name, m).select(*columns(name))
             if name in order:
                 rows = rows.repartitionByRange(*order[name]).sortWithinPartitions(*order[name])
             rows.write.parquet(f"{self.path}/{name}/seg={seg}")
-        self._point({**m, "segments": [seg], "gone": 0})
+        self._point({**m, "segments": {name: [seg] if name in held else [] for name in TABLES}, "gone": 0})
 
     def reset(self) -> None:
         """Back to no documents, chunks or embedder; earlier segments stay until ``vacuum``."""
@@ -190,7 +208,7 @@ class Store:
         """Compact, then delete segments and manifests that nothing points to; bytes before and after."""
         before = self.size()
         self.compact()
-        keep = {f"seg={s}" for s in self.manifest()["segments"]} | {f"{self.version()}.json"}
+        keep = {f"seg={s}" for some in self.manifest()["segments"].values() for s in some} | {f"{self.version()}.json"}
         for folder, pattern in [(f"{self.path}/{name}", r"seg=\d+") for name in TABLES] + [(self.path, r"\.?m-[0-9a-f]+\.json.*")]:
             for name in self._names(folder):
                 if re.fullmatch(pattern, name) and name not in keep:

@@ -172,9 +172,8 @@ def _stored(spark: SparkSession, sf: str) -> Store:
     store = Store(spark, f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}", "hash:64")
     plain = [c.split()[0] for c in TABLES["chunks"].split(", ")][:-1]
     chunks = distinct_rows(table(spark, sf, "chunks").select(*plain)).withColumn("source", F.regexp_replace("id", "#[0-9]+$", ""))
-    none = spark.createDataFrame([], TABLES["documents"])
-    store.append(none, chunks.filter(F.col("position") == 0).withColumn("text", F.lit("an earlier text")))
-    store.append(none, chunks, chunks.filter(F.col("position") == 0).select("source", F.lit(True).alias("chunks")).distinct())
+    store.append(chunks=chunks.filter(F.col("position") == 0).withColumn("text", F.lit("an earlier text")))
+    store.append(chunks=chunks, gone=chunks.filter(F.col("position") == 0).select("source", F.lit(True).alias("chunks")).distinct())
     return store
 
 
@@ -362,6 +361,10 @@ def _first_and_newest(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFram
     return first, newest.filter(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", "") != "")
 
 
+def newest_files(spark: SparkSession, sf: str) -> DataFrame:
+    return _first_and_newest(spark, sf)[1]
+
+
 def _engine(spark: SparkSession, sf: str) -> tuple[Engine, IngestResult]:
     """An index that took the first deliveries, and then, pruning, the newest."""
     engine = Engine(spark, f"{checkpoint_folder(spark)}/engine-{uuid.uuid4().hex}", "hash:64")
