@@ -48,3 +48,20 @@ def test_edges(spark):
     assert got == {(1, "c"): 1, (1, "a"): 2, (1, "b"): 3, (2, "p"): 1, (2, "q"): 2, (5, "z"): 1}
     assert R.winners(frame(spark, rows[:0] or [(None, None, None, None, None)])).count() == 0
     assert R.winners(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_large_groups_in_parts(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for ask in range(6):
+        for name in ("x", "y"):
+            for i in range(rng.choice([2, 9, 60])):
+                score = rng.choice([None, float("nan"), float(rng.randint(0, 9)), rng.random() * 9])
+                rows.append((ask, name, f"c{i}", score, rng.choice([None, {name: rng.randint(1, 70)}, {name: i + 1}])))
+    places = lambda: sorted(map(tuple, R.retriever_ranks(frame(spark, rows)).collect()))
+    fused = lambda: sorted((r["ask_id"], r["place"], r["id"], r["score"]) for r in R.fuse(frame(spark, rows)).collect())
+    whole, ranking = places(), fused()
+    for bound in (0, 20):
+        monkeypatch.setattr(R, "GROUP", bound)
+        assert places() == whole
+        assert fused() == ranking
