@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from hypothesis import example, given, settings
@@ -93,6 +94,14 @@ def test_pruning_is_exact(text):
     assert segment(text) == segment(text, prune=False)
 
 
+def test_pruning_is_exact_on_many_texts():
+    rng = random.Random(3)
+    more = PARTS + ["Dr. ", "No. 7 ", "etc. ", "v2.1", "。", "«Oui. Non.» ", " (Da. ", ") ", '" ', "so it ends. ", "Lange Rede. ", "... ", "?! ", "\n", "z" * 600]
+    for _ in range(10_000):
+        text = "".join(rng.choice(more) for _ in range(rng.randint(2, 9)))
+        assert segment(text) == segment(text, prune=False), text
+
+
 def test_paragraph_that_opens_with_a_weak_end():
     assert cut("Use it (it works. Always so) on Linux vs. Windows as you like. The end is near now.") == ["Use it (it works. Always so) on Linux vs. Windows as you like.", "The end is near now."]
 
