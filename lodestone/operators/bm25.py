@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import text as T
+from lodestone.operators.dense import tokens
 from lodestone.operators.index import RECORDS, TOKENS, batch_totals, corpus_stats, document_frequency, idf, record_counts, small, term_counts
 from lodestone.session import cut_lineage
 
@@ -39,7 +39,16 @@ CELLS = 4_000_000
 
 
 def query_terms(questions: DataFrame, keep: tuple[str, ...] = ("qid",)) -> DataFrame:
-    return questions.select(*keep, F.explode(F.array_distinct(T.tokens("question"))).alias("term"))
+    """``<keep>, term``: the different terms of each question, by Arrow batches."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            terms = [list(dict.fromkeys(tokens(q or ""))) for q in b[len(keep)].to_pylist()]
+            row = pa.array(np.repeat(np.arange(b.num_rows), list(map(len, terms))))
+            yield pa.RecordBatch.from_arrays([*(c.take(row) for c in b.columns[: len(keep)]), pa.array([t for some in terms for t in some], pa.string())], [*keep, "term"])
+
+    schema = ", ".join([*(f"`{c}` {questions.schema[c].dataType.simpleString()}" for c in keep), "term string"])
+    return questions.select(*keep, "question").mapInArrow(run, schema)
 
 
 @dataclass
