@@ -53,7 +53,9 @@ def retriever_ranks(hits: DataFrame) -> DataFrame:
     """
     u = unique_hits(hits)
     u = u.join(directions(u), "retriever", "left").withColumn("better", F.col("score") * F.coalesce("sign", F.lit(1.0)))
-    big = cut_lineage(u.groupBy(*_GROUP).agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select(*_GROUP))
+    # repeated rows included, so that the names alone are read
+    sizes = hits.groupBy("ask_id", F.lower(F.trim("retriever")).alias("retriever")).agg(F.count("*").alias("n"))
+    big = cut_lineage(sizes.filter(F.col("n") > GROUP).select(*_GROUP))
     if big.isEmpty():
         return _places(u)
     side = F.broadcast(big)  # at most one in GROUP hits
