@@ -18,6 +18,7 @@ import hashlib
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterable
 from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
@@ -107,8 +108,9 @@ class Vocabulary:
         at = np.flatnonzero(rank < _NONE)
         heap = ((rank[at] << 32) | at).tolist()
         heapify(heap)
-        sym, n, known = start.tolist(), len(start), self.pairs.get
-        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        n, known = len(start), self.pairs.get
+        # four bytes a number: a run may be as long as a document
+        sym, following, before = (array("i", x.astype(np.int32).tobytes()) for x in (start, np.arange(1, n + 1), np.arange(-1, n - 1)))
         while heap:
             entry = heappop(heap)
             new, i = entry >> 32, entry & 0xFFFFFFFF
@@ -123,8 +125,8 @@ class Vocabulary:
                     heappush(heap, r << 32 | i)
             if (h := before[i]) >= 0 and (r := known(sym[h] << 20 | new)) is not None:
                 heappush(heap, r << 32 | h)
-        out = np.array(sym, np.int64)
-        return out[out >= 0].astype(np.int32)
+        out = np.frombuffer(sym, np.int32)
+        return out[out >= 0]
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and the length of each word's part."""
