@@ -57,7 +57,8 @@ def distinct_rows(rows: DataFrame, key: str = "id", flag: str | None = None) ->
     A narrow aggregate over the keys alone finds those that occur again; the buckets of their hashes are
     broadcast, at most ``BUCKETS`` numbers whatever the table's size. Rows in other buckets are passed on
     where they are, those in the marked ones go through a hash aggregate that combines on the map side.
-    A bucket that is marked for another key only costs its rows the shuffle. ``flag`` names a column that
+    A bucket that is marked for another key only costs its rows the shuffle; with more repeated keys than
+    buckets all rows are shuffled. ``flag`` names a column that
     is false for rows whose key occurs once for certain. Rows that lie in too few partitions have to be dealt
     out anyway (``spread``); then the one shuffle does both, unless the flag is wanted.
     """

@@ -3,14 +3,16 @@ from lodestone.streaming.conversation import standalone_turns
 from lodestone.streaming.ingest import follow_folder
 
 
-def test_follow_folder(spark, tmp_path):
+def test_follow_folder(spark, tmp_path, caplog):
     folder = tmp_path / "in"
     folder.mkdir()
     (folder / "a.md").write_text("# A\n\nFirst text.")
     engine = Engine(spark, str(tmp_path / "index"))
     follow_folder(engine, str(folder), str(tmp_path / "c")).awaitTermination()
     (folder / "b.txt").write_text("Second\n\nMore text.")
+    (folder / "broken.pdf").write_bytes(b"no pdf")
     follow_folder(engine, str(folder), str(tmp_path / "c")).awaitTermination()
+    assert "broken.pdf could not be read" in caplog.text
     assert [r["source"] for r in engine.sources().collect()] == ["a.md", "b.txt"]
 
 
