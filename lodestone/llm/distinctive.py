@@ -10,16 +10,19 @@ so that common terms score about 0 and rare shared ones high. Collection counts
 
 Edge cases: a null heading or text counts as empty; a row repeated whole counts once; rows of one id
 that differ are scored apart, but df counts distinct ids, so that they add one to it; records without
-terms give no rows; an empty table gives none; other columns are ignored.
+terms give no rows; an empty table gives none; other columns are ignored. In a collection of one distinct
+term the odds are infinite on either side, z is NaN.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,16 +75,18 @@ def collection_counts(once: DataFrame) -> DataFrame:
     terms are brought together by id first, so that df counts ids.
     """
     single = once.filter(~F.col("again")).select("id", "heading", "text").mapInArrow(_vocabulary, "term string, cf bigint, df bigint")
-    several = once.filter("again").select("id", "heading", "text").mapInArrow(_records(1, True), "id string, term string, tf int, n int")
+    several = once.filter("again").select("id", "heading", "text").mapInArrow(_records(True), "id string, term string, tf int, n int")
     by_id = several.groupBy("id", "term").agg(F.sum("tf").alias("cf"))
     per_term = by_id.groupBy("term").agg(F.sum("cf").alias("cf"), F.count("*").alias("df"))
     return single.unionByName(per_term).groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
 
 
-def _records(min_count: int, totals: bool = False):
-    """Terms of each record; ``totals`` adds a row of the empty term with the record's number of terms."""
+def _records(totals: bool = False, frequent: Broadcast[frozenset[str]] | None = None, inside: bool = False):
+    """Terms of each record, of ``frequent`` only those inside or outside; ``totals`` adds a row of the empty
+    term with the record's number of terms."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held = None if frequent is None else frequent.value
         for b in batches:
             ids, terms, tfs, ns = [], [], [], []
             for i, heading, text in zip(b[0].to_pylist(), b[1].to_pylist(), b[2].to_pylist()):
@@ -90,12 +95,12 @@ def _records(min_count: int, totals: bool = False):
                 counts = Counter(found)
                 if totals:
                     counts[""] = n
-                for t, k in counts.items():
-                    if k >= min_count or not t:
-                        ids.append(i)
-                        terms.append(t)
-                        tfs.append(k)
-                        ns.append(n)
+                if held is not None:
+                    counts = {t: k for t, k in counts.items() if (t in held) is inside}
+                ids.extend([i] * len(counts))
+                terms.extend(counts.keys())
+                tfs.extend(counts.values())
+                ns.extend([n] * len(counts))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(terms, pa.string()), pa.array(tfs, pa.int32()), pa.array(ns, pa.int32())], ["id", "term", "tf", "n"])
 
     return run
@@ -104,9 +109,10 @@ def _records(min_count: int, totals: bool = False):
 def term_scores(rows: DataFrame, prior: float = 500.0, min_count: int = 1, max_df: int | None = None) -> DataFrame:
     """``id, term, tf, cf, df, z`` for each term of each record, a row each.
 
-    ``min_count`` and ``max_df`` only filter the result, but are pushed below the join. Terms in more
-    than one record in a thousand are joined by broadcast, so that no key of the shuffled join is
-    hot: there are at most 1000 times the mean number of distinct terms per record of them.
+    ``min_count`` and ``max_df`` choose among the scored rows: every term is scored, whether its row is
+    wanted or not. Terms in more than one record in a thousand get their counts by broadcast, so that no key
+    of the shuffled join is hot: there are at most 1000 times the mean number of distinct terms per record of
+    them. They are most of the rows; reading the texts a second time for them is cheaper than their shuffle.
     """
     once = records_once(rows)
     counts = cut_lineage(collection_counts(once))
@@ -115,21 +121,24 @@ def term_scores(rows: DataFrame, prior: float = 500.0, min_count: int = 1, max_d
         return rows.sparkSession.createDataFrame([], "id string, term string, tf int, cf bigint, df bigint, z double")
     often = max(1000, total["df"] // 1000)
     counts = counts.filter(F.col("term") != "")
-    records = once.select("id", "heading", "text").mapInArrow(_records(min_count), "id string, term string, tf int, n int")
     frequent, rare = counts.filter(F.col("df") > often), counts.filter(F.col("df") <= often)
-    if max_df is not None and max_df <= often:
-        scored = records.join(F.broadcast(frequent), "term", "left_anti").join(rare.filter(F.col("df") <= max_df), "term")
-    else:
-        f = F.broadcast(frequent.select("term", F.col("cf").alias("fcf"), F.col("df").alias("fdf")))
-        r = rare.select(F.col("term").alias("key"), F.col("cf").alias("rcf"), F.col("df").alias("rdf"))
-        key = F.when(F.col("fdf").isNull(), F.col("term")).otherwise(F.concat(F.lit("\0"), "id"))
-        scored = records.join(f, "term", "left").withColumn("key", key).join(r, "key", "left")
-        scored = scored.select("id", "term", "tf", "n", F.coalesce("fcf", "rcf").alias("cf"), F.coalesce("fdf", "rdf").alias("df"))
-        if max_df is not None:
-            scored = scored.filter(F.col("df") <= max_df)
+    names = frozenset(r["term"] for r in frequent.select("term").collect())
+    shared = rows.sparkSession.sparkContext.broadcast(names)
+    records = [once.select("id", "heading", "text").mapInArrow(_records(False, shared, inside), "id string, term string, tf int, n int") for inside in (False, True)]
+    scored = records[0].join(rare, "term", "left")
+    if names:
+        scored = scored.unionByName(records[1].join(F.broadcast(frequent), "term", "left"))
     big_n = F.lit(float(total["cf"]))
     tf, n, y = F.col("tf").cast("double"), F.col("n").cast("double"), (F.col("cf") - F.col("tf")).cast("double")
     alpha = F.lit(prior) * F.col("cf") / big_n
     delta = F.log((tf + alpha) / (n + prior - tf - alpha)) - F.log((y + alpha) / (big_n - n + prior - y - alpha))
-    z = delta / F.sqrt(1 / (tf + alpha) + 1 / (y + alpha))
-    return scored.select("id", "term", "tf", "cf", "df", z.alias("z"))
+    z = F.when(F.col("cf") == total["cf"], F.lit(math.nan)).otherwise(delta / F.sqrt(1 / (tf + alpha) + 1 / (y + alpha)))
+    scored = scored.select("id", "term", "tf", "cf", "df", z.alias("z"))
+    if min_count <= 1 and max_df is None:
+        return scored
+    wanted = F.col("tf") >= min_count
+    if max_df is not None:
+        wanted &= F.col("df") <= max_df
+    # one condition, which needs z (null fails it, NaN doesn't): of several the optimiser would move those on counts
+    # below the scoring, and drop z where the caller does
+    return scored.filter(F.when(F.col("z") > -math.inf, wanted).otherwise(F.raise_error(F.lit("a term without a score"))))

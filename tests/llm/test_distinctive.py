@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from lodestone.llm import distinctive as D
+from lodestone.llm import queries as Q
 
 ROWS = [("a", "Head", "alpha alpha beta the the the"), ("a", "Head", "alpha alpha beta the the the"), ("b", None, "beta gamma the v2.1 x-y_z"), ("c", "", None), ("d", "The", "the delta Alpha"), ("e", None, "…!?")]
 
@@ -62,6 +63,24 @@ def test_ids_with_several_rows_count_once(spark):
     assert {(r["id"], r["term"], r["df"], r["cf"]) for r in got} == {(i, w, v[2], v[1]) for (i, w), v in want.items()}
 
 
+def test_every_term_is_scored_before_the_choice(spark, tmp_path):
+    rows = [*ROWS, ("f", None, "rare rare rare")]
+    frame(spark, rows).write.parquet(str(tmp_path / "chunks.parquet"))
+    found = Q.p2_found(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(k for k, v in brute(rows, 500.0).items() if v[0] >= 3 and v[2] <= 5)
+    choosing = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if ">= 3" in line]
+    assert choosing and all("ln(" in line and "SQRT(" in line for line in choosing)
+    # without a prior a term of one record alone has no score: an error, though its row isn't wanted
+    with pytest.raises(Exception, match="(?i)without a score|division by zero"):
+        D.term_scores(frame(spark, ROWS), prior=0.0, min_count=3).select("id", "term").collect()
+
+
+def test_one_distinct_term(spark):
+    rows = [("a", None, "foo foo foo"), ("b", "Foo", None)]
+    assert [math.isnan(r["z"]) for r in D.term_scores(frame(spark, rows)).collect()] == [True, True]
+    assert [(r["id"], r["term"]) for r in D.term_scores(frame(spark, rows), min_count=3, max_df=5).collect()] == [("a", "foo")]
+
+
 def test_empty(spark):
     assert D.term_scores(frame(spark, ROWS).limit(0)).count() == 0
     monkey = [("c", None, None)]
