@@ -249,7 +249,7 @@ def asks_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Every ask with its own k."""
     asks = table(spark, sf, "asks").filter(requests.problem().isNull())
     q = asks.select(F.col("ask_id").alias("qid"), "question", F.coalesce("k", F.lit(5)).alias("k"))
-    found = bm25.search(_docs(spark, sf), q, requests.MAX_K)
+    found = bm25.search(_docs(spark, sf), q, requests.MAX_K, own="k")
     return _ranked(found.join(q.select("qid", "k"), "qid").filter(F.col("rank") <= F.col("k")))
 
 

@@ -78,6 +78,46 @@ def test_more_pairs_than_are_sent(spark, chunks, monkeypatch):
     assert key() == sent
 
 
+def test_a_task_hands_on_k_rows_of_different_questions(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i:04}", "a cat and a dog") for i in range(2000)], "id string, text string").coalesce(1)
+    real, handed = bm25.top, []
+    monkeypatch.setattr(bm25, "top", lambda scored, k: handed.append(scored.count()) or real(scored, k))
+    rows = bm25.search(docs, ask(spark, "cat", "Cats?", "dog cat", "cats, dogs"), 3).collect()
+    assert sum(handed) <= 2 * 3 * spark.sparkContext.defaultParallelism  # two different questions
+    assert sorted((r["qid"], r["rank"], r["id"]) for r in rows) == [(q, n + 1, f"d000{n}") for q in range(4) for n in range(3)]
+
+
+def test_blocks_and_pruning_lose_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = np.array(["cat", "dog", "house", "garden", "mat", "limit", "query", "index", "token", "worker"])
+    share = np.array([0.4, 0.2, 0.1, 0.1, 0.05, 0.05, 0.04, 0.03, 0.02, 0.01])
+    texts = [" ".join(rng.choice(words, rng.integers(1, 12), p=share)) for _ in range(300)]
+    questions = [" ".join(rng.choice(words, rng.integers(1, 6), replace=False)) for _ in range(25)]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "id string, text string").repartition(2)
+    want = []
+    for q, text in enumerate(questions):
+        best = sorted((-round(s, 9), f"d{i}") for i, s in by_hand(text, texts).items())
+        want += [(q, n + 1, i) for n, (_, i) in enumerate(best[:5])]
+    got = lambda: sorted((r["qid"], r["rank"], r["id"]) for r in bm25.search(docs, ask(spark, *questions), 5).collect())
+    assert got() == sorted(want)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        for name, value in (("FIRST", 8), ("BLOCK", 40), ("WHOLE", 1), ("KEPT", 12)):
+            monkeypatch.setattr(bm25, name, value)
+            assert got() == sorted(want), name
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_questions_with_their_own_k(spark, chunks, monkeypatch):
+    q = spark.createDataFrame([(1, "cat", 1), (2, "cat", 2), (3, "cat", None), (4, "dog", 9)], "qid bigint, question string, k int")
+    n = lambda: {r["qid"]: r["count"] for r in bm25.search(as_documents(chunks), q, 3, own="k").groupBy("qid").count().collect()}
+    assert n() == {1: 1, 2: 2, 3: 3, 4: 2}
+    for name in ("KEPT", "PAIRS"):
+        monkeypatch.setattr(bm25, name, 1)
+        assert n() == {1: 1, 2: 2, 3: 3, 4: 2}
+
+
 def test_empty_collection(spark, chunks):
     empty = chunks.limit(0)
     assert bm25.search(as_documents(empty), ask(spark, "cat"), 5).count() == 0
